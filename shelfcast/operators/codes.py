@@ -12,24 +12,24 @@ from shelfcast.operators.ranking import dense_codes
 PDV, PRODUTO, SEMANA, QUANTIDADE = EXPORT_COLUMNS
 
 
-def store_codes(stores: DataFrame) -> DataFrame:
-    return dense_codes(stores.select(STORE), STORE, PDV)
+def store_codes(stores: DataFrame, n_stores: int) -> DataFrame:
+    return dense_codes(stores.select(STORE), STORE, PDV, n_stores)
 
 
-def product_codes(products: DataFrame) -> DataFrame:
-    return dense_codes(products.select(PRODUCT), PRODUCT, PRODUTO)
+def product_codes(products: DataFrame, n_products: int) -> DataFrame:
+    return dense_codes(products.select(PRODUCT), PRODUCT, PRODUTO, n_products)
 
 
-def _hinted(codes: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(codes) if rows is not None and rows <= BROADCAST_MAX_ROWS else codes
+def _hinted(codes: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(codes) if rows <= BROADCAST_MAX_ROWS else codes
 
 
 def export_layout(
     predictions: DataFrame,
     stores: DataFrame,
     products: DataFrame,
-    n_stores: int | None = None,
-    n_products: int | None = None,
+    n_stores: int,
+    n_products: int,
 ) -> DataFrame:
     """pdv, produto, semana, quantidade (and store_chunk, where present).
 

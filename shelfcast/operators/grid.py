@@ -22,9 +22,9 @@ from shelfcast.functions.numbers import clip_at_zero, finite_or_zero
 from shelfcast.operators.ranking import dense_codes
 
 
-def chunk_stores(stores: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+def chunk_stores(stores: DataFrame, n_stores: int, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
     """store_id, store_code, store_chunk: stores in ascending order, in chunks of fixed size."""
-    coded = dense_codes(stores, STORE, "store_code")
+    coded = dense_codes(stores, STORE, "store_code", n_stores)
     chunk = F.floor((F.col("store_code") - 1) / F.lit(cfg.store_chunk_size)).cast("int")
     return coded.withColumn("store_chunk", chunk)
 

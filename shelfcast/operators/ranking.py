@@ -10,18 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.config import BROADCAST_MAX_ROWS
+
 SPLITS = 255
 DIGEST_PREFIX = 3  # hex digits: 4,096 buckets
 
 
 def global_row_number(rows: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Add the 1-based position of each row under (bucket, order)."""
+    """Add the 1-based position of each row under (bucket, order), and ``_total``, the number of rows."""
     rows = rows.withColumn("_bucket", bucket)
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
     offsets = (
         rows.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            "_bucket",
+            F.coalesce(F.sum("_size").over(by_bucket), F.lit(0)).alias("_before"),
+            F.sum("_size").over(everything).alias("_total"),
+        )
     )
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
@@ -32,21 +39,21 @@ def global_row_number(rows: DataFrame, bucket: Column, order: list[Column], name
     )
 
 
-def dense_codes(ids: DataFrame, column: str, code: str) -> DataFrame:
+def dense_codes(ids: DataFrame, column: str, code: str, n_ids: int) -> DataFrame:
     """Codes 1..n for distinct ids, ascending by id (a dense rank of the list).
 
-    Bucket borders are the ids with the smallest digests: chosen by content, so
-    a task that is run again after a lost executor finds the same borders.
+    A list counted to be small is numbered by one window. Borders of the buckets
+    of a longer one are the ids with the smallest digests: chosen by content, so
+    that a task run again after a lost executor finds the same borders.
     """
-    digest = F.md5(F.col(column).cast("string"))
-    borders = ids.select(column).orderBy(digest, column).limit(SPLITS).orderBy(column).collect()
-    if len(borders) < SPLITS:
+    if n_ids <= BROADCAST_MAX_ROWS:
         return ids.withColumn(code, F.row_number().over(Window.orderBy(column)).cast("bigint"))
+    digest = F.md5(F.col(column).cast("string"))
+    borders = ids.select(column).orderBy(digest, column).limit(SPLITS).collect()
     id_type = ids.schema[column].dataType
     literals = F.array(*[F.lit(row[0]).cast(id_type) for row in borders])
     bucket = F.size(F.filter(literals, lambda border: border <= F.col(column)))
-    ranked = global_row_number(ids, bucket, [F.col(column)], code)
-    return ranked.withColumn(code, F.col(code).cast("bigint"))
+    return global_row_number(ids, bucket, [F.col(column)], code).drop("_total")
 
 
 def sample_fraction(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -59,5 +66,5 @@ def sample_fraction(rows: DataFrame, key: str, fraction: float, seed: int) -> Da
     ranked = global_row_number(
         rows, F.substring("_digest", 1, DIGEST_PREFIX), [F.col("_digest"), F.col(key)], "_position"
     )
-    wanted = rows.agg(F.bround(F.lit(fraction) * F.count(F.lit(1))).cast("bigint")).scalar()
-    return ranked.where(F.col("_position") <= wanted).drop("_digest", "_position")
+    wanted = F.bround(F.lit(fraction) * F.col("_total"))
+    return ranked.where(F.col("_position") <= wanted).drop("_digest", "_position", "_total")

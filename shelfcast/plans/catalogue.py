@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.config import PAIR, PRODUCT, STORE, ExportConfig, ForecastConfig
+from shelfcast.config import LAGS, PAIR, PRODUCT, STORE, ExportConfig, ForecastConfig
 from shelfcast.operators import codes, evaluate, grid, model, panel, prepare, segments
 from shelfcast.plans.export_run import load_predictions, run_export
 from shelfcast.plans.forecast_run import run_forecast, run_summary
@@ -29,7 +29,11 @@ def six(column: str) -> Column:
 
 @dataclass
 class Feed:
-    """The steps shared by the queries, each built when first used."""
+    """The steps shared by the queries, each built when first used.
+
+    What several later steps read is written once (the ``..._table`` steps), so
+    that the transactions are not scanned again for each of them.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -49,29 +53,35 @@ class Feed:
     def weekly(self) -> DataFrame:
         return prepare.weekly_sales(self.prepared)
 
+    @cached_property
+    def weekly_table(self) -> DataFrame:
+        return storage.stage_table(self.spark, new_scratch(self.spark, "weekly"), lambda: self.weekly)
+
     @cached_property
     def stats(self) -> DataFrame:
         return segments.pair_stats(self.prepared, self.cfg)
 
     @cached_property
-    def by_product(self) -> DataFrame:
-        return segments.product_stats(self.stats)
+    def stats_table(self) -> DataFrame:
+        return storage.stage_table(self.spark, new_scratch(self.spark, "pairs"), lambda: self.stats)
 
     @cached_property
-    def representative(self) -> DataFrame:
-        return segments.representative_products(self.by_product, self.cfg)
+    def by_product(self) -> DataFrame:
+        return segments.product_stats(self.stats)
 
-    @cached_property
-    def active(self) -> DataFrame:
-        return segments.active_pairs(segments.top_pairs(self.stats, self.prepared, self.cfg))
+    def top(self, rows: DataFrame | None = None) -> DataFrame:
+        rows = self.prepared if rows is None else rows
+        return segments.top_pairs(segments.pair_stats(rows, self.cfg), rows, self.cfg)
 
     @cached_property
     def panel_rows(self) -> DataFrame:
-        return panel.panel_rows(self.weekly, self.active, self.cfg)
+        active = segments.active_pairs(self.top(self.weekly_table))
+        return panel.panel_rows(self.weekly_table, active, self.cfg)
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panel.feature_panel(self.weekly, self.active, self.cfg)
+        active = segments.active_pairs(self.top(self.weekly_table))
+        return panel.feature_panel(self.weekly_table, active, self.cfg)
 
     @cached_property
     def store_list(self) -> DataFrame:
@@ -83,15 +93,32 @@ class Feed:
         source = None if self.dense else testbed.products(self.spark, self.sf_dir)
         return product_universe(source, self.transactions, detect_roles(self.transactions))
 
+    @cached_property
+    def n_stores(self) -> int:
+        return self.store_list.count()
+
+    @cached_property
+    def n_products(self) -> int:
+        return self.product_list.count()
+
     @cached_property
     def stores(self) -> DataFrame:
-        return grid.chunk_stores(self.store_list, self.cfg)
+        return grid.chunk_stores(self.store_list, self.n_stores, self.cfg)
+
+    @cached_property
+    def product_table(self) -> DataFrame:
+        def build() -> DataFrame:
+            by_product = segments.product_stats(self.stats_table)
+            representative = segments.representative_products(by_product, self.cfg)
+            return grid.product_facts(self.product_list, by_product, representative)
+
+        return storage.stage_table(self.spark, new_scratch(self.spark, "products"), build)
 
     def forecast_pairs(self, overrides: DataFrame | None = None) -> DataFrame:
-        products = grid.product_facts(self.product_list, self.by_product, self.representative)
-        facts = grid.pair_facts(self.stats, self.stores, products, overrides, self.cfg)
-        n_stores, n_products = self.store_list.count(), self.product_list.count()
-        return grid.forecast_pairs(self.stores, products, facts, n_stores, n_products, self.cfg)
+        facts = grid.pair_facts(self.stats_table, self.stores, self.product_table, overrides, self.cfg)
+        return grid.forecast_pairs(
+            self.stores, self.product_table, facts, self.n_stores, self.n_products, self.cfg
+        )
 
     def forecast(self, overrides: DataFrame | None = None) -> DataFrame:
         return grid.forecast(self.forecast_pairs(overrides), self.cfg)
@@ -101,10 +128,10 @@ class Feed:
         predictions = self.forecast().drop("store_chunk").withColumn("prediction", F.round("prediction", 6))
         return codes.export_layout(
             predictions,
-            codes.store_codes(self.store_list),
-            codes.product_codes(self.product_list),
-            self.store_list.count(),
-            self.product_list.count(),
+            codes.store_codes(self.store_list, self.n_stores),
+            codes.product_codes(self.product_list, self.n_products),
+            self.n_stores,
+            self.n_products,
         )
 
 
@@ -208,6 +235,13 @@ def export_files_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_export(spark, sf_dir, ExportConfig(size_cap_mb=0.01)).path)
 
 
+def summary_counts(feed: Feed) -> DataFrame:
+    stats = feed.stats_table
+    representative = segments.representative_products(segments.product_stats(stats), feed.cfg)
+    active = segments.active_pairs(segments.top_pairs(stats, feed.prepared, feed.cfg))
+    return run_summary(feed.store_list, feed.product_list, stats, representative, active, feed.cfg)
+
+
 def size_capped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix rule on sizes any engine can work out: 16 bytes per transaction of a chunk."""
     feed = Feed(spark, sf_dir, cfg=SMALL_CHUNKS)
@@ -255,25 +289,25 @@ def queries() -> dict[str, Query]:
             lambda f: segments.recent_pair_average(f.stats).select(*PAIR, six("pair_avg"))
         ),
         "product_totals": over_feed(lambda f: f.by_product.select(PRODUCT, "total_sales")),
-        "representative_products": over_feed(lambda f: f.representative),
+        "representative_products": over_feed(
+            lambda f: segments.representative_products(f.by_product, f.cfg)
+        ),
         "distinct_weeks": over_feed(lambda f: segments.distinct_weeks(f.prepared)),
         "top_pairs": over_feed(
-            lambda f: segments.top_pairs(f.stats, f.prepared, f.cfg).select(*PAIR, "total_sales"),
+            lambda f: f.top().select(*PAIR, "total_sales"),
             cfg=replace(CFG, top_pairs=200),
         ),
         "top_pairs_capped": over_feed(
-            lambda f: segments.top_pairs(f.stats, f.prepared, f.cfg).select(*PAIR, "total_sales"),
+            lambda f: f.top().select(*PAIR, "total_sales"),
             cfg=replace(CFG, max_panel_rows=400_000),
         ),
         "top_pairs_active": over_feed(
-            lambda f: segments.active_pairs(
-                segments.top_pairs(f.stats, f.prepared, f.cfg), segments.extinct_pairs(f.stats)
-            ).select(*PAIR)
+            lambda f: segments.active_pairs(f.top(), segments.extinct_pairs(f.stats)).select(*PAIR)
         ),
         "panel_time_idx": over_feed(lambda f: f.panel_rows.select(*week, "quantity", "time_idx")),
         "panel_lags": over_feed(
             lambda f: panel.add_history(f.panel_rows).select(
-                *week, *(c for c in f.panel.columns if c.startswith("qty_lag_"))
+                *week, *(f"qty_lag_{k}" for k in LAGS)
             )
         ),
         "panel_rolling": over_feed(
@@ -313,14 +347,12 @@ def queries() -> dict[str, Query]:
         "override_keep_base": over_feed(
             lambda f: rounded_forecast(f.forecast(last_point_overrides(f))), cfg=keep_base
         ),
-        "store_codes": over_feed(lambda f: codes.store_codes(f.store_list)),
-        "product_codes": over_feed(lambda f: codes.product_codes(f.product_list)),
+        "store_codes": over_feed(lambda f: codes.store_codes(f.store_list, f.n_stores)),
+        "product_codes": over_feed(lambda f: codes.product_codes(f.product_list, f.n_products)),
         "export_layout": over_feed(lambda f: f.coded()),
         "export_head": over_feed(lambda f: codes.head(f.coded(), 1_000)),
         "size_capped_prefix": size_capped_prefix,
-        "run_summary": over_feed(
-            lambda f: run_summary(f.store_list, f.product_list, f.stats, f.representative, f.active, f.cfg)
-        ),
+        "run_summary": over_feed(summary_counts),
         "full_run": full_run,
         "full_run_csv": full_run_csv,
         "metrics_csv": metrics_csv,

@@ -24,6 +24,7 @@ from shelfcast.sources import sinks, storage
 from shelfcast.sources.roles import detect_roles
 
 MIB = 1024 * 1024
+BATCH_GROWTH = 8
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,11 @@ def chunk_bytes(spark: SparkSession, path: str) -> DataFrame:
 class _Prefixes:
     """Coded chunks on scratch storage, and trial outputs made of their prefixes."""
 
-    def __init__(self, coded: DataFrame, chunks: list[int], codec: str, cfg: ExportConfig) -> None:
+    def __init__(
+        self, coded: DataFrame, chunks: list[int], scratch: str, codec: str, cfg: ExportConfig
+    ) -> None:
         self.spark = coded.sparkSession
-        self.coded, self.chunks, self.codec, self.cfg = coded, chunks, codec, cfg
-        self.scratch = new_scratch(self.spark, "export")
+        self.coded, self.chunks, self.scratch, self.codec, self.cfg = coded, chunks, scratch, codec, cfg
         self._stored = 0
 
     def _store(self, upto: int) -> None:
@@ -68,7 +70,7 @@ class _Prefixes:
     def estimate(self, cap: int | None) -> int:
         """Chunks that fit going by the sum of their own sizes.
 
-        Chunks are coded in doubling batches until the cap is passed: the work
+        Chunks are coded in growing batches until the cap is passed: the work
         follows the size of the output, not that of the predictions.
         """
         if cap is None:
@@ -80,7 +82,7 @@ class _Prefixes:
             fitting = fitting_prefix(chunk_bytes(self.spark, f"{self.scratch}/coded"), cap).count()
             if fitting < upto or upto == len(self.chunks):
                 return fitting
-            upto = min(len(self.chunks), 2 * upto)
+            upto = min(len(self.chunks), BATCH_GROWTH * upto)
 
     def write(self, upto: int, path: str) -> int:
         """Merge a prefix into one output, in order, and return its size."""
@@ -150,21 +152,28 @@ def run_export(
     stores = predictions if stores is None else stores
     products = predictions if products is None else products
     out_path = out_path.rstrip("/")
-    maps = {}
-    for name, codes in (
-        ("stores", store_codes(stores.select(STORE).distinct())),
-        ("products", product_codes(products.select(PRODUCT).distinct())),
-    ):
-        sinks.write_parquet(codes, f"{out_path}_{name}")
-        maps[name] = spark.read.parquet(f"{out_path}_{name}")
+    scratch = new_scratch(spark, "export")
+
+    def distinct_ids(source: DataFrame, column: str) -> tuple[DataFrame, int]:
+        ids = storage.stage_table(spark, f"{scratch}/{column}", lambda: source.select(column).distinct())
+        return ids, ids.count()
+
+    store_list, n_stores = distinct_ids(stores, STORE)
+    product_list, n_products = distinct_ids(products, PRODUCT)
+    sinks.write_parquet(store_codes(store_list, n_stores), f"{out_path}_stores")
+    sinks.write_parquet(product_codes(product_list, n_products), f"{out_path}_products")
     coded = export_layout(
-        predictions, maps["stores"], maps["products"], maps["stores"].count(), maps["products"].count()
+        predictions,
+        spark.read.parquet(f"{out_path}_stores"),
+        spark.read.parquet(f"{out_path}_products"),
+        n_stores,
+        n_products,
     )
 
     # One id per chunk of stores reaches the driver.
     chunks = sorted(row[0] for row in predictions.select("store_chunk").distinct().collect())
     codec = sinks.usable_codec(spark, cfg.prefer_brotli)
-    prefixes = _Prefixes(coded, chunks, codec, cfg)
+    prefixes = _Prefixes(coded, chunks, f"{scratch}/prefixes", codec, cfg)
     cap = None if cfg.size_cap_mb is None else int(cfg.size_cap_mb * MIB)
     kept = prefixes.longest(cap)
     size = prefixes.write(kept, out_path)

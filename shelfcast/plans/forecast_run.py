@@ -83,7 +83,9 @@ def run_forecast(
         return storage.stage_table(spark, f"{run_dir}/{name}", build)
 
     # Facts: each table is written once and read by all that follows.
-    store_table = table("stores", lambda: grid.chunk_stores(store_universe(stores, transactions, roles), cfg))
+    store_list = table("store_list", lambda: store_universe(stores, transactions, roles))
+    n_stores = store_list.count()
+    store_table = table("stores", lambda: grid.chunk_stores(store_list, n_stores, cfg))
     weekly = table("weekly", lambda: prepare.weekly_sales(prepare.prepare_transactions(transactions, cfg, roles)))
     stats = table("pairs", lambda: segments.pair_stats(weekly, cfg))
     by_product = segments.product_stats(stats)
@@ -118,7 +120,7 @@ def run_forecast(
     sinks.write_csv(metrics.coalesce(1), f"{run_dir}/metrics_csv")
 
     # Predictions, a batch of chunks at a time.
-    n_stores, n_products = store_table.count(), product_table.count()
+    n_products = product_table.count()
     # One id per chunk of stores reaches the driver.
     pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, store_table).collect())
 
