@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.config import BROADCAST_MAX_ROWS, EXPORT_COLUMNS, PRODUCT, STORE
+from shelfcast.config import EXPORT_COLUMNS, PRODUCT, STORE
 from shelfcast.functions.numbers import whole_quantity
 from shelfcast.operators.ranking import dense_codes
+from shelfcast.operators.sizes import broadcast_if_small
 
 PDV, PRODUTO, SEMANA, QUANTIDADE = EXPORT_COLUMNS
 
@@ -20,10 +21,6 @@ def product_codes(products: DataFrame, n_products: int) -> DataFrame:
     return dense_codes(products.select(PRODUCT), PRODUCT, PRODUTO, n_products)
 
 
-def _hinted(codes: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(codes) if rows <= BROADCAST_MAX_ROWS else codes
-
-
 def export_layout(
     predictions: DataFrame,
     stores: DataFrame,
@@ -38,8 +35,8 @@ def export_layout(
     """
     kept = [c for c in ("store_chunk",) if c in predictions.columns]
     return (
-        predictions.join(_hinted(stores, n_stores), STORE)
-        .join(_hinted(products, n_products), PRODUCT)
+        predictions.join(broadcast_if_small(stores, n_stores), STORE)
+        .join(broadcast_if_small(products, n_products), PRODUCT)
         .select(
             *kept,
             F.col(PDV).cast("bigint").alias(PDV),

@@ -17,9 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.config import BROADCAST_MAX_ROWS, PAIR, PRODUCT, STORE, ForecastConfig
+from shelfcast.config import PAIR, PRODUCT, STORE, ForecastConfig
 from shelfcast.functions.numbers import clip_at_zero, finite_or_zero
 from shelfcast.operators.ranking import dense_codes
+from shelfcast.operators.sizes import broadcast_if_small, is_small
 
 
 def chunk_stores(stores: DataFrame, n_stores: int, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
@@ -43,7 +44,9 @@ def pair_facts(
     stats: DataFrame,
     stores: DataFrame,
     products: DataFrame,
-    overrides: DataFrame | None = None,
+    overrides: DataFrame | None,
+    n_stores: int,
+    n_products: int,
     cfg: ForecastConfig = ForecastConfig(),
 ) -> DataFrame:
     """The pairs whose forecast differs from their product's average.
@@ -53,7 +56,8 @@ def pair_facts(
     that these disturb nothing else.
     """
     own = F.col("recent_quantity") / F.col("recent_weeks")
-    pairs = stats.join(products.select(PRODUCT, "is_representative"), PRODUCT).select(
+    flags = broadcast_if_small(products.select(PRODUCT, "is_representative"), n_products)
+    pairs = stats.join(flags, PRODUCT).select(
         *PAIR,
         "extinct",
         F.when(F.col("is_representative") & (F.col("recent_weeks") > 0), own).alias("pair_avg"),
@@ -61,12 +65,10 @@ def pair_facts(
     if overrides is None:
         pairs = pairs.withColumn("override", F.lit(None).cast("array<double>"))
     else:
-        if cfg.top_pairs <= BROADCAST_MAX_ROWS:
-            overrides = F.broadcast(overrides)  # at most cfg.top_pairs rows
-        pairs = pairs.join(overrides.select(*PAIR, "override"), PAIR, "left")
-    return pairs.where("extinct or pair_avg is not null or override is not null").join(
-        stores.select(STORE, "store_chunk"), STORE
-    )
+        overrides = broadcast_if_small(overrides.select(*PAIR, "override"), cfg.top_pairs)
+        pairs = pairs.join(overrides, PAIR, "left")
+    chunks = broadcast_if_small(stores.select(STORE, "store_chunk"), n_stores)
+    return pairs.where("extinct or pair_avg is not null or override is not null").join(chunks, STORE)
 
 
 def base_value(cfg: ForecastConfig) -> Column:
@@ -98,6 +100,8 @@ def forecast_pairs(
         chunk_list = F.sequence(F.lit(0), F.lit(max(n_chunks - 1, 0)))
     n_blocks = max(1, math.ceil(n_products / cfg.products_per_block))
 
+    if n_blocks > 1:
+        products = products.repartition(n_blocks, PRODUCT)  # or a few tasks would make all cells
     cells = products.select(
         PRODUCT,
         "global_avg",
@@ -109,17 +113,18 @@ def forecast_pairs(
     listed = facts.groupBy("store_chunk", PRODUCT).agg(F.collect_list(entry).alias("known"))
     members = stores.groupBy("store_chunk").agg(F.collect_list(STORE).alias("members"))
 
-    # A fixed number of tasks: unfolding multiplies rows, which the sizes seen by
-    # adaptive execution do not show.
-    cells = cells.join(listed, ["store_chunk", PRODUCT], "left").repartition(
-        max(1, n_chunks * n_blocks), "store_chunk", "product_block"
-    )
-    if n_chunks * cfg.store_chunk_size <= BROADCAST_MAX_ROWS:
-        cells = cells.join(F.broadcast(members), "store_chunk")
+    # One task per block of a chunk, not fewer: unfolding multiplies rows, which
+    # the sizes seen by adaptive execution do not show.
+    cells = cells.join(listed, ["store_chunk", PRODUCT], "left")
+    n_tasks = max(1, n_chunks * n_blocks)
+    if is_small(n_chunks * cfg.store_chunk_size):
+        task = F.col("store_chunk") * F.lit(n_blocks) + F.col("product_block")
+        cells = cells.repartitionById(n_tasks, task).join(F.broadcast(members), "store_chunk")
     else:
         # Too many stores to send to every task: each block of a chunk gets its own copy of the list.
         members = members.withColumn("product_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        cells = cells.join(members, ["store_chunk", "product_block"])
+        keys = ["store_chunk", "product_block"]
+        cells = cells.repartition(n_tasks, *keys).join(members, keys)
 
     known = F.coalesce("known", F.array().cast(listed.schema["known"].dataType))
     others = F.transform(

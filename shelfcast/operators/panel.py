@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from shelfcast.config import (
-    BROADCAST_MAX_ROWS,
-    LAGS,
-    PAIR,
-    PRODUCT,
-    STORE,
-    ForecastConfig,
-)
+from shelfcast.config import LAGS, PAIR, PRODUCT, STORE, ForecastConfig
+from shelfcast.operators.sizes import broadcast_if_small, is_small
 
 
 def by_pair() -> WindowSpec:
@@ -24,9 +18,7 @@ def panel_rows(weekly: DataFrame, pairs: DataFrame, cfg: ForecastConfig = Foreca
     """Weekly rows of the chosen pairs, with ``time_idx`` in weeks since the panel's first."""
     # At most cfg.top_pairs rows.
     start = F.min("first_week").over(Window.partitionBy())
-    chosen = pairs.select(*PAIR, start.alias("_start"))
-    if cfg.top_pairs <= BROADCAST_MAX_ROWS:
-        chosen = F.broadcast(chosen)
+    chosen = broadcast_if_small(pairs.select(*PAIR, start.alias("_start")), cfg.top_pairs)
     weeks = F.datediff("week_start", "_start") / F.lit(7)
     return weekly.join(chosen, PAIR).withColumn("time_idx", weeks.cast("int")).drop("_start")
 
@@ -39,7 +31,7 @@ def add_totals(panel: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> Data
     parts before the shuffle and joined back, so that no task holds a hot week.
     """
     for key, name in ((STORE, "store_week_total"), (PRODUCT, "product_global_week")):
-        if cfg.top_pairs <= BROADCAST_MAX_ROWS:
+        if is_small(cfg.top_pairs):
             panel = panel.withColumn(name, F.sum("quantity").over(Window.partitionBy(key, "time_idx")))
         else:
             totals = panel.groupBy(key, "time_idx").agg(F.sum("quantity").alias(name))

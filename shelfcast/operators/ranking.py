@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.config import BROADCAST_MAX_ROWS
+from shelfcast.operators.sizes import is_small
 
 SPLITS = 255
 DIGEST_PREFIX = 3  # hex digits: 4,096 buckets
@@ -46,7 +46,7 @@ def dense_codes(ids: DataFrame, column: str, code: str, n_ids: int) -> DataFrame
     of a longer one are the ids with the smallest digests: chosen by content, so
     that a task run again after a lost executor finds the same borders.
     """
-    if n_ids <= BROADCAST_MAX_ROWS:
+    if is_small(n_ids):
         return ids.withColumn(code, F.row_number().over(Window.orderBy(column)).cast("bigint"))
     digest = F.md5(F.col(column).cast("string"))
     borders = ids.select(column).orderBy(digest, column).limit(SPLITS).collect()

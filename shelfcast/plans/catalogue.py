@@ -115,10 +115,11 @@ class Feed:
         return storage.stage_table(self.spark, new_scratch(self.spark, "products"), build)
 
     def forecast_pairs(self, overrides: DataFrame | None = None) -> DataFrame:
-        facts = grid.pair_facts(self.stats_table, self.stores, self.product_table, overrides, self.cfg)
-        return grid.forecast_pairs(
-            self.stores, self.product_table, facts, self.n_stores, self.n_products, self.cfg
+        sizes = (self.n_stores, self.n_products)
+        facts = grid.pair_facts(
+            self.stats_table, self.stores, self.product_table, overrides, *sizes, self.cfg
         )
+        return grid.forecast_pairs(self.stores, self.product_table, facts, *sizes, self.cfg)
 
     def forecast(self, overrides: DataFrame | None = None) -> DataFrame:
         return grid.forecast(self.forecast_pairs(overrides), self.cfg)

@@ -92,6 +92,7 @@ def run_forecast(
     representative = segments.representative_products(by_product, cfg)
     universe = product_universe(products, transactions, roles)
     product_table = table("products", lambda: grid.product_facts(universe, by_product, representative))
+    n_products = product_table.count()
     best = segments.active_pairs(segments.top_pairs(stats, weekly, cfg))
     active = table("top_pairs", lambda: best)
 
@@ -112,7 +113,7 @@ def run_forecast(
 
     def sorted_facts() -> DataFrame:
         # In chunk order, so that a batch of chunks skips the row groups of all others.
-        facts = grid.pair_facts(stats, store_table, product_table, overrides, cfg)
+        facts = grid.pair_facts(stats, store_table, product_table, overrides, n_stores, n_products, cfg)
         return facts.repartitionByRange("store_chunk", *PAIR).sortWithinPartitions("store_chunk")
 
     facts = table("facts", sorted_facts)
@@ -120,7 +121,6 @@ def run_forecast(
     sinks.write_csv(metrics.coalesce(1), f"{run_dir}/metrics_csv")
 
     # Predictions, a batch of chunks at a time.
-    n_products = product_table.count()
     # One id per chunk of stores reaches the driver.
     pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, store_table).collect())
 

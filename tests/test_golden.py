@@ -68,7 +68,7 @@ def base(spark, golden, prepared, golden_stores, golden_products, cfg):
     products = grid.product_facts(
         product_universe(golden_products, golden, roles), segments.product_stats(stats), representative
     )
-    facts = grid.pair_facts(stats, stores, products, None, cfg)
+    facts = grid.pair_facts(stats, stores, products, None, 3, 4, cfg)
     return grid.forecast(grid.forecast_pairs(stores, products, facts, 3, 4, cfg), cfg)
 
 

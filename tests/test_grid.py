@@ -6,7 +6,7 @@ import random
 import pytest
 
 from shelfcast.config import ForecastConfig
-from shelfcast.operators import grid, model
+from shelfcast.operators import grid, model, sizes
 
 STATS = (
     "store_id string, product_id string, extinct boolean, recent_quantity double, recent_weeks bigint"
@@ -23,7 +23,7 @@ def predict(spark, cfg, stores, products, stats, overrides=None, chunks=None):
     if overrides is not None:
         rows = spark.createDataFrame(overrides, "store_id string, product_id string, horizon int, prediction double")
         overrides = model.overrides_from_rows(rows, cfg)
-    facts = grid.pair_facts(stats_df, store_df, product_df, overrides, cfg)
+    facts = grid.pair_facts(stats_df, store_df, product_df, overrides, len(stores), len(products), cfg)
     pairs = grid.forecast_pairs(store_df, product_df, facts, len(stores), len(products), cfg, chunks)
     rows = grid.forecast(pairs, cfg).collect()
     found = {(r.store_id, r.product_id, r.horizon): r.prediction for r in rows}
@@ -78,7 +78,7 @@ def test_grid_against_brute_force(spark, seed, missing):
 
 
 def test_long_store_lists_join_by_block(spark, monkeypatch):
-    monkeypatch.setattr(grid, "BROADCAST_MAX_ROWS", 1)
+    monkeypatch.setattr(sizes, "BROADCAST_MAX_ROWS", 1)
     cfg = ForecastConfig(store_chunk_size=10, products_per_block=4)
     stores, products, stats, overrides = random_case(2)
     assert predict(spark, cfg, stores, products, stats, overrides) == brute(cfg, stores, products, stats, overrides)

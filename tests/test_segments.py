@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.config import ForecastConfig
-from shelfcast.operators import panel, ranking, segments
+from shelfcast.operators import panel, ranking, segments, sizes
 
 
 @pytest.mark.parametrize("n, wanted", [(0, 0), (2, 0), (12, 2), (13, 3), (25, 5), (5000, 1000)])
@@ -35,7 +35,7 @@ def test_only_selling_products_are_sampled(spark, cfg):
 @pytest.mark.parametrize("limit", [10, 10_000])
 @pytest.mark.parametrize("dtype", ["string", "bigint"])
 def test_dense_codes_of_long_and_short_lists(spark, monkeypatch, limit, dtype):
-    monkeypatch.setattr(ranking, "BROADCAST_MAX_ROWS", limit)
+    monkeypatch.setattr(sizes, "BROADCAST_MAX_ROWS", limit)
     ids = spark.range(2000).select((F.col("id") * 7919 % 100003).cast(dtype).alias("x"))
     found = {r.x: r.code for r in ranking.dense_codes(ids, "x", "code", 2000).collect()}
     assert found == {x: i + 1 for i, x in enumerate(sorted(found))}
@@ -94,6 +94,6 @@ def test_totals_by_window_and_by_join_agree(spark, monkeypatch, cfg):
     chosen = panel.panel_rows(weekly, stats, cfg)
     columns = ["store_id", "product_id", "time_idx", "store_week_total", "product_global_week"]
     by_window = sorted(panel.add_totals(chosen, cfg).select(columns).collect())
-    monkeypatch.setattr(panel, "BROADCAST_MAX_ROWS", 1)
+    monkeypatch.setattr(sizes, "BROADCAST_MAX_ROWS", 1)
     by_join = sorted(panel.add_totals(chosen, cfg).select(columns).collect())
     assert by_window == by_join and len(by_window) == weekly.count()
