@@ -233,7 +233,7 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_files_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes decide how many chunks stay, so there is no SQL for the row count."""
-    return spark.read.parquet(_export(spark, sf_dir, ExportConfig(size_cap_mb=0.01)).path)
+    return spark.read.parquet(_export(spark, sf_dir, ExportConfig(size_cap_mb=0.004)).path)
 
 
 def summary_counts(feed: Feed) -> DataFrame:
