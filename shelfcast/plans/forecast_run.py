@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,29 @@ def original_names(predictions: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
+def _write_predictions(
+    spark: SparkSession,
+    run_dir: str,
+    stores: DataFrame,
+    products: DataFrame,
+    facts: DataFrame,
+    n_stores: int,
+    n_products: int,
+    cfg: ForecastConfig,
+    max_commits: int | None,
+) -> tuple[int, bool]:
+    """Predict the chunks still to do, a batch at a time; how many, and whether none is left."""
+    # One id per chunk of stores reaches the driver.
+    pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, stores).collect())
+
+    def predict(chunks) -> DataFrame:
+        pairs = grid.forecast_pairs(stores, products, facts, n_stores, n_products, cfg, chunks)
+        return grid.forecast(pairs, cfg)
+
+    written = storage.write_chunks(spark, run_dir, pending, predict, cfg.chunks_per_commit, max_commits)
+    return written, written == len(pending)
+
+
 def run_forecast(
     spark: SparkSession,
     transactions: DataFrame,
@@ -116,23 +141,21 @@ def run_forecast(
         facts = grid.pair_facts(stats, store_table, product_table, overrides, n_stores, n_products, cfg)
         return facts.repartitionByRange("store_chunk", *PAIR).sortWithinPartitions("store_chunk")
 
-    facts = table("facts", sorted_facts)
-    metrics = table("metrics", lambda: evaluate.backtest(weekly, cfg).coalesce(1))
-    sinks.write_csv(metrics.coalesce(1), f"{run_dir}/metrics_csv")
-
-    # Predictions, a batch of chunks at a time.
-    # One id per chunk of stores reaches the driver.
-    pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, store_table).collect())
-
-    def predict(chunks) -> DataFrame:
-        return grid.forecast(
-            grid.forecast_pairs(store_table, product_table, facts, n_stores, n_products, cfg, chunks), cfg
+    def write_metrics() -> DataFrame:
+        metrics = table("metrics", lambda: evaluate.backtest(weekly, cfg).coalesce(1))
+        sinks.write_csv(metrics.coalesce(1), f"{run_dir}/metrics_csv")
+        return metrics
+
+    # The backtest needs the weekly table only; it runs beside the predictions.
+    with ThreadPoolExecutor(1) as pool:
+        backtest = pool.submit(inheritable_thread_target(spark)(write_metrics))
+        facts = table("facts", sorted_facts)
+        written, complete = _write_predictions(
+            spark, run_dir, store_table, product_table, facts, n_stores, n_products, cfg, max_commits
         )
+        metrics = backtest.result()
 
-    written = storage.write_chunks(spark, run_dir, pending, predict, cfg.chunks_per_commit, max_commits)
-    complete = written == len(pending)
     predictions = original_names(storage.read_chunks(spark, run_dir), roles)
-
     if complete and cfg.write_full:
         predictions = table("full_predictions", lambda: predictions)
         if cfg.write_csv:
@@ -141,6 +164,7 @@ def run_forecast(
     def summarise() -> DataFrame:
         counters = run_summary(store_table, product_table, stats, representative, active, cfg)
         reading = prepare.reading_counts(transactions, weekly)
+        done = store_table.join(storage.committed_chunks(spark, run_dir), "store_chunk", "left_semi")
         skipped = (F.col("train_rows") < cfg.min_train_rows) | (F.col("valid_rows") == 0)
         per_horizon = F.array_sort(
             F.collect_list(F.struct("horizon", "train_rows", "valid_rows", skipped.alias("skipped")))
@@ -150,7 +174,10 @@ def run_forecast(
             reading.select("transactions_read").scalar().alias("transactions_read"),
             reading.select("transactions_left_out").scalar().alias("transactions_left_out"),
             splits.agg(per_horizon).scalar().alias("splits"),
+            done.agg(F.count(F.lit(1))).scalar().alias("stores_done"),
         )
 
-    summary = table("summary", summarise)
+    # Not a stage: the number of stores done changes from one attempt to the next.
+    sinks.write_parquet(summarise(), f"{run_dir}/summary")
+    summary = spark.read.parquet(f"{run_dir}/summary")
     return ForecastRun(run_dir, roles, predictions, metrics, summary, written, complete)

@@ -43,7 +43,7 @@ def test_whole_run(spark, whole):
     summary = whole.summary.first()
     assert (summary.n_stores, summary.n_products, summary.expected_predictions) == (3, 4, 60)
     assert (summary.extinct_pairs, summary.representative_products) == (1, 1)
-    assert (summary.transactions_read, summary.transactions_left_out) == (10, 0)
+    assert (summary.transactions_read, summary.transactions_left_out, summary.stores_done) == (10, 0, 3)
     assert rows_of(spark.read.option("header", True).csv(f"{whole.run_dir}/metrics_csv"))[0][0] == "1"
     csv = spark.read.option("header", True).schema(whole.predictions.schema).csv(f"{whole.run_dir}/full_predictions_csv")
     assert rows_of(csv) == rows_of(whole.predictions)
@@ -52,7 +52,7 @@ def test_whole_run(spark, whole):
 def test_interrupted_run_goes_on_where_it_stopped(spark, tables, whole, tmp_path):
     first = run_forecast(spark, *tables, str(tmp_path), CFG, max_commits=2)
     assert not first.complete and first.chunks_written == 2
-    assert first.predictions.count() == 40
+    assert first.predictions.count() == 40 and first.summary.first().stores_done == 2
     stores = spark.read.parquet(f"{first.run_dir}/stores")
     assert rows_of(storage.pending_chunks(spark, first.run_dir, stores)) == [(2,)]
     second = run_forecast(spark, *tables, str(tmp_path), CFG)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.config import ForecastConfig
-from shelfcast.operators import panel, ranking, segments, sizes
+from shelfcast.operators import panel, prepare, ranking, segments, sizes
 
 
 @pytest.mark.parametrize("n, wanted", [(0, 0), (2, 0), (12, 2), (13, 3), (25, 5), (5000, 1000)])
@@ -97,3 +97,23 @@ def test_totals_by_window_and_by_join_agree(spark, monkeypatch, cfg):
     monkeypatch.setattr(sizes, "BROADCAST_MAX_ROWS", 1)
     by_join = sorted(panel.add_totals(chosen, cfg).select(columns).collect())
     assert by_window == by_join and len(by_window) == weekly.count()
+
+
+def test_a_pair_with_a_third_of_all_rows(spark):
+    """Weekly sums and pair facts of a hot pair, against pandas."""
+    hot = F.col("id") % 3 == 0
+    sales = spark.range(60_000).select(
+        F.when(hot, 0).otherwise(F.col("id") % 97).cast("bigint").alias("store_id"),
+        F.when(hot, 0).otherwise(F.col("id") % 13).cast("bigint").alias("product_id"),
+        F.date_add(F.lit("2024-01-02").cast("date"), (F.col("id") * 7919 % 364).cast("int")).alias("transaction_date"),
+        (F.col("id") % 50).cast("double").alias("quantity"),
+    )
+    prepared = prepare.prepare_transactions(sales.repartition(6))
+    keys = ["store_id", "product_id", "week_start"]
+    frame = prepared.toPandas()
+    expected = frame.groupby(keys).quantity.agg(["sum", "count"]).reset_index()
+    found = prepare.weekly_sales(prepared).select(*keys, "quantity", "trans_count").toPandas().sort_values(keys)
+    assert (found.to_numpy() == expected.sort_values(keys).to_numpy()).all() and len(found) == len(expected)
+    stats = segments.pair_stats(prepared)
+    assert stats.agg(F.sum("total_sales")).first()[0] == frame.quantity.sum()
+    assert stats.count() == len(frame[keys[:2]].drop_duplicates())
