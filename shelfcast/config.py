@@ -67,6 +67,7 @@ class ForecastConfig:
     products_per_block: int = 20_000
     chunks_per_commit: int = 64
     fit_parallelism: int = 5
+    train_rows_per_partition: int = 50_000
     write_full: bool = True
     write_csv: bool = True
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -119,10 +120,12 @@ def train_models(
     shared_folder(spark)  # boosting cuts its lineage there
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(panel)
     targets = [c for c in panel.columns if c.startswith("target_")]
-    # Rows in a fixed order within hashed partitions: split candidates are sampled by position.
+    # Rows in a fixed order within a fixed number of partitions: split candidates are
+    # sampled by position. Each level of each tree passes over all of them.
+    partitions = math.ceil(max(1, panel.count()) / cfg.train_rows_per_partition)
     assembled = (
         assembled.select(*PAIR, "time_idx", "features", *targets)
-        .repartition(*PAIR)
+        .repartition(partitions, *PAIR)
         .sortWithinPartitions(*PAIR, "time_idx")
         .persist()
     )

@@ -63,7 +63,12 @@ class Feed:
 
     @cached_property
     def stats_table(self) -> DataFrame:
-        return storage.stage_table(self.spark, new_scratch(self.spark, "pairs"), lambda: self.stats)
+        # Weekly sales already written save the scan; the result is the same.
+        written = "weekly_table" in self.__dict__
+        rows = self.weekly_table if written else self.prepared
+        return storage.stage_table(
+            self.spark, new_scratch(self.spark, "pairs"), lambda: segments.pair_stats(rows, self.cfg)
+        )
 
     @cached_property
     def by_product(self) -> DataFrame:
