@@ -172,6 +172,8 @@ def run_export(
 
     # One id per chunk of stores reaches the driver.
     chunks = sorted(row[0] for row in predictions.select("store_chunk").distinct().collect())
+    if not chunks:
+        raise ValueError("there are no predictions to export")
     codec = sinks.usable_codec(spark, cfg.prefer_brotli)
     prefixes = _Prefixes(coded, chunks, f"{scratch}/prefixes", codec, cfg)
     cap = None if cfg.size_cap_mb is None else int(cfg.size_cap_mb * MIB)

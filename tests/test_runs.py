@@ -6,6 +6,7 @@ import os
 import pyarrow.parquet as pq
 import pytest
 
+from shelfcast.__main__ import main
 from shelfcast.config import ExportConfig, ForecastConfig
 from shelfcast.operators import codes
 from shelfcast.plans.export_run import load_predictions, run_export
@@ -194,3 +195,20 @@ def test_run_with_models(spark, tmp_path):
     assert run.predictions.count() == 4 * 3 * 5
     again = run_forecast(spark, spark.read.parquet(f"{tmp_path}/sales"), None, None, f"{tmp_path}/out", cfg)
     assert again.chunks_written == 0 and rows_of(again.predictions) == rows_of(run.predictions)
+
+
+def test_command_line(spark, tables, tmp_path, capsys):
+    for name, df in zip(("sales", "stores", "products"), tables):
+        df.write.parquet(f"{tmp_path}/{name}")
+    inputs = [a for n, t in (("transactions", "sales"), ("stores", "stores"), ("products", "products"))
+              for a in (f"--{n}", f"{tmp_path}/{t}")]
+    main(["forecast", *inputs, "--out", f"{tmp_path}/out", "--run-id", "r1", "--no-model", "--no-csv"])
+    main(["export", "--predictions", f"{tmp_path}/out/r1", "--out", f"{tmp_path}/int", "--head-rows", "5"])
+    assert f"{tmp_path}/out/r1" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/int").count() == 60
+    assert spark.read.parquet(f"{tmp_path}/int_head5").count() == 5
+
+
+def test_nothing_to_export(spark, bulky, tmp_path):
+    with pytest.raises(ValueError, match="no predictions"):
+        run_export(spark, bulky.where("store_chunk < 0"), f"{tmp_path}/none")
