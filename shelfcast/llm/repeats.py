@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,13 +115,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Rows: (kind, first, second, least, doc_id, content, starts). Kind 0: leaves that repeat; kind 1: leaves of the first
     node, which may have begun in an earlier range; kind 2: the first and the last node with their least id.
+    Neighbouring leaves of one text are one row.
     """
-    task = TaskContext.get().partitionId()
-    schema = pa.schema([("kind", pa.int32()), ("first", pa.int64()), ("second", pa.int64()), ("least", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("task", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("first", pa.int64()), ("second", pa.int64()), ("least", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("starts", pa.list_(pa.int32()))])
     node, least, in_first = None, None, True
 
     def border(node, least) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"kind": 2, "first": node[0], "second": node[1], "least": least, "task": task}], schema=schema)
+        return pa.RecordBatch.from_pylist([{"kind": 2, "first": node[0], "second": node[1], "least": least}], schema=schema)
 
     for batch in batches:
         n = batch.num_rows
@@ -139,16 +138,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = head | (doc > leasts)
         if repeated.any():
             rows = np.flatnonzero(repeated)
+            content = batch.column(3).to_numpy()
+            owner = np.column_stack([number[rows], doc[rows], content[rows]])
+            lead = np.concatenate(([True], (owner[1:] != owner[:-1]).any(axis=1)))
+            leads = rows[lead]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(head[rows].astype(np.int32)),
-                    pa.array(a[rows]),
-                    pa.array(b[rows]),
-                    pa.array(leasts[rows]),
-                    batch.column(2).take(pa.array(rows)),
-                    batch.column(3).take(pa.array(rows)),
-                    batch.column(4).take(pa.array(rows)),
-                    pa.array(np.full(len(rows), task, np.int32)),
+                    pa.array(head[leads].astype(np.int32)),
+                    *(pa.array(c[leads]) for c in (a, b, leasts, doc, content)),
+                    lists(np.append(np.flatnonzero(lead), len(rows)), batch.column(4).take(pa.array(rows))),
                 ],
                 schema=schema,
             )
@@ -160,7 +158,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield border(node, least)
 
 
-WALKED = "kind int, first long, second long, least long, doc_id long, content long, start int, task int"
+WALKED = "kind int, first long, second long, least long, doc_id long, content long, starts array<int>"
 
 
 def repeated_windows(docs: DataFrame, known: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -193,8 +191,8 @@ def repeated_windows(docs: DataFrame, known: DataFrame, window: int) -> tuple[Da
     # Two rows for each range at most.
     borders = walked.where("kind = 2").groupBy("first", "second").agg(F.min("least").alias("least"))
     heads = walked.where("kind = 1").drop("least").join(F.broadcast(borders), ["first", "second"]).where("doc_id > least")
-    found = walked.where("kind = 0").select("doc_id", "content", "start").unionByName(heads.select("doc_id", "content", "start"))
-    return stored(found.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set("start")).alias("starts")), "repeats-found"), texts
+    found = walked.where("kind = 0").select("doc_id", "content", "starts").unionByName(heads.select("doc_id", "content", "starts"))
+    return stored(found.groupBy("doc_id", "content").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats-found"), texts
 
 
 def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
