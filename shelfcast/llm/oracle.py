@@ -71,5 +71,47 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP3 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS t FROM pages
+), h AS (
+    SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS hex FROM p
+), f AS (
+    SELECT hex, min(page_id) AS lo FROM h GROUP BY hex
+), digits AS (
+    SELECT page_id, payload_bytes, hex, lo, [CAST('0x' || hex[5 * i + 1:5 * i + 5] AS BIGINT) FOR i IN range(0, 8)] AS groups
+    FROM h JOIN f USING (hex)
+)
+SELECT page_id, payload_bytes,
+       array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((g >> s) & 31 AS INTEGER) + 1, 1) FOR s IN [15, 10, 5, 0]] FOR g IN groups]), '') AS payload_digest,
+       CASE WHEN page_id = lo THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lo THEN lo END AS refers_to
+FROM digits
+"""
+
+OP9 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+    SELECT vec_id, label, e, sqrt(list_sum([x * x FOR x IN e])) AS norm FROM v
+    WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), edge AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v
+    UNION
+    SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b
+), c AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+    SELECT a, count(*) AS n FROM edge GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4, "op6_substring_dedup": OP6, "op8_decontamination": OP8}
+    return {"op3_warc_dictionary": OP3, "op9_flat_graph": OP9, "op4_jaccard_join": OP4, "op6_substring_dedup": OP6, "op8_decontamination": OP8}

@@ -50,6 +50,7 @@ class Record:
     page_id: int | None
     url: str | None
     payload: bytes
+    payload_bytes: int
     sha1: bytes
     refers_to: int | None
 
@@ -66,7 +67,7 @@ class Record:
             ("WARC-Record-ID", f"<{name}>"),
             ("WARC-Date", DATE),
             ("WARC-Payload-Digest", f"sha1:{self.digest()}"),
-            ("X-Payload-Length", str(len(self.payload))),
+            ("X-Payload-Length", str(self.payload_bytes)),
         ]
         if self.url is not None:
             fields.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in self.url)))
@@ -90,12 +91,14 @@ def parse(raw: bytes) -> Record:
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
     name = fields["WARC-Record-ID"].strip("<>")
     revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (hashlib.sha1(payload).digest() != digest or len(payload) != int(fields["X-Payload-Length"])):
+    size = int(fields["X-Payload-Length"])
+    if not revisit and (hashlib.sha1(payload).digest() != digest or len(payload) != size):
         raise ValueError(f"payload of {name} doesn't fit its digest")
     return Record(
         int(name.removeprefix("urn:page:")) if name.startswith("urn:page:") else None,
         fields.get("WARC-Target-URI"),
         payload,
+        size,
         digest,
         int(fields["WARC-Refers-To"].strip("<>").removeprefix("urn:page:")) if revisit else None,
     )
@@ -195,7 +198,7 @@ def _write(folder: str, file_bytes: int):
             for page, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 archive = archive or ArchiveWriter(task_file(folder, ".warc.zst"))
                 payload = utf8(html)
-                archive.add(Record(page, url, payload, hashlib.sha1(payload).digest(), refers_to))
+                archive.add(Record(page, url, payload, len(payload), hashlib.sha1(payload).digest(), refers_to))
                 if archive.out.size >= file_bytes:
                     done.append(archive.close())
                     archive = None
@@ -240,8 +243,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 rows, held = [], 0
                 for r in read_archive(path):
                     kind = "response" if r.refers_to is None else "revisit"
-                    row = {"page_id": r.page_id, "payload_digest": r.digest(), "record_type": kind, "refers_to": r.refers_to}
-                    rows.append(row | ({"url": r.url, "payload": r.payload} if payloads else {}) | {"payload_bytes": len(r.payload) if kind == "response" else None})
+                    row = {"page_id": r.page_id, "payload_bytes": r.payload_bytes, "payload_digest": r.digest(), "record_type": kind, "refers_to": r.refers_to}
+                    rows.append(row | ({"url": r.url, "payload": r.payload} if payloads else {}))
                     held += len(r.payload)
                     if len(rows) >= 10_000 or held >= 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
