@@ -31,6 +31,9 @@ TOKEN = np.dtype("<u2")
 END = 50256
 BLOCK_TOKENS = 1 << 20
 FILE_BYTES = 64 << 20
+#: Blocks of a task, and tasks at most.
+TASK_BLOCKS = 8
+MOST_TASKS = 20_000
 
 
 def _write(folder: str, end: int, file_bytes: int):
@@ -85,7 +88,9 @@ def count_tokens(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOK
     width = TOKEN.itemsize
     checked = files.select("path", F.when(F.col("bytes") % width == 0, F.col("bytes")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(" is no whole number of tokens")))).alias("bytes"))
     blocks = checked.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / (block_tokens * width)))).alias("block"))
-    blocks = stored(blocks.repartition("path", "block"), "separators-blocks")
+    blocks = stored(blocks, "separators-blocks")
+    # By their few bytes the rows of blocks would all go to one task, so the number of tasks is given.
+    tasks = min(MOST_TASKS, max(1, blocks.count() // TASK_BLOCKS))
 
     def scan(batches):
         for batch in batches:
@@ -96,7 +101,7 @@ def count_tokens(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOK
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in rows)], names=["path", "block", "first", "last", "n_ends", "n_tokens"])
 
-    found = blocks.mapInArrow(scan, BLOCK)
+    found = blocks.repartition(tasks, "path", "block").mapInArrow(scan, BLOCK)
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("path")
     carried = stored(
@@ -122,7 +127,7 @@ def count_tokens(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOK
                     names=["path", "ordinal", "start", "n_tokens", "closed"],
                 )
 
-    return carried.repartition("path", "block").mapInArrow(documents, "path string, ordinal long, start long, n_tokens long, closed boolean")
+    return carried.repartition(tasks, "path", "block").mapInArrow(documents, "path string, ordinal long, start long, n_tokens long, closed boolean")
 
 
 def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
