@@ -42,6 +42,7 @@ TRAIN_RECORDS = 512
 TRAIN_BYTES = 2 << 20
 LEAST_RECORDS = 16
 LEVEL = 3
+MOST_TASKS = 20_000
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -255,6 +256,6 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     fields += [("url", pa.string()), ("payload", pa.binary())] if payloads else []
     schema = pa.schema(fields)
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if payloads else "")
-    # One archive a task, wherever there are tasks enough.
-    files = archives.select("path").repartition("path")
+    # About one archive a task; the number is given, since by their few bytes the paths would all go to one.
+    files = archives.select("path").repartition(min(MOST_TASKS, max(1, archives.count())), "path")
     return files.mapInArrow(run, ddl)
