@@ -37,8 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     Edges are long pairs without nulls; loops and repeated edges don't matter. Each round halves
     what is left of long chains; rounds end when the edges no longer change.
     """
-    loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
-    edges = stored(edges.select("a", "b").where("a <> b").distinct(), "components-edges")
+    given = stored(edges.select("a", "b").distinct(), "components-given")
+    loops = given.where("a = b").select(F.col("a").alias("node"))
+    edges = given.where("a <> b")
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
         if not state[0]:

@@ -259,7 +259,7 @@ def _block_links(percent: int):
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["member", "side"])
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
             sets = [np.frombuffer(x, np.uint64) for x in right["elements"]]
@@ -333,12 +333,13 @@ def _rest(tested: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
     stars = stars.where("lo <> hi and n > 2").select("hub", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     stars = stored(stars.join(centre, "hub", "left").select("hub", "blocks", F.coalesce("centre", "hub").alias("centre")), "jaccard-open")
     members = placed.join(stars, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    # Left: members outside the centre's component, by their block; right: all members, by theirs.
-    left = members.where("component <> centre").select(
-        "hub", "member", "component", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    )
-    right = members.select("hub", "member", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"))
-    blocks = left.unionByName(right).join(sets.withColumnRenamed("set_id", "member"), "member")
+    # Each pair of blocks (i, j): members outside the centre's component of block i (sides 0 and 2) against
+    # all members of block j (sides 1 and 2). Where i = j a member is sent once for both.
+    outside, others = F.col("component") <> F.col("centre"), F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")
+    own = members.select("hub", "member", "component", F.when(outside, 2).otherwise(1).alias("side"), F.col("block").alias("i"), F.col("block").alias("j"))
+    left = members.where(outside).select("hub", "member", "component", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(others).alias("j"))
+    right = members.select("hub", "member", "component", F.lit(1).alias("side"), F.explode(others).alias("i"), F.col("block").alias("j"))
+    blocks = own.unionByName(left).unionByName(right).join(sets.withColumnRenamed("set_id", "member"), "member")
     return blocks.groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 
 
