@@ -335,7 +335,7 @@ def _rest(tested: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
     members = placed.join(stars, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     # Each pair of blocks (i, j): members outside the centre's component of block i (sides 0 and 2) against
     # all members of block j (sides 1 and 2). Where i = j a member is sent once for both.
-    outside, others = F.col("component") <> F.col("centre"), F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")
+    outside, others = F.col("component") != F.col("centre"), F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")
     own = members.select("hub", "member", "component", F.when(outside, 2).otherwise(1).alias("side"), F.col("block").alias("i"), F.col("block").alias("j"))
     left = members.where(outside).select("hub", "member", "component", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(others).alias("j"))
     right = members.select("hub", "member", "component", F.lit(1).alias("side"), F.explode(others).alias("i"), F.col("block").alias("j"))
