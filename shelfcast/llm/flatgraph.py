@@ -131,7 +131,7 @@ def shards(nodes: DataFrame, overlap: int, size: int) -> DataFrame:
         large = stored(large.withColumn("k", F.least(F.lit(MOST_CENTRES), F.ceil(F.col("n") * 2 / size) + 1).cast("int")), "flatgraph-large")
         rest = stored(open_.join(large, "shard"), "flatgraph-rest")
         # The sample of a shard has a bounded size in expectation, and shards are worked off in portions.
-        sample = rest.where(F.xxhash64("node", "shard") % 1_000_000 < F.lit(1_000_000) * CENTRE_SAMPLE / F.col("n")).select("shard", "unit").toPandas()
+        sample = rest.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_000)) < F.lit(1e6 * CENTRE_SAMPLE) / F.col("n")).select("shard", "unit").toPandas()
         wanted = {r["shard"]: r["k"] for r in large.collect()}
         centres = _centres(sample, wanted)
         open_ = stored(rest.select("shard", "node", "unit").mapInArrow(_split(centres, overlap), MEMBER).distinct(), "flatgraph-open")
