@@ -46,6 +46,8 @@ RECALL = 0.95
 #: Vectors that centres are chosen from, for each label and level.
 CENTRE_SAMPLE = 4096
 MOST_CENTRES = 64
+#: Shards whose centres (at most MOST_CENTRES vectors each) the driver holds at a time.
+PORTION = 2048
 LEVELS = 4
 
 
@@ -76,21 +78,18 @@ def _matrix(units) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
-def _centres(sample: pd.DataFrame, wanted: dict[str, int]) -> dict[str, np.ndarray]:
-    """Centres of each shard that is too large: a few rounds of spherical k-means on its sample."""
-    out = {}
-    for shard, rows in sample.groupby("shard"):
-        x = _matrix(rows["unit"].tolist())
-        random = np.random.default_rng(hash64(shard.encode()) % 2**32)
-        c = x[random.choice(len(x), min(len(x), wanted[shard]), replace=False)]
-        for _ in range(4):
-            near = np.argmax(x @ c.T, axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            norms = np.linalg.norm(sums, axis=1)
-            c = np.where((norms > 0)[:, None], sums / np.maximum(norms, 1e-300)[:, None], c)
-        out[shard] = c
-    return out
+def _centres(rows: pd.DataFrame) -> pd.DataFrame:
+    """Centres of a shard that is too large: a few rounds of spherical k-means on its sample."""
+    shard, wanted, x = rows["shard"].iloc[0], int(rows["k"].iloc[0]), _matrix(rows["unit"].tolist())
+    random = np.random.default_rng(hash64(shard.encode()) % 2**32)
+    c = x[random.choice(len(x), min(len(x), wanted), replace=False)]
+    for _ in range(4):
+        near = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norms = np.linalg.norm(sums, axis=1)
+        c = np.where((norms > 0)[:, None], sums / np.maximum(norms, 1e-300)[:, None], c)
+    return pd.DataFrame({"shard": [shard], "size": [x.shape[1]], "centres": [c.tobytes()]})
 
 
 def _split(centres: dict[str, np.ndarray], overlap: int):
@@ -130,11 +129,20 @@ def shards(nodes: DataFrame, overlap: int, size: int) -> DataFrame:
             break
         large = stored(large.withColumn("k", F.least(F.lit(MOST_CENTRES), F.ceil(F.col("n") * 2 / size) + 1).cast("int")), "flatgraph-large")
         rest = stored(open_.join(large, "shard"), "flatgraph-rest")
-        # The sample of a shard has a bounded size in expectation, and shards are worked off in portions.
-        sample = rest.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_000)) < F.lit(1e6 * CENTRE_SAMPLE) / F.col("n")).select("shard", "unit").toPandas()
-        wanted = {r["shard"]: r["k"] for r in large.collect()}
-        centres = _centres(sample, wanted)
-        open_ = stored(rest.select("shard", "node", "unit").mapInArrow(_split(centres, overlap), MEMBER).distinct(), "flatgraph-open")
+        # The sample of a shard has a bounded size in expectation; only centres reach the driver, of
+        # PORTION shards at a time.
+        sample = rest.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_000)) < F.lit(1e6 * CENTRE_SAMPLE) / F.col("n"))
+        found = stored(sample.groupBy("shard").applyInPandas(_centres, "shard string, size long, centres binary"), "flatgraph-centres")
+        portions = 1 + large.count() // PORTION
+        parts = []
+        for i in range(portions):
+            mine = F.pmod(F.xxhash64("shard"), F.lit(portions)) == i
+            centres = {r["shard"]: np.frombuffer(r["centres"], np.float64).reshape(-1, r["size"]) for r in found.where(mine).collect()}
+            own = rest.where(mine).select("shard", "node", "unit").mapInArrow(_split(centres, overlap), MEMBER)
+            parts.append(stored(own.distinct(), "flatgraph-open"))
+        open_ = parts[0]
+        for part in parts[1:]:
+            open_ = open_.unionByName(part)
     # What centres can't split: parts by hash, and every pair of parts as a shard.
     left = open_.join(large.select("shard", F.ceil(F.col("n") * 2 / size).cast("int").alias("parts")), "shard")
     left = left.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))

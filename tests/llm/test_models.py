@@ -75,7 +75,7 @@ def test_awkward_rows(spark, documents, module, labels):
 
 def test_spans_are_offsets_in_the_text(spark, documents):
     # İ grows when lower-cased; offsets must stay those of the text.
-    clean = [(i, f"plain words number {chr(97 + i % 26)} go here") for i in range(10, 200)]
+    clean = [(i, f"İ plain words number {chr(97 + i % 26)} go here") for i in range(10, 200)]
     toxic = [(i, f"İ plain words Badword{'xyz'[i % 3]} go here {chr(97 + i % 26)}") for i in range(200, 300)]
     labels = spark.createDataFrame([(i, 1, int(i >= 200)) for i, _ in clean + toxic], "doc_id long, quality int, toxic int")
     rows = toxicity.scored(documents(clean + toxic), labels).collect()
