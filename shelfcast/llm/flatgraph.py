@@ -252,7 +252,8 @@ def _neighbours(degree: int, alpha: float):
         # Both directions, so that every node can be reached from its neighbours.
         pairs = pd.DataFrame({"node": np.concatenate([nodes[i], nodes[other]]), "near": np.concatenate([nodes[other], nodes[i]])})
         lists = pairs.drop_duplicates().groupby("node")["near"].agg(list)
-        return pd.DataFrame({"shard": rows["shard"].iloc[0], "node": lists.index.to_numpy(), "near": lists.to_list()})
+        near = pd.Series(lists.to_list(), dtype=object)  # also where a lone node has no neighbours
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "node": lists.index.to_numpy(np.int64), "near": near})
 
     return run
 
