@@ -25,12 +25,21 @@ def _parser() -> argparse.ArgumentParser:
     forecast.add_argument("--sample-rate", type=float, default=ForecastConfig.product_sample_rate)
     forecast.add_argument("--extinct-weeks", type=int, default=ForecastConfig.extinct_weeks)
     forecast.add_argument("--chunk-size", type=int, default=ForecastConfig.store_chunk_size)
+    forecast.add_argument("--rounds", type=int, default=ForecastConfig.boost_rounds)
+    forecast.add_argument("--patience", type=int, default=ForecastConfig.early_stop_rounds)
+    forecast.add_argument("--learning-rate", type=float, default=ForecastConfig.learning_rate)
+    forecast.add_argument("--min-train-rows", type=int, default=ForecastConfig.min_train_rows)
+    forecast.add_argument("--missing-model", choices=("base", "zero"), default=ForecastConfig.missing_model)
+    forecast.add_argument("--clip-base", action="store_true")
+    forecast.add_argument("--week-anchor", choices=("tuesday", "monday"), default=ForecastConfig.week_anchor)
+    forecast.add_argument("--date-format", action="append", default=[], help="tried after ISO dates; may be repeated")
 
     export = commands.add_parser("export", help="write the integer-coded result")
     export.add_argument("--predictions", required=True, help="a run's folder, or one of chunk files")
     export.add_argument("--out", required=True)
     export.add_argument("--size-cap-mb", type=float, default=ExportConfig.size_cap_mb)
     export.add_argument("--head-rows", type=int, default=ExportConfig.head_rows)
+    export.add_argument("--row-group-rows", type=int, default=ExportConfig.row_group_rows)
     export.add_argument("--prefer-brotli", action="store_true")
     return parser
 
@@ -46,6 +55,14 @@ def main(argv: list[str] | None = None) -> None:
             store_chunk_size=args.chunk_size,
             use_model=not args.no_model,
             write_csv=not args.no_csv,
+            boost_rounds=args.rounds,
+            early_stop_rounds=args.patience,
+            learning_rate=args.learning_rate,
+            min_train_rows=args.min_train_rows,
+            missing_model=args.missing_model,
+            clip_base=args.clip_base,
+            week_anchor=args.week_anchor,
+            date_formats=tuple(args.date_format),
         )
         run = run_forecast(
             spark,
@@ -61,7 +78,10 @@ def main(argv: list[str] | None = None) -> None:
         print(run.run_dir)
     else:
         cfg = ExportConfig(
-            size_cap_mb=args.size_cap_mb, head_rows=args.head_rows, prefer_brotli=args.prefer_brotli
+            size_cap_mb=args.size_cap_mb,
+            head_rows=args.head_rows,
+            row_group_rows=args.row_group_rows,
+            prefer_brotli=args.prefer_brotli,
         )
         print(run_export(spark, load_predictions(spark, args.predictions), args.out, cfg))
 

@@ -37,6 +37,10 @@ FEATURES = (
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+# Settings that change how a run is laid out and not what it results in.
+LAYOUT = ("products_per_block", "chunks_per_commit", "fit_parallelism", "write_full", "write_csv")
+
+
 @dataclass(frozen=True)
 class ForecastConfig:
     # Defaults that decide results.
@@ -58,16 +62,18 @@ class ForecastConfig:
     # Choices where more than one reading is useful.
     week_anchor: str = "tuesday"  # or "monday"
     clip_base: bool = False
-    missing_model: str = "zero"  # or "base"
+    missing_model: str = "base"  # or "zero"
     strict_split: bool = False
     use_model: bool = True
     date_formats: tuple[str, ...] = ()
 
-    # Physical layout only; no effect on results.
+    # Rows of a training task; the trees depend on it, since split candidates are sampled by position.
+    train_rows_per_partition: int = 50_000
+
+    # Physical layout only (``LAYOUT``); no effect on results.
     products_per_block: int = 20_000
     chunks_per_commit: int = 64
     fit_parallelism: int = 5
-    train_rows_per_partition: int = 50_000
     write_full: bool = True
     write_csv: bool = True
 
@@ -82,16 +88,17 @@ class ForecastConfig:
             raise ValueError("recent_weeks must lie in 1..60")
 
     def fingerprint(self, *extra: str) -> str:
-        """Short hash naming a run: equal settings and inputs resume each other."""
-        payload = json.dumps([asdict(self), *extra], sort_keys=True)
+        """Short hash of what decides a run's results: the settings but for ``LAYOUT``, and the inputs."""
+        settings = {k: v for k, v in asdict(self).items() if k not in LAYOUT}
+        payload = json.dumps([settings, *extra], sort_keys=True)
         return hashlib.sha256(payload.encode()).hexdigest()[:16]
 
 
 @dataclass(frozen=True)
 class ExportConfig:
     # Defaults that decide results.
-    size_cap_mb: float | None = 15
-    head_rows: int = 1_499_900
+    size_cap_mb: float | None = None  # a cap drops the last chunks
+    head_rows: int | None = None  # no head copy
     row_group_rows: int = 32_768
     prefer_brotli: bool = False
 

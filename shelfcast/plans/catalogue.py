@@ -192,6 +192,15 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_forecast(run_forecast(spark, *tables, folder, cfg).predictions)
 
 
+def rerun_other_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all transactions, then one over those before 1998 into the same folder: the second's result."""
+    folder, cfg = new_scratch(spark, "rerun"), replace(SMALL_CHUNKS, use_model=False, write_csv=False, write_full=False)
+    sales, stores, products = (view(spark, sf_dir) for view in (testbed.transactions, testbed.stores, testbed.products))
+    run_forecast(spark, sales, stores, products, folder, cfg)
+    early = sales.where(F.col("transaction_date") < F.lit("1998-01-01").cast("date"))
+    return rounded_forecast(run_forecast(spark, early, stores, products, folder, cfg).predictions)
+
+
 def _full_run(spark: SparkSession, sf_dir: str):
     return run_forecast(
         spark,
@@ -276,7 +285,7 @@ def queries() -> dict[str, Query]:
         return lambda spark, sf_dir: build(Feed(spark, sf_dir, **options))
 
     week = [*PAIR, "week_start"]
-    keep_base = replace(CFG, missing_model="base")
+    keep_base, zeros = replace(CFG, missing_model="base"), replace(CFG, missing_model="zero")
     return {
         "prepared_transactions": over_feed(lambda f: f.prepared),
         "prepared_lenient": prepared_lenient,
@@ -347,9 +356,10 @@ def queries() -> dict[str, Query]:
         "base_forecast_pairs": over_feed(lambda f: f.forecast_pairs().select(*PAIR, "extinct", six("base"))),
         "base_forecast": over_feed(lambda f: rounded_forecast(f.forecast())),
         "override_rows": over_feed(
-            lambda f: model.overrides_to_rows(last_point_overrides(f)).select(*PAIR, "horizon", six("prediction"))
+            lambda f: model.overrides_to_rows(last_point_overrides(f)).select(*PAIR, "horizon", six("prediction")),
+            cfg=zeros,
         ),
-        "override_apply": over_feed(lambda f: rounded_forecast(f.forecast(last_point_overrides(f)))),
+        "override_apply": over_feed(lambda f: rounded_forecast(f.forecast(last_point_overrides(f))), cfg=zeros),
         "override_keep_base": over_feed(
             lambda f: rounded_forecast(f.forecast(last_point_overrides(f))), cfg=keep_base
         ),
@@ -364,6 +374,7 @@ def queries() -> dict[str, Query]:
         "metrics_csv": metrics_csv,
         "resume_pending": resume_pending,
         "resumed_run": resumed_run,
+        "rerun_other_input": rerun_other_input,
         "export_files": export_files,
         "export_files_capped": export_files_capped,
         "model_forecast": model_forecast,

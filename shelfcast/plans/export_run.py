@@ -1,4 +1,4 @@
-"""The integer export: coded, rounded, capped in size, with a short head copy."""
+"""The integer export: coded and rounded; on demand capped in size and with a short head copy."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ BATCH_GROWTH = 8
 @dataclass(frozen=True)
 class ExportRun:
     path: str
-    head_path: str
+    head_path: str | None
     chunks_kept: int
     chunks_total: int
     bytes: int
@@ -128,6 +128,9 @@ class _Prefixes:
 def load_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions under canonical names, from a run's folder or from one of chunk files."""
     if path_exists(spark, f"{folder}/manifest"):
+        stores = spark.read.parquet(f"{folder}/stores")
+        if not storage.pending_chunks(spark, folder, stores).isEmpty():
+            raise ValueError(f"the run in {folder} is unfinished; start it again to complete it")
         return storage.read_chunks(spark, folder)
     rows = storage.read_chunk_files(spark, folder)
     roles = detect_roles(rows)
@@ -180,7 +183,9 @@ def run_export(
     kept = prefixes.longest(cap)
     size = prefixes.write(kept, out_path)
 
-    head_path = f"{out_path}_head{cfg.head_rows}"
-    first = head(spark.read.parquet(out_path), cfg.head_rows)
-    sinks.write_parquet(first.coalesce(1), head_path, codec, cfg.row_group_rows)
+    head_path = None
+    if cfg.head_rows is not None:
+        head_path = f"{out_path}_head{cfg.head_rows}"
+        first = head(spark.read.parquet(out_path), cfg.head_rows)
+        sinks.write_parquet(first.coalesce(1), head_path, codec, cfg.row_group_rows)
     return ExportRun(out_path, head_path, kept, len(chunks), size, codec)

@@ -52,6 +52,32 @@ def run_summary(
     return counted.withColumn("expected_predictions", expected)
 
 
+def input_digest(*tables: DataFrame | None) -> str:
+    """A digest of the rows of the inputs, whatever they are read from and in whatever order.
+
+    One scan of the columns at hand, aggregated where they are read: files rewritten under the same
+    name, other filters and tables in memory all count.
+    """
+    parts = []
+    for df in tables:
+        if df is None:
+            parts.append("none")
+            continue
+        row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+        sums = [F.count(F.lit(1)), F.coalesce(F.bit_xor(row), F.lit(0)), F.sum(F.shiftright(row, 32)), F.sum(row.bitwiseAND(0xFFFFFFFF))]
+        parts.append(f"{df.columns} {tuple(df.agg(*sums).first())}")
+    return " | ".join(parts)
+
+
+def _claim(spark: SparkSession, run_dir: str, fingerprint: str) -> None:
+    """Note whose run a folder is; refuses one that began with other inputs or settings."""
+    mark = f"{run_dir}/fingerprint"
+    schema = "fingerprint string"
+    found = storage.stage_table(spark, mark, lambda: spark.createDataFrame([(fingerprint,)], schema).coalesce(1))
+    if (other := found.first()[0]) != fingerprint:
+        raise ValueError(f"{run_dir} holds a run over other inputs or settings ({other}); choose another run id")
+
+
 def original_names(predictions: DataFrame, roles: Roles) -> DataFrame:
     """The four columns of the result under the names the transactions use."""
     return predictions.select(
@@ -94,15 +120,19 @@ def run_forecast(
 ) -> ForecastRun:
     """Forecast and write everything below ``out_dir/run_id``.
 
-    The run id defaults to a hash of the settings and the input files, so that
-    starting the same run again goes on where the last attempt stopped, and a
-    run over other data never meets old chunks. ``max_commits`` ends the chunk
-    step early, to be continued by a later call.
+    The run id defaults to a hash of the settings that decide results and of the
+    rows the transactions, stores and products hold, so that starting the same run
+    again goes on where the last attempt stopped, and a run over other data never
+    meets old chunks. With a run id of one's own, a folder begun with other inputs
+    or settings is refused. ``max_commits`` ends the chunk step early, to be
+    continued by a later call.
     """
     roles = detect_roles(transactions)
     require_columns(transactions, roles)
-    inputs = [f for df in (transactions, stores, products) if df is not None for f in sorted(df.inputFiles())]
-    run_dir = f"{out_dir.rstrip('/')}/{run_id or cfg.fingerprint(*inputs)}"
+    used = [c for c in (roles.store, roles.product, "transaction_date", "quantity", "discount") if c in transactions.columns]
+    fingerprint = cfg.fingerprint(input_digest(transactions.select(*used), stores, products))
+    run_dir = f"{out_dir.rstrip('/')}/{run_id or fingerprint}"
+    _claim(spark, run_dir, fingerprint)
 
     def table(name: str, build) -> DataFrame:
         return storage.stage_table(spark, f"{run_dir}/{name}", build)

@@ -261,4 +261,5 @@ WHERE total_bytes <= 500000 OR n = 1"""
         "resume_pending": _with("SELECT DISTINCT store_chunk FROM chunks WHERE store_chunk >= 3"),
         "resumed_run": BASE_FORECAST,
         "export_files": EXPORT,
+        "rerun_other_input": BASE_FORECAST.replace(BASE_VIEW, BASE_VIEW + "\n    WHERE l_shipdate < DATE '1998-01-01'"),
     }

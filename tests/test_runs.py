@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import os
+from dataclasses import replace
 
 import pyarrow.parquet as pq
 import pytest
@@ -75,6 +76,37 @@ def test_a_chunk_without_manifest_entry_is_written_again(spark, tables, whole, t
 def test_other_settings_or_inputs_are_another_run(spark, tables, whole, tmp_path):
     other = run_forecast(spark, tables[0], None, None, str(tmp_path), CFG, max_commits=1)
     assert os.path.basename(other.run_dir) != os.path.basename(whole.run_dir)
+    layout = run_forecast(spark, *tables, str(tmp_path), replace(CFG, chunks_per_commit=3, write_csv=False), max_commits=1)
+    assert os.path.basename(layout.run_dir) == os.path.basename(whole.run_dir)
+
+
+def test_rows_decide_the_run_whatever_they_are_read_from(spark, tables, whole, tmp_path):
+    sales, stores, products = tables
+    fewer = run_forecast(spark, sales.where("quantity > 4"), stores, products, str(tmp_path), CFG, max_commits=1)
+    assert os.path.basename(fewer.run_dir) != os.path.basename(whole.run_dir)
+    in_memory = [spark.createDataFrame(df.collect(), df.schema) for df in tables]
+    same = run_forecast(spark, *in_memory, str(tmp_path), CFG, max_commits=1)
+    assert os.path.basename(same.run_dir) == os.path.basename(whole.run_dir)
+    changed = in_memory[0].withColumn("quantity", in_memory[0]["quantity"] + 1)
+    assert run_forecast(spark, changed, *in_memory[1:], str(tmp_path), CFG, max_commits=1).run_dir != same.run_dir
+    # Files rewritten under the same name.
+    sales.write.parquet(f"{tmp_path}/sales")
+    before = run_forecast(spark, spark.read.parquet(f"{tmp_path}/sales"), stores, products, str(tmp_path), CFG, max_commits=1)
+    changed.write.mode("overwrite").parquet(f"{tmp_path}/sales")
+    after = run_forecast(spark, spark.read.parquet(f"{tmp_path}/sales"), stores, products, str(tmp_path), CFG, max_commits=1)
+    assert before.run_dir == same.run_dir != after.run_dir
+
+
+def test_own_run_id_refuses_other_inputs(spark, tables, tmp_path):
+    run_forecast(spark, *tables, str(tmp_path), CFG, run_id="mine", max_commits=1)
+    with pytest.raises(ValueError, match="other inputs or settings"):
+        run_forecast(spark, tables[0].where("quantity > 4"), *tables[1:], str(tmp_path), CFG, run_id="mine")
+
+
+def test_an_unfinished_run_is_not_exported(spark, tables, tmp_path):
+    run = run_forecast(spark, *tables, str(tmp_path), CFG, max_commits=1)
+    with pytest.raises(ValueError, match="unfinished"):
+        load_predictions(spark, run.run_dir)
 
 
 def test_export_layout_and_head(spark, whole, tmp_path):
