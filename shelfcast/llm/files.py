@@ -32,7 +32,7 @@ class Writer:
         system, inner = file_system(path)
         system.create_dir(inner.rpartition("/")[0], recursive=True)
         self.path, self.size = path, 0
-        self.stream = system.open_output_stream(inner)
+        self.stream = system.open_output_stream(inner, compression=None)
 
     def write(self, data: bytes) -> None:
         self.stream.write(data)
@@ -54,7 +54,7 @@ def read_range(path: str, start: int, size: int) -> bytes:
 
 def chunks(path: str, size: int = 1 << 20) -> Iterator[bytes]:
     system, inner = file_system(path)
-    with system.open_input_stream(inner) as stream:
+    with system.open_input_stream(inner, compression=None) as stream:
         while data := stream.read(size):
             yield data
 
