@@ -49,6 +49,8 @@ class ForecastConfig:
     product_sample_rate: float = 0.20
     extinct_weeks: int = 12
     recent_weeks: int = 4
+    # The pairs whose labelled rows models learn from: at most top_pairs, fewer if pairs x weeks
+    # would exceed max_panel_rows. All pairs that still sell are scored, whatever these are.
     top_pairs: int = 50_000
     max_panel_rows: int = 4_000_000
     min_capped_pairs: int = 1_000
@@ -65,7 +67,8 @@ class ForecastConfig:
     missing_model: str = "base"  # or "zero"
     strict_split: bool = False
     use_model: bool = True
-    date_formats: tuple[str, ...] = ()
+    # Tried in this order on text that is no ISO date.
+    date_formats: tuple[str, ...] = ("yyyyMMdd", "M/d/yyyy", "MMM d, yyyy")
 
     # Rows of a training task; the trees depend on it, since split candidates are sampled by position.
     train_rows_per_partition: int = 50_000

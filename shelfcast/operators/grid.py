@@ -65,7 +65,7 @@ def pair_facts(
     if overrides is None:
         pairs = pairs.withColumn("override", F.lit(None).cast("array<double>"))
     else:
-        overrides = broadcast_if_small(overrides.select(*PAIR, "override"), cfg.top_pairs)
+        overrides = overrides.select(*PAIR, "override")
         pairs = pairs.join(overrides, PAIR, "left")
     chunks = broadcast_if_small(stores.select(STORE, "store_chunk"), n_stores)
     return pairs.where("extinct or pair_avg is not null or override is not null").join(chunks, STORE)

@@ -1,4 +1,4 @@
-"""One boosted-tree model per horizon, trained on the panel of the top pairs."""
+"""One boosted-tree model per horizon, trained on the top pairs and applied to all that still sell."""
 
 from __future__ import annotations
 
@@ -109,14 +109,18 @@ def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: Fore
 
 
 def train_models(
-    panel: DataFrame, cfg: ForecastConfig = ForecastConfig()
+    panel: DataFrame, cfg: ForecastConfig = ForecastConfig(), pairs: DataFrame | None = None
 ) -> tuple[dict[int, GBTRegressionModel | None], list[Split]]:
     """One model per horizon, or None where the data do not suffice.
 
+    Only the rows of ``pairs`` are learned from, if given: that bounds the labelled
+    rows, and not which pairs are scored later.
     The panel is held in memory while the models are fitted; horizons are
     independent and are submitted side by side to keep the cluster busy.
     """
     spark = panel.sparkSession
+    if pairs is not None:
+        panel = panel.join(pairs.select(*PAIR), PAIR, "left_semi")
     shared_folder(spark)  # boosting cuts its lineage there
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(panel)
     targets = [c for c in panel.columns if c.startswith("target_")]

@@ -1,4 +1,4 @@
-"""The feature panel of the top pairs, and the naive forecast."""
+"""The feature panel of chosen pairs, and the naive forecast."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shelfcast.config import LAGS, PAIR, PRODUCT, STORE, ForecastConfig
-from shelfcast.operators.sizes import broadcast_if_small, is_small
 
 
 def by_pair() -> WindowSpec:
@@ -14,28 +13,23 @@ def by_pair() -> WindowSpec:
     return Window.partitionBy(*PAIR).orderBy("week_start")
 
 
-def panel_rows(weekly: DataFrame, pairs: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+def panel_rows(weekly: DataFrame, pairs: DataFrame) -> DataFrame:
     """Weekly rows of the chosen pairs, with ``time_idx`` in weeks since the panel's first."""
-    # At most cfg.top_pairs rows.
-    start = F.min("first_week").over(Window.partitionBy())
-    chosen = broadcast_if_small(pairs.select(*PAIR, start.alias("_start")), cfg.top_pairs)
+    start = pairs.agg(F.min("first_week")).scalar()
+    rows = weekly.join(pairs.select(*PAIR), PAIR).withColumn("_start", start)
     weeks = F.datediff("week_start", "_start") / F.lit(7)
-    return weekly.join(chosen, PAIR).withColumn("time_idx", weeks.cast("int")).drop("_start")
+    return rows.withColumn("time_idx", weeks.cast("int")).drop("_start")
 
 
-def add_totals(panel: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+def add_totals(panel: DataFrame) -> DataFrame:
     """Weekly totals of the store and of the product, inside the panel.
 
-    A store or product has at most ``top_pairs`` rows in a week. While that bound
-    is small a window adds them up in one pass; beyond it they are summed in
-    parts before the shuffle and joined back, so that no task holds a hot week.
+    They are summed in parts before the shuffle and joined back, so that no task
+    holds all rows of a hot week.
     """
     for key, name in ((STORE, "store_week_total"), (PRODUCT, "product_global_week")):
-        if is_small(cfg.top_pairs):
-            panel = panel.withColumn(name, F.sum("quantity").over(Window.partitionBy(key, "time_idx")))
-        else:
-            totals = panel.groupBy(key, "time_idx").agg(F.sum("quantity").alias(name))
-            panel = panel.join(totals, [key, "time_idx"])
+        totals = panel.groupBy(key, "time_idx").agg(F.sum("quantity").alias(name))
+        panel = panel.join(totals, [key, "time_idx"])
     return panel
 
 
@@ -63,7 +57,7 @@ def add_last_flag(panel: DataFrame) -> DataFrame:
 
 def feature_panel(weekly: DataFrame, pairs: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
     # Totals first: their shuffles carry narrow rows, and all pair windows share the last one.
-    panel = add_totals(panel_rows(weekly, pairs, cfg), cfg)
+    panel = add_totals(panel_rows(weekly, pairs))
     panel = add_last_flag(add_targets(add_history(panel), cfg.horizons))
     if cfg.strict_split:
         times = {f"target_time_h{h}": F.lead("time_idx", h).over(by_pair()) for h in cfg.horizons}

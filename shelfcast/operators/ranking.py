@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfcast.operators.sizes import is_small
-
-SPLITS = 255
+# Ids of a bucket on average; at least 15 borders, so that short lists take the same way.
+BUCKET_IDS = 10_000
+MIN_SPLITS, MAX_SPLITS = 15, 4_095
 DIGEST_PREFIX = 3  # hex digits: 4,096 buckets
 
 
@@ -42,16 +43,15 @@ def global_row_number(rows: DataFrame, bucket: Column, order: list[Column], name
 def dense_codes(ids: DataFrame, column: str, code: str, n_ids: int) -> DataFrame:
     """Codes 1..n for distinct ids, ascending by id (a dense rank of the list).
 
-    A list counted to be small is numbered by one window. Borders of the buckets
-    of a longer one are the ids with the smallest digests: chosen by content, so
-    that a task run again after a lost executor finds the same borders.
+    Borders of the buckets are the ids with the smallest digests: chosen by
+    content, so that a task run again after a lost executor finds the same
+    borders. Their number follows the number of ids.
     """
-    if is_small(n_ids):
-        return ids.withColumn(code, F.row_number().over(Window.orderBy(column)).cast("bigint"))
+    splits = min(MAX_SPLITS, max(MIN_SPLITS, n_ids // BUCKET_IDS))
     digest = F.md5(F.col(column).cast("string"))
-    borders = ids.select(column).orderBy(digest, column).limit(SPLITS).collect()
+    borders = ids.select(column).orderBy(digest, column).limit(splits).collect()
     id_type = ids.schema[column].dataType
-    literals = F.array(*[F.lit(row[0]).cast(id_type) for row in borders])
+    literals = F.array(*[F.lit(row[0]).cast(id_type) for row in borders]).cast(T.ArrayType(id_type))
     bucket = F.size(F.filter(literals, lambda border: border <= F.col(column)))
     return global_row_number(ids, bucket, [F.col(column)], code).drop("_total")
 

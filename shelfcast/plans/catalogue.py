@@ -59,34 +59,26 @@ class Feed:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return segments.pair_stats(self.prepared, self.cfg)
+        return segments.pair_stats(self.weekly_table, self.cfg)
 
     @cached_property
     def stats_table(self) -> DataFrame:
-        # Weekly sales already written save the scan; the result is the same.
-        written = "weekly_table" in self.__dict__
-        rows = self.weekly_table if written else self.prepared
-        return storage.stage_table(
-            self.spark, new_scratch(self.spark, "pairs"), lambda: segments.pair_stats(rows, self.cfg)
-        )
+        return storage.stage_table(self.spark, new_scratch(self.spark, "pairs"), lambda: self.stats)
 
     @cached_property
     def by_product(self) -> DataFrame:
         return segments.product_stats(self.stats)
 
-    def top(self, rows: DataFrame | None = None) -> DataFrame:
-        rows = self.prepared if rows is None else rows
-        return segments.top_pairs(segments.pair_stats(rows, self.cfg), rows, self.cfg)
+    def top(self) -> DataFrame:
+        return segments.top_pairs(self.stats_table, self.weekly_table, self.cfg)
 
     @cached_property
     def panel_rows(self) -> DataFrame:
-        active = segments.active_pairs(self.top(self.weekly_table))
-        return panel.panel_rows(self.weekly_table, active, self.cfg)
+        return panel.panel_rows(self.weekly_table, segments.active_pairs(self.stats_table))
 
     @cached_property
     def panel(self) -> DataFrame:
-        active = segments.active_pairs(self.top(self.weekly_table))
-        return panel.feature_panel(self.weekly_table, active, self.cfg)
+        return panel.feature_panel(self.weekly_table, segments.active_pairs(self.stats_table), self.cfg)
 
     @cached_property
     def store_list(self) -> DataFrame:
@@ -160,6 +152,25 @@ def prepared_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.prepare_transactions(text, CFG)
 
 
+def prepared_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text in five ways: ISO, compact, with slashes, with month names, and unreadable."""
+    sales = testbed.table(spark, sf_dir, "lineitem")
+    day, way = F.col("l_shipdate"), F.col("l_linenumber")
+    text = sales.select(
+        F.col("l_suppkey").alias("store_id"),
+        F.col("l_partkey").alias("sku"),
+        F.when(way == 1, F.date_format(day, "yyyy-MM-dd"))
+        .when(way == 2, F.date_format(day, "yyyyMMdd"))
+        .when(way == 3, F.date_format(day, "MM/dd/yyyy"))
+        .when(way == 4, F.date_format(day, "MMM d, yyyy"))
+        .when(way == 5, F.date_format(day, "M/d/yyyy"))
+        .otherwise("not known")
+        .alias("transaction_date"),
+        F.col("l_quantity").alias("quantity"),
+    )
+    return prepare.prepare_transactions(text, CFG)
+
+
 def last_point_overrides(feed: Feed) -> DataFrame:
     """A stand-in for models: a quarter of the four-row sum, for all horizons but the last."""
     value = F.round(F.col("qty_4w_sum") / 4, 6)
@@ -253,7 +264,7 @@ def export_files_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_counts(feed: Feed) -> DataFrame:
     stats = feed.stats_table
     representative = segments.representative_products(segments.product_stats(stats), feed.cfg)
-    active = segments.active_pairs(segments.top_pairs(stats, feed.prepared, feed.cfg))
+    active = segments.active_pairs(feed.top())
     return run_summary(feed.store_list, feed.product_list, stats, representative, active, feed.cfg)
 
 
@@ -272,7 +283,7 @@ def model_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = replace(CFG, boost_rounds=8, early_stop_rounds=4)
     feed = Feed(spark, sf_dir, dense=True, cfg=cfg)
     features = storage.stage_table(spark, new_scratch(spark, "panel"), lambda: feed.panel)
-    models, _ = model.train_models(features, cfg)
+    models, _ = model.train_models(features, cfg, segments.active_pairs(feed.top()))
     overrides = model.score_last_points(features, models, cfg)
     return feed.forecast(overrides).select(*PAIR, "horizon", "prediction")
 
@@ -289,6 +300,7 @@ def queries() -> dict[str, Query]:
     return {
         "prepared_transactions": over_feed(lambda f: f.prepared),
         "prepared_lenient": prepared_lenient,
+        "prepared_dates": prepared_dates,
         "universe_stores": over_feed(lambda f: f.store_list),
         "universe_products": over_feed(lambda f: f.product_list),
         "reading_counts": over_feed(lambda f: prepare.reading_counts(f.transactions, f.weekly)),
@@ -317,7 +329,7 @@ def queries() -> dict[str, Query]:
             cfg=replace(CFG, max_panel_rows=400_000),
         ),
         "top_pairs_active": over_feed(
-            lambda f: segments.active_pairs(f.top(), segments.extinct_pairs(f.stats)).select(*PAIR)
+            lambda f: segments.active_pairs(f.top(), segments.extinct_pairs(f.stats_table)).select(*PAIR)
         ),
         "panel_time_idx": over_feed(lambda f: f.panel_rows.select(*week, "quantity", "time_idx")),
         "panel_lags": over_feed(
@@ -329,7 +341,7 @@ def queries() -> dict[str, Query]:
             lambda f: panel.add_history(f.panel_rows).select(*week, "qty_4w_sum", six("qty_12w_mean"))
         ),
         "panel_totals": over_feed(
-            lambda f: panel.add_totals(f.panel_rows, f.cfg).select(
+            lambda f: panel.add_totals(f.panel_rows).select(
                 *week, "store_week_total", "product_global_week"
             )
         ),

@@ -153,10 +153,11 @@ def run_forecast(
 
     overrides, splits = None, spark.createDataFrame([], SPLIT_SCHEMA)
     if cfg.use_model and cfg.top_pairs > 0:
-        features = table("panel", lambda: panel.feature_panel(weekly, active, cfg))
+        # Every pair that still sells is scored; the top pairs bound the rows to learn from.
+        features = table("panel", lambda: panel.feature_panel(weekly, segments.active_pairs(stats), cfg))
 
         def fit_and_score() -> DataFrame:
-            models, sizes = model.train_models(features, cfg)
+            models, sizes = model.train_models(features, cfg, active)
             rows = [(s.horizon, s.train_rows, s.valid_rows) for s in sizes]
             spark.createDataFrame(rows, SPLIT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
                 f"{run_dir}/splits"

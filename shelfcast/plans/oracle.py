@@ -66,7 +66,8 @@ active AS (
     SELECT store_id, product_id FROM top_pairs t
     WHERE NOT EXISTS (SELECT 1 FROM extinct e WHERE e.store_id = t.store_id AND e.product_id = t.product_id)
 ),
-panel_weeks AS (SELECT weekly.* FROM weekly JOIN active USING (store_id, product_id)),
+selling_still AS (SELECT store_id, product_id FROM last_sale WHERE weeks_since_sale <= 12),
+panel_weeks AS (SELECT weekly.* FROM weekly JOIN selling_still USING (store_id, product_id)),
 panel_rows AS (
     SELECT panel_weeks.*,
            CAST((week_start - (SELECT min(week_start) FROM panel_weeks)) // 7 AS INTEGER) AS time_idx
@@ -184,12 +185,29 @@ SELECT store_id, product_id, {WEEK_START.format(day="TRY_CAST(day AS DATE)")} AS
 FROM text WHERE store_id IS NOT NULL AND product_id IS NOT NULL AND TRY_CAST(day AS DATE) IS NOT NULL
 """
 
+PREPARED_DATES = f"""
+WITH text AS (
+    SELECT l_suppkey AS store_id, l_partkey AS product_id, CAST(l_quantity AS DOUBLE) AS quantity,
+           CASE l_linenumber WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 2 THEN strftime(l_shipdate, '%Y%m%d')
+                WHEN 3 THEN strftime(l_shipdate, '%m/%d/%Y') WHEN 4 THEN strftime(l_shipdate, '%b %-d, %Y')
+                WHEN 5 THEN strftime(l_shipdate, '%-m/%-d/%Y') ELSE 'not known' END AS day_text
+    FROM lineitem
+),
+read AS (
+    SELECT *, CAST(try_strptime(day_text, ['%Y-%m-%d', '%Y%m%d', '%m/%d/%Y', '%b %d, %Y']) AS DATE) AS day FROM text
+)
+SELECT store_id, product_id, {WEEK_START.format(day="day")} AS week_start,
+       coalesce(quantity, 0) AS quantity, CAST(0 AS DOUBLE) AS discount
+FROM read WHERE store_id IS NOT NULL AND product_id IS NOT NULL AND day IS NOT NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     week = "store_id, product_id, week_start"
     return {
         "prepared_transactions": _with(f"SELECT {week}, quantity, discount FROM prepared"),
         "prepared_lenient": PREPARED_LENIENT,
+        "prepared_dates": PREPARED_DATES,
         "universe_stores": _with("SELECT store_id FROM store_list"),
         "universe_products": _with("SELECT product_id FROM product_list"),
         "reading_counts": _with(

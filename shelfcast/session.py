@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -46,5 +47,11 @@ def local_session(app: str = "shelfcast", cpus: int | None = None) -> SparkSessi
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    """Whether a reader finds the path; nothing is read."""
+    try:
+        spark.read.text([path, path])  # a single path would also be searched for a stream's log, with a warning
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.session import path_exists
@@ -78,14 +79,20 @@ def read_chunk_files(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions from a folder of ``chunk_<n>.parquet`` files or of ``store_chunk=<n>`` folders."""
     if not path_exists(spark, folder):
         raise FileNotFoundError(f"no such folder: {folder}")
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(status.getPath().getName() for status in fs.listStatus(root))
-    files = [n for n in names if n.startswith("chunk_") and n.endswith(".parquet")]
-    if files:
-        rows = spark.read.parquet(*[f"{folder}/{n}" for n in files])
+    rows = _parquet_if_any(spark.read.option("pathGlobFilter", "chunk_*.parquet"), folder)
+    if rows is not None:
         number = F.regexp_extract(F.col("_metadata.file_path"), r"chunk_(\d+)\.parquet", 1)
         return rows.select("*", number.cast("int").alias("store_chunk"))
-    if any(n.startswith("store_chunk=") for n in names):
-        return spark.read.parquet(folder)
-    raise FileNotFoundError(f"no chunk_*.parquet and no store_chunk=* under {folder}")
+    rows = _parquet_if_any(spark.read, folder)
+    if rows is None or "store_chunk" not in rows.columns:
+        raise FileNotFoundError(f"no chunk_*.parquet and no store_chunk=* under {folder}")
+    return rows
+
+
+def _parquet_if_any(reader: DataFrameReader, folder: str) -> DataFrame | None:
+    try:
+        return reader.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise

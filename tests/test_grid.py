@@ -117,5 +117,8 @@ def test_an_override_never_revives_an_extinct_pair(spark, cfg):
 def test_override_rows_round_trip(spark, cfg):
     rows = [("a", "p", 1, 3.0), ("a", "p", 4, 5.0)]
     df = spark.createDataFrame(rows, "store_id string, product_id string, horizon int, prediction double")
-    back = model.overrides_to_rows(model.overrides_from_rows(df, cfg)).collect()
+    kept = model.overrides_to_rows(model.overrides_from_rows(df, cfg)).collect()
+    assert {(r.horizon, r.prediction) for r in kept} == {(1, 3.0), (2, None), (3, None), (4, 5.0), (5, None)}
+    zeros = ForecastConfig(missing_model="zero")
+    back = model.overrides_to_rows(model.overrides_from_rows(df, zeros)).collect()
     assert {(r.horizon, r.prediction) for r in back} == {(1, 3.0), (2, 0.0), (3, 0.0), (4, 5.0), (5, 0.0)}

@@ -84,6 +84,13 @@ def test_models_beat_a_constant_and_overrides_follow(features, small):
     assert error < constant / 2
 
 
+def test_models_learn_from_the_given_pairs_and_score_all(features, small):
+    few = features.select("store_id", "product_id").where("product_id = 'P3' or product_id = 'p3'").distinct()
+    models, splits = model.train_models(features, small, few)
+    assert [(s.horizon, s.train_rows) for s in splits] == [(h, 3 * 34) for h in range(1, 6)]
+    assert model.score_last_points(features, models, small).count() == 12
+
+
 def test_a_horizon_without_enough_rows_is_skipped(features, small):
     picky = ForecastConfig(**{**small.__dict__, "horizons": (1, 2), "min_train_rows": 445, "boost_rounds": 2})
     # cutoff is 36 for two horizons: 12 * 37 rows train both, one short of the minimum.

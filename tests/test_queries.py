@@ -56,6 +56,18 @@ def test_the_scan_reads_what_is_needed(spark):
     assert "IsNotNull(l_suppkey)" in scan
 
 
+SEGMENTS = (
+    "pair_last_sale extinct_pairs recent_product_avg recent_pair_avg product_totals representative_products "
+    "distinct_weeks top_pairs top_pairs_capped top_pairs_active panel_totals"
+).split()
+
+
+@pytest.mark.parametrize("name", SEGMENTS)
+def test_segment_queries_read_the_transactions_at_most_once(spark, name):
+    """Besides what was written before: none, or the one scan of a query that writes nothing."""
+    assert plan_of(driver.queries()[name](spark, SF)).count("/lineitem.parquet") <= 1
+
+
 def test_weekly_sales_shuffle_once_after_partial_aggregation(spark):
     plan = plan_of(Feed(spark, SF).weekly)
     shuffles = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning", line)]

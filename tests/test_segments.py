@@ -1,10 +1,11 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.config import ForecastConfig
-from shelfcast.operators import panel, prepare, ranking, segments, sizes
+from shelfcast.operators import panel, prepare, ranking, segments
 
 
 @pytest.mark.parametrize("n, wanted", [(0, 0), (2, 0), (12, 2), (13, 3), (25, 5), (5000, 1000)])
@@ -32,14 +33,15 @@ def test_only_selling_products_are_sampled(spark, cfg):
     assert segments.representative_products(products.where("total_sales <= 0"), cfg).count() == 0
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
+@pytest.mark.parametrize("per_bucket", [10, 10_000])
 @pytest.mark.parametrize("dtype", ["string", "bigint"])
-def test_dense_codes_of_long_and_short_lists(spark, monkeypatch, limit, dtype):
-    monkeypatch.setattr(sizes, "BROADCAST_MAX_ROWS", limit)
-    ids = spark.range(2000).select((F.col("id") * 7919 % 100003).cast(dtype).alias("x"))
-    found = {r.x: r.code for r in ranking.dense_codes(ids, "x", "code", 2000).collect()}
+@pytest.mark.parametrize("n", [0, 3, 2000])
+def test_dense_codes_of_long_and_short_lists(spark, monkeypatch, per_bucket, dtype, n):
+    monkeypatch.setattr(ranking, "BUCKET_IDS", per_bucket)
+    ids = spark.range(n).select((F.col("id") * 7919 % 100003).cast(dtype).alias("x"))
+    found = {r.x: r.code for r in ranking.dense_codes(ids, "x", "code", n).collect()}
     assert found == {x: i + 1 for i, x in enumerate(sorted(found))}
-    assert len(found) == 2000
+    assert len(found) == n
 
 
 def stats_of(spark, rows):
@@ -87,15 +89,16 @@ def test_no_history_at_all(spark):
     assert segments.top_pairs(stats, prepared).count() == 0
 
 
-def test_totals_by_window_and_by_join_agree(spark, monkeypatch, cfg):
+def test_totals_equal_sums_over_windows(spark):
     rows = [(f"s{i % 7}", f"p{i % 11}", f"2024-01-{2 + 7 * (i % 4):02d}", float(i)) for i in range(200)]
     stats, prepared = stats_of(spark, rows)
     weekly = prepared.groupBy("store_id", "product_id", "week_start").agg(F.sum("quantity").alias("quantity"))
-    chosen = panel.panel_rows(weekly, stats, cfg)
+    chosen = panel.panel_rows(weekly, stats)
     columns = ["store_id", "product_id", "time_idx", "store_week_total", "product_global_week"]
-    by_window = sorted(panel.add_totals(chosen, cfg).select(columns).collect())
-    monkeypatch.setattr(sizes, "BROADCAST_MAX_ROWS", 1)
-    by_join = sorted(panel.add_totals(chosen, cfg).select(columns).collect())
+    total = lambda key: F.sum("quantity").over(Window.partitionBy(key, "time_idx"))
+    summed = chosen.withColumns({"store_week_total": total("store_id"), "product_global_week": total("product_id")})
+    by_window = sorted(summed.select(columns).collect())
+    by_join = sorted(panel.add_totals(chosen).select(columns).collect())
     assert by_window == by_join and len(by_window) == weekly.count()
 
 
