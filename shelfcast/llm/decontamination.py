@@ -277,37 +277,57 @@ def decontaminate(
 
     Documents without hits come back unchanged, with all their columns. The text of the others
     loses its hit words; a column ``n_chars`` follows it. A benchmark of several shards takes one
-    pass for each.
+    pass for each over the uncut texts; coverage is tested and texts are cut once, by the spans of all.
     """
     at = docs.columns.index(text_col)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    width, schema = len(docs.columns), docs.schema
+
+    def cut(batch: pa.RecordBatch, texts: list, all_spans: list) -> pa.RecordBatch:
+        keep, changed = np.ones(len(texts), bool), False
+        before = list(texts)
+        for i, spans in enumerate(all_spans):
+            if spans:
+                keep[i] = sum(e - s for s, e in spans) <= max_coverage * len(alnum_words(texts[i]))
+                texts[i], changed = without_spans(texts[i], spans), True
+        if not changed:
+            return batch
+        columns = batch.columns
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        if chars is not None:
+            old = batch.column(chars).to_pylist()
+            columns[chars] = pa.array([o if a == b else len(b) for o, a, b in zip(old, before, texts)], batch.schema.field(chars).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    def clean(shared):
-        def run(batches):
+    shards = _broadcast_shards(docs.sparkSession, items, item_id, item_text, window)
+    if not shards:
+        return docs
+    if len(shards) == 1:
+
+        def scan_and_cut(batches):
             for batch in batches:
                 texts = batch.column(at).to_pylist()
-                keep, changed = np.ones(len(texts), bool), False
-                for i, text in enumerate(texts):
-                    words = alnum_words(text)
-                    spans, _ = _built(shared).scan(words)
-                    if spans:
-                        keep[i] = sum(e - s for s, e in spans) <= max_coverage * len(words)
-                        texts[i], changed = without_spans(text, spans), True
-                if changed:
-                    columns = batch.columns
-                    columns[at] = pa.array(texts, batch.schema.field(at).type)
-                    if chars is not None:
-                        old = batch.column(chars).to_pylist()
-                        before = batch.column(at).to_pylist()
-                        columns[chars] = pa.array([o if a == b else len(b) for o, a, b in zip(old, before, texts)], batch.schema.field(chars).type)
-                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-                yield batch
-
-        return run
-
-    for shared in _broadcast_shards(docs.sparkSession, items, item_id, item_text, window):
-        docs = docs.mapInArrow(clean(shared), docs.schema)
-    return docs
+                yield cut(batch, texts, [_built(shards[0]).scan(alnum_words(t))[0] for t in texts])
+
+        return docs.mapInArrow(scan_and_cut, schema)
+
+    def cut_marked(batches):
+        for batch in batches:
+            starts, ends = (batch.column(width + k).to_pylist() for k in (0, 1))
+            spans = [_merged(list(zip(s, e))) if s else [] for s, e in zip(starts, ends)]
+            yield cut(batch.select(list(range(width))), batch.column(at).to_pylist(), spans)
+
+    key, first, last = (f"{name}_{uuid.uuid4().hex}" for name in ("row", "starts", "ends"))
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "decontamination-rows")
+    source = texts_of(keyed, key, text_col).withColumn("row", F.col("doc_id"))
+    marked = [stored(_one_pass(source, shared).where("size(starts) > 0").select("row", "starts", "ends"), "decontamination-pass") for shared in shards]
+    both = marked[0]
+    for other in marked[1:]:
+        both = both.unionByName(other)
+    spans = both.groupBy(F.col("row").alias(key)).agg(
+        F.flatten(F.collect_list("starts")).alias(first), F.flatten(F.collect_list("ends")).alias(last)
+    )
+    return keyed.join(spans, key, "left").drop(key).mapInArrow(cut_marked, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

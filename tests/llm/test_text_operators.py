@@ -202,6 +202,24 @@ def test_decontaminate_cuts_spans_and_keeps_the_rest(spark, documents, words):
     assert kept[1]["n_chars"] == len(kept[1]["text"])
 
 
+def test_decontaminate_does_not_depend_on_the_number_of_shards(spark, documents, words, monkeypatch):
+    rows, items = contaminated(words)
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    # Windows of two shards that overlap; three tenths of a text hit by each of two; words that only a cut brings together.
+    items += [(30, " ".join(a)), (31, " ".join(a[30:] + b[:30])), (32, " ".join(b))]
+    rows += [(80, " ".join(words(80, 1, 60) + a[10:] + b[:5] + words(80, 2, 60))), (81, " ".join(a[:30] + words(40, 3, 60) + b[10:]))]
+    rows += [(82, " ".join(words(60, 4, 60) + b[:20] + a[:40] + b[20:25] + words(60, 5, 60))), (82, " ".join(words(60, 4, 60) + b[:5] + a + b[5:12] + words(60, 5, 60)))]
+    docs = documents(rows)
+
+    def cleaned(shard):
+        monkeypatch.setattr(decontamination, "SHARD_WORDS", shard)
+        out = decontamination.decontaminate(docs, benchmark(spark, items))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        return sorted(map(str, out.collect()))
+
+    assert cleaned(40) == cleaned(500_000)
+
+
 def test_empty_tables(spark, documents):
     empty = documents([]).limit(0)
     assert jaccard.similar_documents(empty).count() == 0
