@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -10,13 +11,13 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.config import FEATURES, PAIR, ForecastConfig
 from shelfcast.functions.numbers import clip_at_zero
 from shelfcast.operators.panel import last_points
-from shelfcast.session import shared_folder
+from shelfcast.session import new_scratch, shared_folder
 
 
 @dataclass(frozen=True)
@@ -79,13 +80,26 @@ def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_trees(spark: SparkSession, model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of the first ``n`` trees: the written model without the others."""
+    if n == model.getNumTrees:
+        return model
+    whole, cut = new_scratch(spark, "grown"), new_scratch(spark, "kept")
+    model.save(whole)
+    metadata = json.loads(spark.read.text(f"{whole}/metadata").first()[0]) | {"numTrees": n}
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(f"{cut}/metadata")
+    spark.read.parquet(f"{whole}/treesMetadata").where(F.col("_1") < n).write.parquet(f"{cut}/treesMetadata")
+    spark.read.parquet(f"{whole}/data").where(F.col("treeID") < n).write.parquet(f"{cut}/data")
+    return GBTRegressionModel.load(cut)
+
+
 def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: ForecastConfig) -> GBTRegressionModel:
     """Boost until the validation error has not improved for a number of rounds.
 
-    The library has no such rule, so the ensemble is grown in doubling sizes (at
-    most twice the work of the last one), its error curve is read once per size,
-    and the ensemble is fitted again at the best size. Trees depend on their
-    predecessors and the seed only, so that is a prefix of the larger one.
+    The library has no such rule and can't add trees to a model, so the ensemble is
+    grown in doubling sizes (at most twice the work of the last one) and its error curve
+    is read once per size. Trees depend on their predecessors and the seed only, so the
+    best size is a prefix of what was grown, which is cut and not fitted again.
     """
 
     def fit(rounds: int) -> GBTRegressionModel:
@@ -104,8 +118,8 @@ def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: Fore
         model = fit(rounds)
         kept, stopped = best_round(model.evaluateEachIteration(valid, "absolute"), cfg.early_stop_rounds)
         if stopped or rounds == cfg.boost_rounds:
-            return model if kept == rounds else fit(kept)
-        rounds = min(cfg.boost_rounds, 2 * rounds)
+            return first_trees(train.sparkSession, model, kept)
+        rounds = cfg.boost_rounds if 3 * rounds >= cfg.boost_rounds else 2 * rounds
 
 
 def train_models(

@@ -279,12 +279,11 @@ def size_capped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole forecast with models, on the view with long histories; few trees."""
-    cfg = replace(CFG, boost_rounds=8, early_stop_rounds=4)
-    feed = Feed(spark, sf_dir, dense=True, cfg=cfg)
+    """The whole forecast with models, on the view with long histories."""
+    feed = Feed(spark, sf_dir, dense=True)
     features = storage.stage_table(spark, new_scratch(spark, "panel"), lambda: feed.panel)
-    models, _ = model.train_models(features, cfg, segments.active_pairs(feed.top()))
-    overrides = model.score_last_points(features, models, cfg)
+    models, _ = model.train_models(features, feed.cfg, segments.active_pairs(feed.top()))
+    overrides = model.score_last_points(features, models, feed.cfg)
     return feed.forecast(overrides).select(*PAIR, "horizon", "prediction")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import FEATURES, ForecastConfig
 from shelfcast.operators import model, panel, prepare, segments
+from shelfcast.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,33 @@ def test_fewer_rounds_are_a_prefix_of_more(features):
     ]
 
 
+def test_the_best_size_is_cut_from_the_grown_ensemble(features, monkeypatch):
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
+    train, valid = data.where("time_idx < 30 and target_h1 >= 0"), data.where("time_idx >= 30 and target_h1 >= 0")
+    plain, sizes = GBTRegressor.fit, []
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows: sizes.append(self.getMaxIter()) or plain(self, rows))
+    cfg = ForecastConfig(boost_rounds=40, early_stop_rounds=4, tree_depth=2, learning_rate=0.45)
+    found = model.fit_with_patience(train, valid, "target_h1", cfg)
+    assert sizes == sorted(set(sizes)) and found.getNumTrees < sizes[-1]
+    short = GBTRegressor(
+        labelCol="target_h1", maxIter=found.getNumTrees, maxDepth=2, stepSize=0.45, seed=cfg.seed
+    )
+    expected = plain(short, train)
+    assert found.treeWeights == expected.treeWeights
+    assert [t.toDebugString.split("\n", 1)[1] for t in found.trees] == [
+        t.toDebugString.split("\n", 1)[1] for t in expected.trees
+    ]
+    rows = [m.transform(valid).select("prediction").collect() for m in (found, expected)]
+    assert rows[0] == rows[1]
+
+
+def test_the_query_trains_with_the_settings_of_the_operator(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(model, "train_models", lambda rows, cfg, pairs: used.append(cfg) or ({}, []))
+    catalogue.model_forecast(spark, "/root/testdata/sf0.001")
+    assert used == [ForecastConfig()]
+
+
 def test_models_beat_a_constant_and_overrides_follow(features, small):
     models, splits = model.train_models(features, small)
     assert all(models[h] is not None for h in range(1, 6)) and len(splits) == 5
