@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import MIX, blank_words, filter_bit, gram_hashes, hash64, id_filter, lists, mixed, passing, scaled, stored, texts_of, word_hashes
@@ -123,18 +123,26 @@ class Signer:
         return names[np.lexsort((names, counts))[halves - k - 1 :]]
 
 
-def described(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, set_id (0: empty)."""
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def described(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """Per document row: doc_id, n_shingles, set_id (0: empty) and, if wanted, text_key."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "set_id"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "set_id", *batch.schema.names[2:]],
             )
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    source, schema = texts_of(docs, id_col, text_col), "doc_id long, n_shingles long, set_id long"
+    if keyed:
+        source, schema = source.withColumn("text_key", text_key(F.col("text"))), schema + ", text_key long"
+    return source.mapInArrow(run, schema)
 
 
 def _packed(size: int, percent: int, bits: int):
@@ -356,14 +364,26 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, whole rows, with one document of each group: that with the smallest id.
+    """``docs``, whole rows, with one row of each group: that with the smallest id.
 
-    Texts without words are in no group and stay, as do rows without an id. Of rows that repeat id and
-    text one stays.
+    Rows are chosen by id and text, so of an id with several texts each is judged by its own group. Among
+    the rows without an id one of each group stays too, also beside a row with an id. Texts without words
+    are in no group and stay. Of rows that repeat id and text one stays, but for those with neither id nor words.
     """
-    found = similar_documents(docs, size, percent, id_col, text_col)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    rows = docs.join(stored(keep, "jaccard-kept"), F.col(id_col).cast("long") == F.col("_kept"))
-    once, repeated = rows.where("_rows = 1"), rows.where("_rows > 1").dropDuplicates([id_col, text_col])
-    chosen = [F.col(f"`{c}`") for c in docs.columns]
-    return once.select(chosen).unionByName(repeated.select(chosen)).unionByName(docs.where(F.col(id_col).isNull()))
+    known = stored(described(docs, size, id_col, text_col, keyed=True), "jaccard-described")
+    groups = stored(linked_sets(docs, known, size, percent, id_col, text_col), "jaccard-groups")
+    rows = F.count("*").alias("rows")
+    texts = known.where("set_id <> 0").groupBy("set_id", "doc_id", "text_key").agg(rows)
+    texts = texts.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+    chosen = texts.groupBy(F.coalesce("component", "set_id").alias("component"), F.isnull("doc_id").alias("no_id")).agg(
+        F.min(F.struct("doc_id", "text_key", "rows")).alias("least")
+    )
+    empty = known.where("set_id = 0").groupBy("doc_id", "text_key").agg(rows)
+    empty = empty.withColumn("rows", F.when(F.isnull("doc_id"), 1).otherwise(F.col("rows")))
+    keep = stored(chosen.select("least.*").unionByName(empty), "jaccard-kept")
+    keep = keep.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key"), F.col("rows").alias("_rows"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (text_key(F.col(text_col)) == F.col("_kept_key"))
+    found = docs.join(keep, same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once, repeated = found.where("_rows = 1"), found.where("_rows > 1").dropDuplicates([id_col, text_col])
+    return once.select(columns).unionByName(repeated.select(columns))

@@ -104,6 +104,20 @@ def test_one_of_each_keeps_whole_rows_and_repeated_ids(documents, words):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 3), (False, 8), (False, 9), (False, 10), (True, 0)]
 
 
+def test_one_of_each_judges_every_text_of_an_id(documents, words):
+    a, b, c, d = (" ".join(words(60, s)) for s in (1, 2, 3, 4))
+    near = [b + " end", d + " one", d + " two"]
+    rows = [(3, b), (5, a), (5, near[0]), (6, a), (7, c), (7, c + " end"), (7, c), (8, a + " end"), (8, words(9, 9)[0])]
+    rows += [(None, d), (None, near[1]), (None, near[2]), (None, d), (None, ""), (None, ""), (9, ""), (9, "")]
+    out = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(documents(rows)).collect()]
+    assert {(i, t) for i, t in out if i in (3, 5, 6)} == {(3, b), (5, a)}
+    assert [t[: len(c)] for i, t in out if i == 7] == [c]
+    assert [t for i, t in out if i == 8] == [words(9, 9)[0]]
+    assert [t[: len(d)] for i, t in out if i is None and t] == [d]
+    assert [t for i, t in out if i is None and not t] == ["", ""] and [t for i, t in out if i == 9] == [""]
+    assert len(out) == 8
+
+
 def brute_repeats(rows, window):
     first = {}
     for doc, text in rows:
