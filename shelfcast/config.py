@@ -58,7 +58,7 @@ class ForecastConfig:
     early_stop_rounds: int = 30
     learning_rate: float = 0.05
     tree_depth: int = 5
-    min_train_rows: int = 10_000
+    min_train_rows: int = 1
     seed: int = 42
 
     # Choices where more than one reading is useful.

@@ -100,6 +100,7 @@ def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: Fore
     grown in doubling sizes (at most twice the work of the last one) and its error curve
     is read once per size. Trees depend on their predecessors and the seed only, so the
     best size is a prefix of what was grown, which is cut and not fitted again.
+    Without a row to validate with, the ensemble has all ``boost_rounds``.
     """
 
     def fit(rounds: int) -> GBTRegressionModel:
@@ -113,6 +114,8 @@ def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: Fore
             seed=cfg.seed,
         ).fit(train)
 
+    if valid.isEmpty():
+        return fit(cfg.boost_rounds)
     rounds = min(cfg.boost_rounds, 2 * cfg.early_stop_rounds)
     while True:
         model = fit(rounds)
@@ -125,7 +128,7 @@ def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: Fore
 def train_models(
     panel: DataFrame, cfg: ForecastConfig = ForecastConfig(), pairs: DataFrame | None = None
 ) -> tuple[dict[int, GBTRegressionModel | None], list[Split]]:
-    """One model per horizon, or None where the data do not suffice.
+    """One model per horizon, or None where there are fewer than ``min_train_rows`` labelled rows.
 
     Only the rows of ``pairs`` are learned from, if given: that bounds the labelled
     rows, and not which pairs are scored later.
@@ -152,7 +155,7 @@ def train_models(
         last_time = assembled.agg(F.max("time_idx")).first()[0]
 
         def fit(split: Split) -> GBTRegressionModel | None:
-            if split.train_rows < cfg.min_train_rows or split.valid_rows == 0:
+            if split.train_rows < max(1, cfg.min_train_rows):
                 return None
             target = f"target_h{split.horizon}"
             train, valid = split_conditions(split.horizon, F.lit(last_time), cfg)

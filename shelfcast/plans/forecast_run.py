@@ -196,7 +196,7 @@ def run_forecast(
         counters = run_summary(store_table, product_table, stats, representative, active, cfg)
         reading = prepare.reading_counts(transactions, weekly)
         done = store_table.join(storage.committed_chunks(spark, run_dir), "store_chunk", "left_semi")
-        skipped = (F.col("train_rows") < cfg.min_train_rows) | (F.col("valid_rows") == 0)
+        skipped = F.col("train_rows") < max(1, cfg.min_train_rows)
         per_horizon = F.array_sort(
             F.collect_list(F.struct("horizon", "train_rows", "valid_rows", skipped.alias("skipped")))
         )

@@ -127,6 +127,16 @@ def test_a_horizon_without_enough_rows_is_skipped(features, small):
     assert model.score_last_points(features, models, picky).count() == 0
 
 
+def test_every_horizon_with_a_labelled_row_is_trained(features):
+    cfg = ForecastConfig(horizons=(1, 2), boost_rounds=3, early_stop_rounds=1, tree_depth=2)
+    # cutoff is 36: the labelled rows up to it train, and none is left to validate with.
+    early = features.where("time_idx <= 36 or time_idx = 39").withColumn("target_h1", F.when(F.col("time_idx") <= 36, F.col("target_h1")))
+    none = early.withColumn("target_h2", F.lit(None).cast("double"))
+    models, splits = model.train_models(none, cfg)
+    assert [(s.train_rows, s.valid_rows) for s in splits] == [(12 * 37, 0), (0, 0)]
+    assert models[1].getNumTrees == 3 and models[2] is None
+
+
 @pytest.mark.parametrize("missing, expected", [("zero", 0.0), ("base", None)])
 def test_skipped_horizons_among_trained_ones(features, small, missing, expected):
     cfg = ForecastConfig(**{**small.__dict__, "horizons": (1, 2), "boost_rounds": 2, "missing_model": missing})
