@@ -112,6 +112,33 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id
 FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+OP11 = f"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_BLANK})), 0) AS size, md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR), text)) AS k
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source
+), w AS (
+    SELECT source, n, r, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][r % 3 + 1] AS w, 2.0::DOUBLE * n AS cap FROM s
+), f AS (
+    SELECT *, sum(n) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open
+    FROM w WINDOW before AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), o AS (
+    SELECT rest, open FROM f WHERE w * rest < cap * open ORDER BY cap / w, r LIMIT 1
+), t AS (
+    SELECT f.source, n, CASE WHEN w * f.rest >= cap * f.open THEN cap ELSE w * o.rest / o.open END AS target FROM f LEFT JOIN o ON true
+), c AS (
+    SELECT *, CASE WHEN n > 0 THEN CAST(floor(floor(target + 0.5) / n) AS BIGINT) ELSE 0 END AS rounds FROM t
+), p AS (
+    SELECT doc_id, size, n, target, rounds, CAST(floor(target + 0.5) AS BIGINT) - rounds * n AS rest,
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+       CAST(rounds * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_dictionary": OP3, "op9_flat_graph": OP9, "op4_jaccard_join": OP4, "op6_substring_dedup": OP6, "op8_decontamination": OP8}
+    return {"op3_warc_dictionary": OP3, "op9_flat_graph": OP9, "op4_jaccard_join": OP4, "op6_substring_dedup": OP6, "op8_decontamination": OP8, "op11_source_mix": OP11}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontamination, flatgraph, jaccard, packing, quality, repeats, separators, toxicity, urltrust, warc
+from shelfcast.llm import alignment, decontamination, flatgraph, jaccard, mixing, packing, periodic, quality, repeats, separators, toxicity, urltrust, warc
 from shelfcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.documents_taken(mixing.mixture(table(spark, sf_dir, "documents")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.valued(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapsed(table(spark, sf_dir, "documents"), rewrite=periodic.planted))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_url_trust,
@@ -73,5 +85,8 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_flat_graph,
         op10_quality,
+        op11_source_mix,
+        op12_token_alignment,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in found}

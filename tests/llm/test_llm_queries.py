@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_the_last_packs_what_is_left(spark):
