@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,12 +149,13 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, last
         )
 
 
-def _list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, pa.int32()))
+#: Ids as packed little-endian numbers of the vocabulary's width; one bit for each token, set where a group ends.
+COLUMNS = ("a", "b", "closes_a", "closes_b")
+ALIGNED = "doc_id long, a binary, b binary, closes_a binary, closes_b binary"
 
 
-LISTS = ("a", "b", "sizes_a", "sizes_b")
-ALIGNED = "doc_id long, a array<int>, b array<int>, sizes_a array<int>, sizes_b array<int>"
+def _id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _align(files: Files):
@@ -165,11 +167,12 @@ def _align(files: Files):
         full = n_a > 0
         last_a, last_b = np.cumsum(n_a)[full] - 1, np.cumsum(n_b)[full] - 1
         closes_a, closes_b = shared_cuts(np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b]), last_a, last_b)
-        at_a, at_b = np.flatnonzero(closes_a), np.flatnonzero(closes_b)
-        groups = np.zeros(len(texts), np.int64)
-        groups[full] = np.diff(np.searchsorted(at_a, last_a, side="right"), prepend=0)
-        columns = [_list(a, n_a), _list(b, n_b), _list(np.diff(at_a, prepend=-1), groups), _list(np.diff(at_b, prepend=-1), groups)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["doc_id", *LISTS])
+        columns = []
+        for each, closes, n in ((each_a, closes_a, n_a), (each_b, closes_b, n_b)):
+            kind = _id_type(len(pair.bytes_a if each is each_a else pair.bytes_b))
+            columns.append((pa.array([x.astype(kind).tobytes() for x in each], pa.binary()), pa.array([np.packbits(c).tobytes() for c in np.split(closes, np.cumsum(n)[:-1])], pa.binary())))
+        (ids_a, bits_a), (ids_b, bits_b) = columns
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), ids_a, ids_b, bits_a, bits_b], names=["doc_id", *COLUMNS])
 
     def run(batches):
         for batch in batches:
@@ -189,68 +192,114 @@ def _align(files: Files):
 
 
 def aligned(docs: DataFrame, files: Files = Files(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, the ids a and b, and how many of each are in every group (sizes_a, sizes_b)."""
+    """Per document row: doc_id, the packed ids a and b, and the bits of the tokens that close a group."""
     return texts_of(docs, id_col, text_col).mapInArrow(_align(files), ALIGNED)
 
 
 @dataclass
 class Chunk:
-    """Some documents of an aligned table, their lists in a row."""
+    """Some documents of an aligned table, their tokens in a row."""
 
     first: int
-    n: dict[str, np.ndarray]
-    values: dict[str, np.ndarray]
-
-
-def _chunks(batch: pa.RecordBatch) -> Iterator[Chunk]:
-    rows = batch.num_rows
-    lists = {c: batch.column(batch.schema.get_field_index(c)) for c in LISTS}
-    offsets = {c: x.offsets.to_numpy().astype(np.int64) for c, x in lists.items()}
+    n_a: np.ndarray
+    n_b: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    closes_a: np.ndarray
+    closes_b: np.ndarray
+
+    def documents(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums of ``values``, one for each token, over the documents."""
+        total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+        ends = np.cumsum(counts)
+        return total[ends] - total[ends - counts]
+
+
+def _chunks(batch: pa.RecordBatch, size_a: int, size_b: int) -> Iterator[Chunk]:
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in COLUMNS]
+    kinds = [np.dtype(_id_type(size)) for size in (size_a, size_b)]
+    counts = [pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) // k.itemsize for c, k in zip(columns, kinds)]
+    held = np.concatenate(([0], np.cumsum(counts[0] + counts[1])))
     start = 0
-    while start < rows:
-        held = offsets["a"][start:] + offsets["b"][start:]
-        stop = min(rows, start + max(1, int(np.searchsorted(held, held[0] + CHUNK, side="right")) - 1))
-        n = {c: np.diff(o[start : stop + 1]) for c, o in offsets.items()}
-        values = {c: x.values.slice(offsets[c][start], offsets[c][stop] - offsets[c][start]).to_numpy(zero_copy_only=False).astype(np.int64) for c, x in lists.items()}
-        yield Chunk(start, n, values)
+    while start < batch.num_rows:
+        stop = min(batch.num_rows, max(start + 1, int(np.searchsorted(held, held[start] + CHUNK, side="right")) - 1))
+        n = [c[start:stop] for c in counts]
+        ids = [np.frombuffer(b"".join(c.slice(start, stop - start).to_pylist()), k).astype(np.int64) for c, k in zip(columns, kinds)]
+        bits = [
+            np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for x, m in zip(c.slice(start, stop - start).to_pylist(), own.tolist())]).astype(bool)
+            for c, own in zip(columns[2:], n)
+        ]
+        yield Chunk(start, *n, *ids, *bits)
         start = stop
 
 
-def document_links(chunk: Chunk, pair: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Lengths:
+    """Bytes of the tokens of both vocabularies by id: all that links need of the tokenizers."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+
+def lengths(files: Files = Files()) -> Lengths:
+    pair = pair_of(files)
+    return Lengths(pair.length_a, pair.length_b)
+
+
+def document_links(chunk: Chunk, lengths: Lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pair of ids (A's times B's vocabulary size, plus B's), document and number of links, by pair and document."""
-    a, b = chunk.values["a"], chunk.values["b"]
-    ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
+    a, b = chunk.a, chunk.b
     if not len(a):
         return (np.zeros(0, np.int64),) * 3
+    ends_a, ends_b = np.cumsum(lengths.a[a]), np.cumsum(lengths.b[b])
     marks = np.zeros((2, ends_a[-1] + 1), bool)
     marks[0, ends_a], marks[1, ends_b] = True, True
     cuts = np.flatnonzero(marks[0] | marks[1])
     # A stretch belongs to the tokens that end with it or are the next to end.
     in_a, in_b = (np.concatenate(([0], np.cumsum(m[cuts])[:-1])) for m in marks)
-    docs = len(chunk.n["a"])
-    document = np.repeat(np.arange(docs), chunk.n["a"])[in_a]
-    key = np.sort((a[in_a] * len(pair.bytes_b) + b[in_b]) * docs + document)
+    docs = len(chunk.n_a)
+    document = np.repeat(np.arange(docs), chunk.n_a)[in_a]
+    key = np.sort((a[in_a] * len(lengths.b) + b[in_b]) * docs + document)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     return key[first] // docs, key[first] % docs, np.diff(np.append(first, len(key)))
 
 
-def pair_counts(table: DataFrame, files: Files = Files()) -> DataFrame:
+def pair_counts(table: DataFrame, lengths: Lengths) -> DataFrame:
     """Per linked pair of ids: pair, docs (documents that hold it linked), best (no pair of its A id has more)."""
+    sizes = len(lengths.a), len(lengths.b)
 
     def run(batches):
-        pair = pair_of(files)
-        size = len(pair.bytes_b)
         for batch in batches:
-            for chunk in _chunks(batch):
-                pairs, _, _ = document_links(chunk, pair)
+            for chunk in _chunks(batch, *sizes):
+                pairs, _, _ = document_links(chunk, lengths)
                 found, docs = np.unique(pairs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(found // size), pa.array(docs)], names=["pair", "a", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(found // sizes[1]), pa.array(docs)], names=["pair", "a", "docs"])
 
-    counted = table.select(*LISTS).mapInArrow(run, "pair long, a long, docs long").groupBy("pair", "a").agg(F.sum("docs").alias("docs"))
+    counted = table.select(*COLUMNS).mapInArrow(run, "pair long, a long, docs long").groupBy("pair", "a").agg(F.sum("docs").alias("docs"))
     best = F.col("docs") == F.max("docs").over(Window.partitionBy("a"))  # at most B's vocabulary for each A id
     return counted.select("pair", "docs", best.alias("best"))
 
 
+def groups(table: DataFrame, files: Files = Files()) -> DataFrame:
+    """An aligned table written out: doc_id, group (from 0), its ids of A and of B."""
+    sizes = [len(x) for x in (lengths(files).a, lengths(files).b)]
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for chunk in _chunks(batch, *sizes):
+                n = chunk.documents(chunk.closes_a, chunk.n_a)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.flatnonzero(closes) + 1)), pa.int32()), pa.array(x, pa.int32()))
+                    for x, closes in ((chunk.a, chunk.closes_a), (chunk.b, chunk.closes_b))
+                ]
+                own = pa.array(chunk.first + np.repeat(np.arange(len(n)), n))
+                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([ids.take(own), pa.array(number), *lists], names=["doc_id", "group", "a", "b"])
+
+    return table.select("doc_id", *COLUMNS).mapInArrow(run, "doc_id long, group long, a array<int>, b array<int>")
+
+
 def head_limit(pairs: DataFrame, head: int) -> int:
     """The least power of two such that at most ``head`` pairs have that many documents or more."""
     rows = pairs.groupBy(F.floor(F.log2("docs")).alias("power")).agg(F.count("*").alias("n")).collect()  # at most 63
@@ -265,16 +314,14 @@ def head_limit(pairs: DataFrame, head: int) -> int:
 
 def _spelled(chunk: Chunk, words: list[bytes], size_a: int) -> list[str]:
     """For each document the hash of ``a1,a2|b1;a3|b2,b3``; words: each id followed by each separator."""
-    a, b, sizes_a, sizes_b = (chunk.values[c] for c in LISTS)
+    sizes_a, sizes_b = (np.diff(np.flatnonzero(c), prepend=-1) for c in (chunk.closes_a, chunk.closes_b))
     group_a, group_b = (np.repeat(np.arange(len(s)), s) for s in (sizes_a, sizes_b))
     ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    code = np.empty(len(a) + len(b), np.int64)
-    at = np.arange(len(a))
-    code[at + (ends_b - sizes_b)[group_a]] = 2 * a + (at + 1 == ends_a[group_a])
-    at = np.arange(len(b))
-    code[at + ends_a[group_b]] = 2 * (size_a + b) + (at + 1 == ends_b[group_b])
+    code = np.empty(len(chunk.a) + len(chunk.b), np.int64)
+    code[np.arange(len(chunk.a)) + (ends_b - sizes_b)[group_a]] = 2 * chunk.a + chunk.closes_a
+    code[np.arange(len(chunk.b)) + ends_a[group_b]] = 2 * (size_a + chunk.b) + chunk.closes_b
     out, start = [], 0
-    for n in (chunk.n["a"] + chunk.n["b"]).tolist():
+    for n in (chunk.n_a + chunk.n_b).tolist():
         spelled = b"".join([words[c] for c in code[start : start + n].tolist()])
         out.append(hashlib.sha256(spelled[:-1]).hexdigest() if n else "")
         start += n
@@ -287,16 +334,16 @@ VALUED = (
 )
 
 
-def _value(files: Files, keys: np.ndarray, docs: np.ndarray, best: np.ndarray):
+def _value(lengths: Lengths, keys: np.ndarray, docs: np.ndarray, best: np.ndarray):
+    sizes = len(lengths.a), len(lengths.b)
+
     def run(batches):
-        pair = pair_of(files)
-        size_a = len(pair.bytes_a)
-        words = [b"%d%s" % (i, s) for i in range(size_a) for s in (b",", b"|")]
-        words += [b"%d%s" % (i, s) for i in range(len(pair.bytes_b)) for s in (b",", b";")]
+        words = [b"%d%s" % (i, s) for i in range(sizes[0]) for s in (b",", b"|")]
+        words += [b"%d%s" % (i, s) for i in range(sizes[1]) for s in (b",", b";")]
         for batch in batches:
-            for chunk in _chunks(batch):
-                rows = len(chunk.n["a"])
-                pairs, document, links = document_links(chunk, pair)
+            for chunk in _chunks(batch, *sizes):
+                rows = len(chunk.n_a)
+                pairs, document, links = document_links(chunk, lengths)
                 at = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
                 known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
                 weights = [links, links[known] * best[at[known]], links[known] * docs[at[known]]]
@@ -306,12 +353,10 @@ def _value(files: Files, keys: np.ndarray, docs: np.ndarray, best: np.ndarray):
                 order = np.argsort(document[~known], kind="stable")
                 rare = np.bincount(document[~known], minlength=rows)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(rare))), pa.int32())
-                groups = chunk.n["sizes_a"]
-                part = slice(chunk.first, chunk.first + rows)
                 columns = [
-                    *(batch.column(batch.schema.get_field_index(c)).slice(part.start, rows) for c in ("row", "doc_id")),
-                    *(pa.array(x) for x in (chunk.n["a"], chunk.n["b"], groups, *sums)),
-                    pa.array(_spelled(chunk, words, size_a), pa.string()),
+                    *(batch.column(batch.schema.get_field_index(c)).slice(chunk.first, rows) for c in ("row", "doc_id")),
+                    *(pa.array(x) for x in (chunk.n_a, chunk.n_b, chunk.documents(chunk.closes_a, chunk.n_a), *sums)),
+                    pa.array(_spelled(chunk, words, sizes[0]), pa.string()),
                     *(pa.ListArray.from_arrays(offsets, pa.array(x[~known][order])) for x in (pairs, links)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in VALUED.split(", ")])
@@ -323,11 +368,12 @@ def valued(docs: DataFrame, files: Files = Files(), id_col: str = "doc_id", text
     """Per document row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     table = aligned(docs, files, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     table = stored(table, "alignment-groups")
-    pairs = stored(pair_counts(table, files), "alignment-pairs")
+    sizes = lengths(files)
+    pairs = stored(pair_counts(table, sizes), "alignment-pairs")
     limit = head_limit(pairs, head)
     frequent = pairs.where(F.col("docs") >= limit).toPandas().sort_values("pair")  # at most ``head`` rows
     keys, counts, best = (frequent[c].to_numpy(np.int64) for c in ("pair", "docs", "best"))
-    rows = stored(table.mapInArrow(_value(files, keys, counts, best), VALUED), "alignment-rows")
+    rows = stored(table.mapInArrow(_value(sizes, keys, counts, best), VALUED), "alignment-rows")
     rare = rows.where(F.size("rare") > 0).select("row", F.inline(F.arrays_zip(F.col("rare").alias("pair"), F.col("rare_links").alias("links"))))
     sums = (
         rare.join(pairs.where(F.col("docs") < limit), "pair")

@@ -161,6 +161,17 @@ def test_alignment_equals_brute_force(spark, head):
     assert sorted((tuple(x) for x in found), key=str) == brute_align(rows)
 
 
+def test_groups_are_spelled_alike(spark):
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(TEXTS)])
+    pair = alignment.pair_of(alignment.Files())
+    spelled = defaultdict(dict)
+    for r in alignment.groups(alignment.aligned(docs)).collect():
+        one, two = b"".join(pair.bytes_a[t] for t in r["a"]), b"".join(pair.bytes_b[t] for t in r["b"])
+        assert one == two and one
+        spelled[r["doc_id"]][r["group"]] = one
+    assert {i: b"".join(g[k] for k in range(len(g))).decode() for i, g in spelled.items()} == {i: " " + t for i, t in enumerate(TEXTS) if t and "▁" not in t}
+
+
 def test_alignment_of_nothing(spark):
     assert alignment.valued(table(spark, []).limit(0)).count() == 0
 
