@@ -31,7 +31,7 @@ SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
 #: Documents of a key range, on average.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 #: Equal rows that are written out together.
 COPIES_PER_BLOCK = 10_000
 #: Blank characters between words: fixed values.
