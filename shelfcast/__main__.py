@@ -28,11 +28,17 @@ def _parser() -> argparse.ArgumentParser:
     forecast.add_argument("--rounds", type=int, default=ForecastConfig.boost_rounds)
     forecast.add_argument("--patience", type=int, default=ForecastConfig.early_stop_rounds)
     forecast.add_argument("--learning-rate", type=float, default=ForecastConfig.learning_rate)
+    forecast.add_argument("--leaves", type=int, default=ForecastConfig.num_leaves)
+    forecast.add_argument("--max-panel-rows", type=int, default=ForecastConfig.max_panel_rows)
+    forecast.add_argument("--horizons", type=int, default=len(ForecastConfig.horizons), help="weeks ahead, from 1")
+    forecast.add_argument("--recent-weeks", type=int, default=ForecastConfig.recent_weeks)
+    forecast.add_argument("--seed", type=int, default=ForecastConfig.seed)
+    forecast.add_argument("--strict-split", action="store_true")
     forecast.add_argument("--min-train-rows", type=int, default=ForecastConfig.min_train_rows)
     forecast.add_argument("--missing-model", choices=("base", "zero"), default=ForecastConfig.missing_model)
     forecast.add_argument("--clip-base", action="store_true")
     forecast.add_argument("--week-anchor", choices=("tuesday", "monday"), default=ForecastConfig.week_anchor)
-    forecast.add_argument("--date-format", action="append", default=[], help="tried after ISO dates; may be repeated")
+    forecast.add_argument("--date-format", action="append", default=[], help="tried after the usual ones; may be repeated")
 
     export = commands.add_parser("export", help="write the integer-coded result")
     export.add_argument("--predictions", required=True, help="a run's folder, or one of chunk files")
@@ -58,11 +64,17 @@ def main(argv: list[str] | None = None) -> None:
             boost_rounds=args.rounds,
             early_stop_rounds=args.patience,
             learning_rate=args.learning_rate,
+            num_leaves=args.leaves,
+            max_panel_rows=args.max_panel_rows,
+            horizons=tuple(range(1, args.horizons + 1)),
+            recent_weeks=args.recent_weeks,
+            seed=args.seed,
+            strict_split=args.strict_split,
             min_train_rows=args.min_train_rows,
             missing_model=args.missing_model,
             clip_base=args.clip_base,
             week_anchor=args.week_anchor,
-            date_formats=tuple(args.date_format),
+            date_formats=(*ForecastConfig.date_formats, *args.date_format),
         )
         run = run_forecast(
             spark,

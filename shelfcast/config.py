@@ -38,7 +38,7 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 
 # Settings that change how a run is laid out and not what it results in.
-LAYOUT = ("products_per_block", "chunks_per_commit", "fit_parallelism", "write_full", "write_csv")
+LAYOUT = ("products_per_block", "chunks_per_commit", "fit_parallelism", "train_rows_per_block", "write_full", "write_csv")
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,8 @@ class ForecastConfig:
     boost_rounds: int = 500
     early_stop_rounds: int = 30
     learning_rate: float = 0.05
-    tree_depth: int = 5
+    num_leaves: int = 31
+    min_leaf_rows: int = 20
     min_train_rows: int = 1
     seed: int = 42
 
@@ -70,13 +71,15 @@ class ForecastConfig:
     # Tried in this order on text that is no ISO date.
     date_formats: tuple[str, ...] = ("yyyyMMdd", "M/d/yyyy", "MMM d, yyyy")
 
-    # Rows of a training task; the trees depend on it, since split candidates are sampled by position.
-    train_rows_per_partition: int = 50_000
+    # Rows that the bounds of the features' bins are read from, chosen by a hash of their keys.
+    bin_sample_rows: int = 200_000
 
     # Physical layout only (``LAYOUT``); no effect on results.
     products_per_block: int = 20_000
     chunks_per_commit: int = 64
     fit_parallelism: int = 5
+    # A block of training rows is held by one task: 31 bytes a row and horizon.
+    train_rows_per_block: int = 1_000_000
     write_full: bool = True
     write_csv: bool = True
 

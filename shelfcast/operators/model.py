@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfcast.config import FEATURES, PAIR, ForecastConfig
 from shelfcast.functions.numbers import clip_at_zero
+from shelfcast.operators import boosting
+from shelfcast.operators.boosting import TreeModel
 from shelfcast.operators.panel import last_points
-from shelfcast.session import new_scratch, shared_folder
+from shelfcast.session import new_scratch
+from shelfcast.sources.storage import stage_table
 
 
 @dataclass(frozen=True)
@@ -69,112 +70,41 @@ def split_counts(panel: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> Da
     return panel.agg(*counts).select(F.inline(per_horizon))
 
 
-def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
-    """Number of trees to keep, and whether patience ran out within ``errors``."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(spark: SparkSession, model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The ensemble of the first ``n`` trees: the written model without the others."""
-    if n == model.getNumTrees:
-        return model
-    whole, cut = new_scratch(spark, "grown"), new_scratch(spark, "kept")
-    model.save(whole)
-    metadata = json.loads(spark.read.text(f"{whole}/metadata").first()[0]) | {"numTrees": n}
-    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(f"{cut}/metadata")
-    spark.read.parquet(f"{whole}/treesMetadata").where(F.col("_1") < n).write.parquet(f"{cut}/treesMetadata")
-    spark.read.parquet(f"{whole}/data").where(F.col("treeID") < n).write.parquet(f"{cut}/data")
-    return GBTRegressionModel.load(cut)
-
-
-def fit_with_patience(train: DataFrame, valid: DataFrame, target: str, cfg: ForecastConfig) -> GBTRegressionModel:
-    """Boost until the validation error has not improved for a number of rounds.
-
-    The library has no such rule and can't add trees to a model, so the ensemble is
-    grown in doubling sizes (at most twice the work of the last one) and its error curve
-    is read once per size. Trees depend on their predecessors and the seed only, so the
-    best size is a prefix of what was grown, which is cut and not fitted again.
-    Without a row to validate with, the ensemble has all ``boost_rounds``.
-    """
-
-    def fit(rounds: int) -> GBTRegressionModel:
-        return GBTRegressor(
-            featuresCol="features",
-            labelCol=target,
-            lossType="squared",
-            stepSize=cfg.learning_rate,
-            maxDepth=cfg.tree_depth,
-            maxIter=rounds,
-            seed=cfg.seed,
-        ).fit(train)
-
-    if valid.isEmpty():
-        return fit(cfg.boost_rounds)
-    rounds = min(cfg.boost_rounds, 2 * cfg.early_stop_rounds)
-    while True:
-        model = fit(rounds)
-        kept, stopped = best_round(model.evaluateEachIteration(valid, "absolute"), cfg.early_stop_rounds)
-        if stopped or rounds == cfg.boost_rounds:
-            return first_trees(train.sparkSession, model, kept)
-        rounds = cfg.boost_rounds if 3 * rounds >= cfg.boost_rounds else 2 * rounds
-
-
 def train_models(
     panel: DataFrame, cfg: ForecastConfig = ForecastConfig(), pairs: DataFrame | None = None
-) -> tuple[dict[int, GBTRegressionModel | None], list[Split]]:
+) -> tuple[dict[int, TreeModel | None], list[Split]]:
     """One model per horizon, or None where there are fewer than ``min_train_rows`` labelled rows.
 
     Only the rows of ``pairs`` are learned from, if given: that bounds the labelled
-    rows, and not which pairs are scored later.
-    The panel is held in memory while the models are fitted; horizons are
-    independent and are submitted side by side to keep the cluster busy.
+    rows, and not which pairs are scored later. The rows are written once, packed into blocks of
+    ``train_rows_per_block``; horizons are independent and are fitted side by side.
     """
     spark = panel.sparkSession
     if pairs is not None:
         panel = panel.join(pairs.select(*PAIR), PAIR, "left_semi")
-    shared_folder(spark)  # boosting cuts its lineage there
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(panel)
     targets = [c for c in panel.columns if c.startswith("target_")]
-    # Rows in a fixed order within a fixed number of partitions: split candidates are
-    # sampled by position. Each level of each tree passes over all of them.
-    partitions = math.ceil(max(1, panel.count()) / cfg.train_rows_per_partition)
-    assembled = (
-        assembled.select(*PAIR, "time_idx", "features", *targets)
-        .repartition(partitions, *PAIR)
-        .sortWithinPartitions(*PAIR, "time_idx")
-        .persist()
-    )
-    try:
-        splits = [Split(*row) for row in split_counts(assembled, cfg).collect()]
-        last_time = assembled.agg(F.max("time_idx")).first()[0]
-
-        def fit(split: Split) -> GBTRegressionModel | None:
-            if split.train_rows < max(1, cfg.min_train_rows):
-                return None
-            target = f"target_h{split.horizon}"
-            train, valid = split_conditions(split.horizon, F.lit(last_time), cfg)
-            columns = ["features", target]
-            return fit_with_patience(
-                assembled.where(train).select(columns), assembled.where(valid).select(columns), target, cfg
-            )
-
-        with ThreadPoolExecutor(cfg.fit_parallelism) as pool:
-            # Each call gets its own wrapper: the thread inherits the job properties of the caller.
-            fits = [pool.submit(inheritable_thread_target(spark)(fit), split) for split in splits]
-            models = {split.horizon: job.result() for split, job in zip(splits, fits)}
-    finally:
-        assembled.unpersist()
+    rows = stage_table(spark, new_scratch(spark, "training"), lambda: panel.select(*PAIR, *FEATURES, *targets))
+    splits = [Split(*row) for row in split_counts(rows, cfg).collect()]
+    fitted = [s.horizon for s in splits if s.train_rows >= max(1, cfg.min_train_rows)]
+    models: dict[int, TreeModel | None] = {s.horizon: None for s in splits}
+    if fitted:
+        n_rows, last_time = rows.agg(F.count("*"), F.max("time_idx")).first()
+        edges = boosting.bin_edges(rows, FEATURES, n_rows, cfg)
+        conditions = {h: split_conditions(h, F.lit(last_time), cfg) for h in fitted}
+        n_blocks = math.ceil(n_rows / cfg.train_rows_per_block)
+        blocks = stage_table(spark, new_scratch(spark, "blocks"), lambda: boosting.blocks_of(rows, FEATURES, conditions, edges, n_blocks))
+
+        def side_by_side(calls: list) -> list:
+            with ThreadPoolExecutor(cfg.fit_parallelism) as pool:
+                # Each call gets its own wrapper: the thread inherits the job properties of the caller.
+                return [job.result() for job in [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]]
+
+        models |= boosting.fit(blocks, edges, fitted, cfg, side_by_side)
     return models, splits
 
 
 def score_last_points(
-    panel: DataFrame, models: dict[int, GBTRegressionModel | None], cfg: ForecastConfig = ForecastConfig()
+    panel: DataFrame, models: dict[int, TreeModel | None], cfg: ForecastConfig = ForecastConfig()
 ) -> DataFrame:
     """store_id, product_id, override: one value per horizon for each pair's last row.
 
@@ -183,18 +113,21 @@ def score_last_points(
     """
     if not any(models.values()):
         return panel.where(F.lit(False)).select(*PAIR, F.lit(None).cast("array<double>").alias("override"))
-    scored = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(last_points(panel))
-    scored = scored.select(*PAIR, "features")
+    fitted = {h: m for h, m in models.items() if m is not None}
+    points = last_points(panel).select(*PAIR, *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    keys = [points.schema[k] for k in PAIR]
+
+    def predict(batches):
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(f)).to_numpy(zero_copy_only=False) for f in FEATURES]
+            bins = boosting.binned(columns, next(iter(fitted.values())).edges)
+            values = [pa.array(m.predict(bins)) for m in fitted.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], names=[*PAIR, *(f"pred_h{h}" for h in fitted)])
+
+    schema = StructType([*keys, *(StructField(f"pred_h{h}", DoubleType()) for h in fitted)])
     missing = F.lit(0.0) if cfg.missing_model == "zero" else F.lit(None).cast("double")
-    values = []
-    for h in cfg.horizons:
-        model = models.get(h)
-        if model is None:
-            values.append(missing)
-        else:
-            scored = model.copy().setPredictionCol(f"pred_h{h}").transform(scored)
-            values.append(clip_at_zero(F.col(f"pred_h{h}")))
-    return scored.select(*PAIR, F.array(*values).alias("override"))
+    values = [clip_at_zero(F.col(f"pred_h{h}")) if h in fitted else missing for h in cfg.horizons]
+    return points.mapInArrow(predict, schema).select(*PAIR, F.array(*values).alias("override"))
 
 
 def overrides_to_rows(overrides: DataFrame) -> DataFrame:

@@ -2,20 +2,20 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from shelfcast.config import FEATURES, ForecastConfig
-from shelfcast.operators import model, panel, prepare, segments
+from shelfcast.operators import boosting, model, panel, prepare, segments
 from shelfcast.plans import catalogue
 
 
 @pytest.fixture(scope="module")
 def small():
-    return ForecastConfig(min_train_rows=100, boost_rounds=6, early_stop_rounds=3, tree_depth=3, learning_rate=0.3)
+    return ForecastConfig(min_train_rows=100, boost_rounds=6, early_stop_rounds=3, num_leaves=8, min_leaf_rows=5, learning_rate=0.3)
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def features(spark, small):
     ],
 )
 def test_patience(errors, patience, kept, stopped):
-    assert model.best_round(errors, patience) == (kept, stopped)
+    assert boosting.best_round(errors, patience) == (kept, stopped)
 
 
 def test_split_sizes(features, small):
@@ -64,33 +64,94 @@ def test_strict_split_drops_targets_from_the_held_back_weeks(spark, features, sm
     assert found == [12 * (34 - h) for h in range(1, 6)]
 
 
-def test_fewer_rounds_are_a_prefix_of_more(features):
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features).where("target_h1 >= 0")
-    fit = lambda n: GBTRegressor(labelCol="target_h1", maxIter=n, maxDepth=3, seed=42).fit(train)
-    long, short = fit(5), fit(3)
-    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [
-        t.toDebugString.split("\n", 1)[1] for t in long.trees[:3]
-    ]
-
-
-def test_the_best_size_is_cut_from_the_grown_ensemble(features, monkeypatch):
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
-    train, valid = data.where("time_idx < 30 and target_h1 >= 0"), data.where("time_idx >= 30 and target_h1 >= 0")
-    plain, sizes = GBTRegressor.fit, []
-    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows: sizes.append(self.getMaxIter()) or plain(self, rows))
-    cfg = ForecastConfig(boost_rounds=40, early_stop_rounds=4, tree_depth=2, learning_rate=0.45)
-    found = model.fit_with_patience(train, valid, "target_h1", cfg)
-    assert sizes == sorted(set(sizes)) and found.getNumTrees < sizes[-1]
-    short = GBTRegressor(
-        labelCol="target_h1", maxIter=found.getNumTrees, maxDepth=2, stepSize=0.45, seed=cfg.seed
-    )
-    expected = plain(short, train)
-    assert found.treeWeights == expected.treeWeights
-    assert [t.toDebugString.split("\n", 1)[1] for t in found.trees] == [
-        t.toDebugString.split("\n", 1)[1] for t in expected.trees
-    ]
-    rows = [m.transform(valid).select("prediction").collect() for m in (found, expected)]
-    assert rows[0] == rows[1]
+def parts(tree):
+    return [x.tolist() for x in (tree.feature, tree.bin, tree.child, tree.value)]
+
+
+def test_fewer_rounds_are_a_prefix_of_more(features, small):
+    patient = replace(small, early_stop_rounds=100, num_leaves=4)
+    long, _ = model.train_models(features, replace(patient, boost_rounds=6))
+    short, _ = model.train_models(features, replace(patient, boost_rounds=3))
+    for h in short:
+        # The best round may be an earlier one.
+        assert [parts(t) for t in short[h].trees] == [parts(t) for t in long[h].trees[: short[h].n_trees]]
+
+
+@pytest.mark.parametrize("rows_per_block", [100, 37])
+def test_trees_do_not_depend_on_the_blocks(features, small, rows_per_block):
+    cfg = replace(small, horizons=(1, 2), boost_rounds=3, early_stop_rounds=2)
+    one, _ = model.train_models(features, cfg)
+    many, _ = model.train_models(features, replace(cfg, train_rows_per_block=rows_per_block))
+    for h in (1, 2):
+        assert one[h].base == many[h].base and [parts(t) for t in one[h].trees] == [parts(t) for t in many[h].trees]
+
+
+def brute_tree(x, residual, leaves, least, rate):
+    """Best-first by trying every split of every leaf: (condition path, value) of each leaf."""
+
+    def best(rows):
+        found = (0.0, None)
+        for f in range(x.shape[1]):
+            for bound in np.unique(x[rows, f])[:-1]:
+                left = rows[x[rows, f] <= bound]
+                right = rows[x[rows, f] > bound]
+                if min(len(left), len(right)) < least:
+                    continue
+                gain = sum(residual[r].sum() ** 2 / len(r) for r in (left, right)) - residual[rows].sum() ** 2 / len(rows)
+                if gain > found[0] + 1e-9:
+                    found = (gain, (left, right))
+        return found
+
+    open_ = [(np.arange(len(x)), best(np.arange(len(x))))]
+    while len(open_) < leaves:
+        k = max(range(len(open_)), key=lambda i: open_[i][1][0])
+        gain, halves = open_[k][1]
+        if gain <= 0:
+            break
+        open_[k : k + 1] = [(r, best(r)) for r in halves]
+    out = np.zeros(len(x))
+    for rows, _ in open_:
+        out[rows] = rate * residual[rows].mean()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_splits_equal_brute_force(seed):
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 12, (300, 4)).astype(float)
+    y = 3 * x[:, 0] + np.where(x[:, 1] > 5, 20.0, 0.0) * (x[:, 2] > 3) + r.normal(size=300)
+    cfg = ForecastConfig(num_leaves=9, min_leaf_rows=7, learning_rate=0.5, boost_rounds=3)
+    edges = [np.unique(c) for c in x.T]
+    bins = boosting.binned(list(x.T), edges)
+    unit = boosting.unit_for(300, np.abs(y).max())
+    row = {"n_train": 300, "n_valid": 0, "train_bins": bins.tobytes(), "valid_bins": b"", "train_y": y.tobytes(), "valid_y": b""}
+    score = np.full(300, y.mean())
+    for tree in boosting.boost(boosting.OneBlock(row, unit, y.mean()), False, unit, cfg):
+        expected = brute_tree(x, y - score, 9, 7, 0.5)
+        assert np.allclose(tree.predict(bins), expected, atol=1e-6)
+        score += expected
+
+
+def test_the_best_round_of_a_validated_fit_is_kept():
+    r = np.random.default_rng(3)
+    x, v = r.normal(size=(400, 3)), r.normal(size=(80, 3))
+    y, w = x[:, 0] + 2 * r.normal(size=400), v[:, 0] + 2 * r.normal(size=80)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 50))) for c in x.T]
+    bins, valid = boosting.binned(list(x.T), edges), boosting.binned(list(v.T), edges)
+    unit = boosting.unit_for(480, max(np.abs(y).max(), np.abs(w).max()))
+    row = {"n_train": 400, "n_valid": 80, "train_bins": bins.tobytes(), "valid_bins": valid.tobytes(), "train_y": y.tobytes(), "valid_y": w.tobytes()}
+    cfg = ForecastConfig(num_leaves=15, min_leaf_rows=5, learning_rate=0.4, boost_rounds=60, early_stop_rounds=8)
+    kept = boosting.boost(boosting.OneBlock(row, unit, 0.0), True, unit, cfg)
+    every = boosting.boost(boosting.OneBlock(row, unit, 0.0), False, unit, cfg)
+    errors = [np.abs(w - sum((t.predict(valid) for t in every[: k + 1]), np.zeros(80))).mean() for k in range(len(every))]
+    assert 0 < len(kept) < 52 and [parts(t) for t in kept] == [parts(t) for t in every[: len(kept)]]
+    assert errors[len(kept) - 1] == pytest.approx(min(errors[: len(kept) + 8]))
+
+
+def test_constant_targets_grow_no_tree():
+    row = {"n_train": 50, "n_valid": 0, "train_bins": bytes(range(50)), "valid_bins": b"", "train_y": np.full(50, 3.0).tobytes(), "valid_y": b""}
+    unit = boosting.unit_for(50, 3.0)
+    assert boosting.boost(boosting.OneBlock(row, unit, 3.0), False, unit, ForecastConfig()) == []
 
 
 def test_the_query_trains_with_the_settings_of_the_operator(spark, monkeypatch):
@@ -128,13 +189,13 @@ def test_a_horizon_without_enough_rows_is_skipped(features, small):
 
 
 def test_every_horizon_with_a_labelled_row_is_trained(features):
-    cfg = ForecastConfig(horizons=(1, 2), boost_rounds=3, early_stop_rounds=1, tree_depth=2)
+    cfg = ForecastConfig(horizons=(1, 2), boost_rounds=3, early_stop_rounds=1, num_leaves=4)
     # cutoff is 36: the labelled rows up to it train, and none is left to validate with.
     early = features.where("time_idx <= 36 or time_idx = 39").withColumn("target_h1", F.when(F.col("time_idx") <= 36, F.col("target_h1")))
     none = early.withColumn("target_h2", F.lit(None).cast("double"))
     models, splits = model.train_models(none, cfg)
     assert [(s.train_rows, s.valid_rows) for s in splits] == [(12 * 37, 0), (0, 0)]
-    assert models[1].getNumTrees == 3 and models[2] is None
+    assert models[1].n_trees == 3 and models[2] is None
 
 
 @pytest.mark.parametrize("missing, expected", [("zero", 0.0), ("base", None)])

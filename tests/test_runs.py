@@ -218,7 +218,7 @@ def test_run_with_models(spark, tmp_path):
     )
     sales.write.parquet(f"{tmp_path}/sales")
     cfg = ForecastConfig(
-        min_train_rows=50, boost_rounds=3, early_stop_rounds=2, tree_depth=2, learning_rate=0.5, missing_model="base"
+        min_train_rows=50, boost_rounds=3, early_stop_rounds=2, num_leaves=4, min_leaf_rows=2, learning_rate=0.5, missing_model="base"
     )
     run = run_forecast(spark, spark.read.parquet(f"{tmp_path}/sales"), None, None, f"{tmp_path}/out", cfg)
     summary = run.summary.first()
