@@ -20,7 +20,8 @@ def _parser() -> argparse.ArgumentParser:
     forecast.add_argument("--out", required=True)
     forecast.add_argument("--run-id")
     forecast.add_argument("--no-model", action="store_true")
-    forecast.add_argument("--no-csv", action="store_true")
+    forecast.add_argument("--dense", action="store_true", help="also write every cell, in chunks and as one table")
+    forecast.add_argument("--no-csv", action="store_true", help="with --dense: no CSV copy")
     forecast.add_argument("--top-pairs", type=int, default=ForecastConfig.top_pairs)
     forecast.add_argument("--sample-rate", type=float, default=ForecastConfig.product_sample_rate)
     forecast.add_argument("--extinct-weeks", type=int, default=ForecastConfig.extinct_weeks)
@@ -60,7 +61,9 @@ def main(argv: list[str] | None = None) -> None:
             extinct_weeks=args.extinct_weeks,
             store_chunk_size=args.chunk_size,
             use_model=not args.no_model,
-            write_csv=not args.no_csv,
+            write_dense=args.dense,
+            write_full=args.dense,
+            write_csv=args.dense and not args.no_csv,
             boost_rounds=args.rounds,
             early_stop_rounds=args.patience,
             learning_rate=args.learning_rate,

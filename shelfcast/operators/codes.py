@@ -13,12 +13,24 @@ from shelfcast.operators.sizes import broadcast_if_small
 PDV, PRODUTO, SEMANA, QUANTIDADE = EXPORT_COLUMNS
 
 
-def store_codes(stores: DataFrame, n_stores: int) -> DataFrame:
-    return dense_codes(stores.select(STORE), STORE, PDV, n_stores)
+def store_codes(stores: DataFrame) -> DataFrame:
+    return dense_codes(stores.select(STORE), STORE, PDV)
 
 
-def product_codes(products: DataFrame, n_products: int) -> DataFrame:
-    return dense_codes(products.select(PRODUCT), PRODUCT, PRODUTO, n_products)
+def product_codes(products: DataFrame) -> DataFrame:
+    return dense_codes(products.select(PRODUCT), PRODUCT, PRODUTO)
+
+
+def coded_layout(predictions: DataFrame) -> DataFrame:
+    """pdv, produto, semana, quantidade (and store_chunk, where present) of rows that carry their codes."""
+    kept = [c for c in ("store_chunk",) if c in predictions.columns]
+    return predictions.select(
+        *kept,
+        F.col("store_code").cast("bigint").alias(PDV),
+        F.col("product_code").cast("bigint").alias(PRODUTO),
+        F.col("horizon").cast("smallint").alias(SEMANA),
+        whole_quantity(F.col("prediction")).alias(QUANTIDADE),
+    )
 
 
 def export_layout(
@@ -28,28 +40,36 @@ def export_layout(
     n_stores: int,
     n_products: int,
 ) -> DataFrame:
-    """pdv, produto, semana, quantidade (and store_chunk, where present).
+    """The layout of predictions that hold ids only.
 
     Code maps whose counted size allows it are broadcast, so that the
     predictions are coded in place; larger ones are left to the planner.
     """
-    kept = [c for c in ("store_chunk",) if c in predictions.columns]
-    return (
-        predictions.join(broadcast_if_small(stores, n_stores), STORE)
-        .join(broadcast_if_small(products, n_products), PRODUCT)
-        .select(
-            *kept,
-            F.col(PDV).cast("bigint").alias(PDV),
-            F.col(PRODUTO).cast("bigint").alias(PRODUTO),
-            F.col("horizon").cast("smallint").alias(SEMANA),
-            whole_quantity(F.col("prediction")).alias(QUANTIDADE),
-        )
-    )
+    by_store = stores.select(STORE, F.col(PDV).alias("store_code"))
+    by_product = products.select(PRODUCT, F.col(PRODUTO).alias("product_code"))
+    ids = predictions.drop("store_code", "product_code")
+    return coded_layout(ids.join(broadcast_if_small(by_store, n_stores), STORE).join(broadcast_if_small(by_product, n_products), PRODUCT))
 
 
 def head(coded: DataFrame, rows: int) -> DataFrame:
-    """The first rows by (pdv, produto, semana), which is a total order."""
-    return coded.select(*EXPORT_COLUMNS).orderBy(PDV, PRODUTO, SEMANA).limit(rows)
+    """The first rows by (pdv, produto, semana), which is a total order.
+
+    Key by key: the running sum of a key's counts shows the value at which the limit is reached; smaller ones
+    are in, and only the rows of that value are looked at by the next key. No task holds all first rows.
+    """
+    coded = coded.select(*EXPORT_COLUMNS)
+    order = (PDV, PRODUTO, SEMANA)
+    inside, at, left = F.lit(False), F.lit(True), rows
+    for key in order:
+        sums = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)  # one row for each value of a key
+        counts = coded.where(at).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        reached = counts.select(key, "n", F.sum("n").over(sums).alias("upto")).where(F.col("upto") > left).orderBy(key).first()
+        if reached is None:
+            return coded.where(inside | at)
+        inside = inside | (at & (F.col(key) < reached[key]))
+        at = at & (F.col(key) == reached[key])
+        left -= reached["upto"] - reached["n"]
+    return coded.where(inside)
 
 
 def fitting_prefix(chunk_bytes: DataFrame, cap_bytes: int) -> DataFrame:

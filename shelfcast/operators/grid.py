@@ -2,8 +2,9 @@
 
 The result has stores x products x horizons rows, most of them determined by
 the product alone; only pairs that are extinct, have their own recent average or
-a model forecast differ. So the grid is never joined or shuffled as such. The
-unit of work is a cell, one product in one chunk of stores (at most
+a model forecast differ. So the primary result is one value per product and the
+facts of the pairs that differ: `asked_pairs` answers for any list of pairs from these. The
+dense grid is made on request, and never joined or shuffled as such. Its unit of work is a cell, one product in one chunk of stores (at most
 ``store_chunk_size`` of them): the pairs that differ are attached to their cell
 as a short list, cells are spread evenly over tasks, and only then is each cell
 unfolded into its stores and horizons, with no exchange behind it.
@@ -23,18 +24,18 @@ from shelfcast.operators.ranking import dense_codes
 from shelfcast.operators.sizes import broadcast_if_small, is_small
 
 
-def chunk_stores(stores: DataFrame, n_stores: int, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+def chunk_stores(stores: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
     """store_id, store_code, store_chunk: stores in ascending order, in chunks of fixed size."""
-    coded = dense_codes(stores, STORE, "store_code", n_stores)
+    coded = dense_codes(stores, STORE, "store_code")
     chunk = F.floor((F.col("store_code") - 1) / F.lit(cfg.store_chunk_size)).cast("int")
     return coded.withColumn("store_chunk", chunk)
 
 
 def product_facts(universe: DataFrame, stats: DataFrame, representative: DataFrame) -> DataFrame:
-    """product_id, global_avg (null if not sold recently), is_representative."""
+    """product_id, product_code, global_avg (null if not sold recently), is_representative."""
     flagged = representative.select(PRODUCT, F.lit(True).alias("is_representative"))
     return (
-        universe.join(stats.select(PRODUCT, "global_avg"), PRODUCT, "left")
+        dense_codes(universe, PRODUCT, "product_code").join(stats.select(PRODUCT, "global_avg"), PRODUCT, "left")
         .join(flagged, PRODUCT, "left")
         .withColumn("is_representative", F.coalesce("is_representative", F.lit(False)))
     )
@@ -67,7 +68,7 @@ def pair_facts(
     else:
         overrides = overrides.select(*PAIR, "override")
         pairs = pairs.join(overrides, PAIR, "left")
-    chunks = broadcast_if_small(stores.select(STORE, "store_chunk"), n_stores)
+    chunks = broadcast_if_small(stores.select(STORE, "store_code", "store_chunk"), n_stores)
     return pairs.where("extinct or pair_avg is not null or override is not null").join(chunks, STORE)
 
 
@@ -89,7 +90,10 @@ def forecast_pairs(
     cfg: ForecastConfig = ForecastConfig(),
     chunks: Sequence[int] | None = None,
 ) -> DataFrame:
-    """store_chunk, store_id, product_id, extinct, base, override for all pairs of the chunks."""
+    """store_chunk, store_id, product_id, their codes, extinct, base, override for all pairs of the chunks.
+
+    Codes come with the cell and its lists, so nothing has to be joined to the unfolded rows.
+    """
     n_chunks = math.ceil(n_stores / cfg.store_chunk_size)
     if chunks is not None:
         wanted = F.col("store_chunk").isin(list(chunks))
@@ -104,14 +108,15 @@ def forecast_pairs(
         products = products.repartition(n_blocks, PRODUCT)  # or a few tasks would make all cells
     cells = products.select(
         PRODUCT,
+        "product_code",
         "global_avg",
         F.pmod(F.xxhash64(PRODUCT), F.lit(n_blocks)).cast("int").alias("product_block"),
         F.explode(chunk_list).alias("store_chunk"),
     )
     # A list holds one entry per store of the chunk at most.
-    entry = F.struct(STORE, "extinct", "pair_avg", "override")
+    entry = F.struct(STORE, "store_code", "extinct", "pair_avg", "override")
     listed = facts.groupBy("store_chunk", PRODUCT).agg(F.collect_list(entry).alias("known"))
-    members = stores.groupBy("store_chunk").agg(F.collect_list(STORE).alias("members"))
+    members = stores.groupBy("store_chunk").agg(F.collect_list(F.struct(STORE, "store_code")).alias("members"))
 
     # One task per block of a chunk, not fewer: unfolding multiplies rows, which
     # the sizes seen by adaptive execution do not show.
@@ -128,27 +133,48 @@ def forecast_pairs(
 
     known = F.coalesce("known", F.array().cast(listed.schema["known"].dataType))
     others = F.transform(
-        F.array_except("members", F.transform(known, lambda k: k[STORE])),
+        F.array_except("members", F.transform(known, lambda k: F.struct(k[STORE].alias(STORE), k["store_code"].alias("store_code")))),
         lambda store: F.struct(
-            store.alias(STORE),
+            store[STORE].alias(STORE),
+            store["store_code"].alias("store_code"),
             F.lit(False).alias("extinct"),
             F.lit(None).cast("double").alias("pair_avg"),
             F.lit(None).cast("array<double>").alias("override"),
         ),
     )
-    unfolded = cells.select("store_chunk", PRODUCT, "global_avg", F.inline(F.concat(known, others)))
+    unfolded = cells.select("store_chunk", PRODUCT, "product_code", "global_avg", F.inline(F.concat(known, others)))
     return unfolded.select(
-        "store_chunk", *PAIR, "extinct", base_value(cfg).alias("base"), "override"
+        "store_chunk", *PAIR, "store_code", "product_code", "extinct", base_value(cfg).alias("base"), "override"
+    )
+
+
+def asked_pairs(
+    asked: DataFrame, stores: DataFrame, products: DataFrame, facts: DataFrame, cfg: ForecastConfig = ForecastConfig()
+) -> DataFrame:
+    """The same columns for the asked pairs only (store_id, product_id); the grid is not unfolded.
+
+    A pair is its product's value unless it is among the facts. Pairs of unknown stores or products
+    are left out; a pair asked twice is answered twice.
+    """
+    own = facts.select(*PAIR, "extinct", "pair_avg", "override")
+    found = (
+        asked.select(*PAIR)
+        .join(stores.select(STORE, "store_code", "store_chunk"), STORE)
+        .join(products.select(PRODUCT, "product_code", "global_avg"), PRODUCT)
+        .join(own, PAIR, "left")
+        .withColumn("extinct", F.coalesce("extinct", F.lit(False)))
     )
+    return found.select("store_chunk", *PAIR, "store_code", "product_code", "extinct", base_value(cfg).alias("base"), "override")
 
 
 def forecast(pairs: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
-    """store_chunk, store_id, product_id, horizon, prediction; an override never revives an extinct pair."""
+    """store_chunk, store_id, product_id, codes, horizon, prediction; an override never revives an extinct pair."""
     horizons = F.explode(F.array(*[F.lit(h) for h in cfg.horizons])).alias("horizon")
     value = F.coalesce(F.get("override", F.col("horizon") - 1), F.col("base"))
     return pairs.select("*", horizons).select(
         "store_chunk",
         *PAIR,
+        *[c for c in ("store_code", "product_code") if c in pairs.columns],
         "horizon",
         F.when(F.col("extinct"), F.lit(0.0)).otherwise(value).alias("prediction"),
     )

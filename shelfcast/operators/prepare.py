@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.config import PAIR, PRODUCT, STORE, ForecastConfig
@@ -58,15 +58,15 @@ def weekly_sales(prepared: DataFrame) -> DataFrame:
     )
 
 
-def reading_counts(transactions: DataFrame, weekly: DataFrame) -> DataFrame:
+def reading_counts(read: DataFrame | Column, weekly: DataFrame) -> DataFrame:
     """One row: transactions read, and those left out for want of a key or a date.
 
-    The first number comes from file footers, the second from the weekly counts;
-    no column of the transactions is read again.
+    The first number is given, or comes from file footers; the second comes from the weekly counts.
+    No column of the transactions is read again.
     """
-    read = transactions.agg(F.count(F.lit(1))).scalar()
+    n_read = read.agg(F.count(F.lit(1))).scalar() if isinstance(read, DataFrame) else read
     used = weekly.agg(F.coalesce(F.sum("trans_count"), F.lit(0))).scalar()
-    counts = transactions.sparkSession.range(1).select(read.alias("transactions_read"), used.alias("_used"))
+    counts = weekly.sparkSession.range(1).select(n_read.cast("bigint").alias("transactions_read"), used.alias("_used"))
     return counts.select(
         "transactions_read", (F.col("transactions_read") - F.col("_used")).alias("transactions_left_out")
     )

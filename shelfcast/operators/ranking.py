@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Ids of a bucket on average; at least 15 borders, so that short lists take the same way.
-BUCKET_IDS = 10_000
-MIN_SPLITS, MAX_SPLITS = 15, 4_095
+from shelfcast.session import new_scratch
+from shelfcast.sources.storage import stage_table
+
 DIGEST_PREFIX = 3  # hex digits: 4,096 buckets
 
 
@@ -40,20 +39,44 @@ def global_row_number(rows: DataFrame, bucket: Column, order: list[Column], name
     )
 
 
-def dense_codes(ids: DataFrame, column: str, code: str, n_ids: int) -> DataFrame:
-    """Codes 1..n for distinct ids, ascending by id (a dense rank of the list).
+def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the 1-based position of each row under ``order``, a total order of the rows.
+
+    The rows are range-partitioned (every key is looked up among the sorted borders by halving), sorted
+    within partitions and written with their place there; the counts of earlier partitions, one row for
+    each, are added. Written once, so that all readers see the same ranges.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    path = new_scratch(rows.sparkSession, "positions")
+    placed = stage_table(rows.sparkSession, path, lambda: placed)
+    # The id of a row is its partition, shifted by 33 bits, plus its place within.
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_before") + place + 1).drop("_part", "_before", "_place")
+
+
+def dense_codes(ids: DataFrame, column: str, code: str) -> DataFrame:
+    """Codes 1..n for distinct ids, ascending by id (a dense rank of the list)."""
+    return positions(ids, [F.col(column)], code)
+
+
+#: Relative error of the quantile that bounds the candidates of ``top_rows``.
+ACCURACY = 10_000
+
+
+def top_rows(rows: DataFrame, value: str, ids: list[str], n_rows: int, wanted: int) -> DataFrame:
+    """The ``wanted`` rows of the greatest ``value``, ties to the smaller ids.
 
-    Borders of the buckets are the ids with the smallest digests: chosen by
-    content, so that a task run again after a lost executor finds the same
-    borders. Their number follows the number of ids.
+    A quantile that is surely low enough leaves about twice as many rows as wanted; only these are sorted, by ranges.
     """
-    splits = min(MAX_SPLITS, max(MIN_SPLITS, n_ids // BUCKET_IDS))
-    digest = F.md5(F.col(column).cast("string"))
-    borders = ids.select(column).orderBy(digest, column).limit(splits).collect()
-    id_type = ids.schema[column].dataType
-    literals = F.array(*[F.lit(row[0]).cast(id_type) for row in borders]).cast(T.ArrayType(id_type))
-    bucket = F.size(F.filter(literals, lambda border: border <= F.col(column)))
-    return global_row_number(ids, bucket, [F.col(column)], code).drop("_total")
+    share = (2 * wanted + 1) / max(n_rows, 1) + 2 / ACCURACY
+    if share < 1:
+        cut = rows.agg(F.percentile_approx(value, 1 - share, ACCURACY)).scalar()
+        rows = rows.where(F.col(value) >= cut)
+    order = [F.col(value).desc(), *(F.col(c) for c in ids)]
+    return positions(rows, order, "_position").where(F.col("_position") <= wanted).drop("_position")
 
 
 def sample_fraction(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:

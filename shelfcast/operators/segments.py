@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.config import PAIR, PRODUCT, STORE, ForecastConfig
+from shelfcast.config import PAIR, PRODUCT, ForecastConfig
 from shelfcast.functions.calendar import whole_weeks
-from shelfcast.operators.ranking import sample_fraction
+from shelfcast.operators.prepare import weekly_sales
+from shelfcast.operators.ranking import sample_fraction, top_rows
+
+# Weeks that one number can mark.
+MOST_BITS = 60
 
 
 def latest_week(rows: DataFrame) -> Column:
-    """The last week of the whole table, as a scalar subquery."""
+    """The last week of the whole table, as a scalar subquery.
+
+    Of weekly sales it takes the quantity along, though it isn't needed: so the subquery aggregates the same columns as
+    `pair_stats` and Spark reuses its shuffle, in place of a second scan.
+    """
+    if "trans_count" in rows.columns:
+        return rows.agg(F.max(F.struct("week_start", "quantity"))["week_start"]).scalar()
     return rows.agg(F.max("week_start")).scalar()
 
 
@@ -19,23 +29,29 @@ def pair_stats(rows: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataF
     """Everything known about a pair, in one aggregation.
 
     ``rows`` may be prepared transactions or weekly sales: sums and maxima come
-    out the same, and the recent weeks are counted as bits set, so that several
-    transactions in one week count once. Reading transactions saves the weekly
-    shuffle; reading a written weekly table saves the wide scan.
+    out the same. Weekly rows are counted as they are; for transactions the recent weeks are
+    bits set, so that several in one week count once, and more weeks than a number has bits are summed by week first.
+    Reading transactions saves the weekly shuffle; reading a written weekly table saves the wide scan.
 
     The recent mean is ``recent_quantity / recent_weeks``: a mean over weeks
     with a sale, from ``recent_weeks`` weeks before the last week on, inclusive.
     """
+    if "trans_count" not in rows.columns and cfg.recent_weeks > MOST_BITS:
+        rows = weekly_sales(rows)
     rows = rows.withColumn("_max_week", latest_week(rows))
     age = (F.datediff("_max_week", "week_start") / F.lit(7)).cast("int")
     recent = age <= cfg.recent_weeks
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), age)
+    if "trans_count" in rows.columns:
+        weeks_sold = F.count_if(recent)
+    else:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), age)
+        weeks_sold = F.bit_count(F.coalesce(F.bit_or(F.when(recent, bit)), F.lit(0)))
     stats = rows.groupBy(*PAIR).agg(
         F.min("week_start").alias("first_week"),
         F.max("week_start").alias("last_week"),
         F.sum("quantity").alias("total_sales"),
         F.sum(F.when(recent, F.col("quantity"))).alias("recent_quantity"),
-        F.bit_count(F.coalesce(F.bit_or(F.when(recent, bit)), F.lit(0))).cast("bigint").alias("recent_weeks"),
+        weeks_sold.cast("bigint").alias("recent_weeks"),
         F.max("_max_week").alias("max_week"),
     )
     weeks = whole_weeks(F.col("max_week"), F.col("last_week"))
@@ -87,18 +103,12 @@ def top_pairs(stats: DataFrame, rows: DataFrame, cfg: ForecastConfig = ForecastC
     Ties go to the smaller ids. Extinct pairs are still among them; they are cut
     afterwards (`active_pairs`), so that fewer than ``top_pairs`` may remain.
     """
-    best = [F.col("total_sales").desc(), F.col(STORE), F.col(PRODUCT)]
-    top = stats.orderBy(*best).limit(cfg.top_pairs)
-    # These two windows see at most cfg.top_pairs rows.
-    top = top.withColumn("_rank", F.row_number().over(Window.orderBy(*best))).withColumn(
-        "_pairs", F.count(F.lit(1)).over(Window.partitionBy())
-    )
-    weeks = distinct_weeks(rows).scalar()
-    fitting = F.greatest(
-        F.floor(F.lit(cfg.max_panel_rows) / F.greatest(weeks, F.lit(1))), F.lit(cfg.min_capped_pairs)
-    )
-    allowed = F.when(F.col("_pairs") * weeks > cfg.max_panel_rows, fitting).otherwise(F.col("_pairs"))
-    return top.where(F.col("_rank") <= allowed).drop("_rank", "_pairs")
+    n_pairs = stats.count()
+    wanted = min(n_pairs, cfg.top_pairs)
+    n_weeks = distinct_weeks(rows).first()[0]
+    if wanted * n_weeks > cfg.max_panel_rows:
+        wanted = min(wanted, max(cfg.max_panel_rows // max(n_weeks, 1), cfg.min_capped_pairs))
+    return top_rows(stats, "total_sales", PAIR, n_pairs, wanted)
 
 
 def active_pairs(pairs: DataFrame, extinct: DataFrame | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import LAGS, PAIR, PRODUCT, STORE, ExportConfig, ForecastConfig
 from shelfcast.operators import codes, evaluate, grid, model, panel, prepare, segments
-from shelfcast.plans.export_run import load_predictions, run_export
-from shelfcast.plans.forecast_run import run_forecast, run_summary
+from shelfcast.plans.export_run import run_export
+from shelfcast.plans.forecast_run import open_run, run_forecast, run_summary
 from shelfcast.session import new_scratch
 from shelfcast.sources import storage, testbed
 from shelfcast.sources.roles import detect_roles
@@ -59,7 +59,9 @@ class Feed:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return segments.pair_stats(self.weekly_table, self.cfg)
+        # Weekly sales are written only where another step reads them too.
+        weekly = self.weekly_table if "weekly_table" in self.__dict__ else self.weekly
+        return segments.pair_stats(weekly, self.cfg)
 
     @cached_property
     def stats_table(self) -> DataFrame:
@@ -70,7 +72,9 @@ class Feed:
         return segments.product_stats(self.stats)
 
     def top(self) -> DataFrame:
-        return segments.top_pairs(self.stats_table, self.weekly_table, self.cfg)
+        # The weeks are counted from keys and dates alone, if weekly sales weren't written for another step.
+        rows = self.weekly_table if "weekly_table" in self.__dict__ else self.prepared
+        return segments.top_pairs(self.stats_table, rows, self.cfg)
 
     @cached_property
     def panel_rows(self) -> DataFrame:
@@ -100,7 +104,7 @@ class Feed:
 
     @cached_property
     def stores(self) -> DataFrame:
-        return grid.chunk_stores(self.store_list, self.n_stores, self.cfg)
+        return storage.stage_table(self.spark, new_scratch(self.spark, "stores"), lambda: grid.chunk_stores(self.store_list, self.cfg))
 
     @cached_property
     def product_table(self) -> DataFrame:
@@ -121,16 +125,14 @@ class Feed:
     def forecast(self, overrides: DataFrame | None = None) -> DataFrame:
         return grid.forecast(self.forecast_pairs(overrides), self.cfg)
 
+    def asked_forecast(self, asked: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+        """The forecast of the asked pairs, from products' values and the pairs that differ."""
+        facts = grid.pair_facts(self.stats_table, self.stores, self.product_table, overrides, self.n_stores, self.n_products, self.cfg)
+        return grid.forecast(grid.asked_pairs(asked, self.stores, self.product_table, facts, self.cfg), self.cfg)
+
     def coded(self) -> DataFrame:
         # Rounded first, so that a last-bit difference of a mean cannot flip a half.
-        predictions = self.forecast().drop("store_chunk").withColumn("prediction", F.round("prediction", 6))
-        return codes.export_layout(
-            predictions,
-            codes.store_codes(self.store_list, self.n_stores),
-            codes.product_codes(self.product_list, self.n_products),
-            self.n_stores,
-            self.n_products,
-        )
+        return codes.coded_layout(self.forecast().drop("store_chunk").withColumn("prediction", F.round("prediction", 6)))
 
 
 def rounded_forecast(predictions: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def last_point_overrides(feed: Feed) -> DataFrame:
 
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks still to do after a run that stopped at its first commit."""
-    cfg = replace(SMALL_CHUNKS, use_model=False, chunks_per_commit=3, write_csv=False)
+    cfg = replace(SMALL_CHUNKS, use_model=False, chunks_per_commit=3, write_dense=True)
     run = run_forecast(
         spark,
         testbed.transactions(spark, sf_dir),
@@ -196,7 +198,7 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run stopped at its first commit and started again: the result is whole."""
-    cfg = replace(SMALL_CHUNKS, use_model=False, chunks_per_commit=3, write_csv=False)
+    cfg = replace(SMALL_CHUNKS, use_model=False, chunks_per_commit=3, write_dense=True)
     folder = new_scratch(spark, "resume")
     tables = [view(spark, sf_dir) for view in (testbed.transactions, testbed.stores, testbed.products)]
     run_forecast(spark, *tables, folder, cfg, max_commits=1)
@@ -205,21 +207,21 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerun_other_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run over all transactions, then one over those before 1998 into the same folder: the second's result."""
-    folder, cfg = new_scratch(spark, "rerun"), replace(SMALL_CHUNKS, use_model=False, write_csv=False, write_full=False)
+    folder, cfg = new_scratch(spark, "rerun"), replace(SMALL_CHUNKS, use_model=False)
     sales, stores, products = (view(spark, sf_dir) for view in (testbed.transactions, testbed.stores, testbed.products))
     run_forecast(spark, sales, stores, products, folder, cfg)
     early = sales.where(F.col("transaction_date") < F.lit("1998-01-01").cast("date"))
     return rounded_forecast(run_forecast(spark, early, stores, products, folder, cfg).predictions)
 
 
-def _full_run(spark: SparkSession, sf_dir: str):
+def _full_run(spark: SparkSession, sf_dir: str, **options):
     return run_forecast(
         spark,
         testbed.transactions(spark, sf_dir),
         testbed.stores(spark, sf_dir),
         testbed.products(spark, sf_dir),
         new_scratch(spark, "run"),
-        replace(SMALL_CHUNKS, use_model=False),
+        replace(SMALL_CHUNKS, use_model=False, **options),
     )
 
 
@@ -227,8 +229,21 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_forecast(_full_run(spark, sf_dir).predictions)
 
 
-def full_run_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_run_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunked table of every cell and its whole copy, as written on request."""
+    run = _full_run(spark, sf_dir, write_dense=True, write_full=True)
+    return rounded_forecast(spark.read.parquet(f"{run.run_dir}/full_predictions"))
+
+
+def asked_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast of every pair that was ordered, looked up in a finished run."""
     run = _full_run(spark, sf_dir)
+    asked = testbed.transactions(spark, sf_dir).select(STORE, PRODUCT).distinct()
+    return rounded_forecast(open_run(spark, run.run_dir).lookup(asked))
+
+
+def full_run_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _full_run(spark, sf_dir, write_dense=True, write_full=True, write_csv=True)
     schema = "store_id bigint, product_id string, horizon int, prediction double"
     read = spark.read.option("header", True).schema(schema).csv(f"{run.run_dir}/full_predictions_csv")
     return rounded_forecast(read)
@@ -241,21 +256,19 @@ def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export(spark: SparkSession, sf_dir: str, cfg: ExportConfig):
-    run = _full_run(spark, sf_dir)
-    return run_export(
-        spark,
-        load_predictions(spark, run.run_dir).withColumn("prediction", F.round("prediction", 6)),
-        new_scratch(spark, "export"),
-        cfg,
-        spark.read.parquet(f"{run.run_dir}/stores"),
-        spark.read.parquet(f"{run.run_dir}/products"),
-    )
+    tables = open_run(spark, _full_run(spark, sf_dir).run_dir)
+    predictions = tables.predictions().withColumn("prediction", F.round("prediction", 6))
+    return run_export(spark, predictions, new_scratch(spark, "export"), cfg, tables.stores, tables.products)
 
 
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_export(spark, sf_dir, ExportConfig()).path)
 
 
+def export_head_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_export(spark, sf_dir, ExportConfig(head_rows=1_000)).head_path)
+
+
 def export_files_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes decide how many chunks stay, so there is no SQL for the row count."""
     return spark.read.parquet(_export(spark, sf_dir, ExportConfig(size_cap_mb=0.004)).path)
@@ -374,13 +387,19 @@ def queries() -> dict[str, Query]:
         "override_keep_base": over_feed(
             lambda f: rounded_forecast(f.forecast(last_point_overrides(f))), cfg=keep_base
         ),
-        "store_codes": over_feed(lambda f: codes.store_codes(f.store_list, f.n_stores)),
-        "product_codes": over_feed(lambda f: codes.product_codes(f.product_list, f.n_products)),
+        "store_codes": over_feed(lambda f: codes.store_codes(f.store_list)),
+        "product_codes": over_feed(lambda f: codes.product_codes(f.product_list)),
         "export_layout": over_feed(lambda f: f.coded()),
         "export_head": over_feed(lambda f: codes.head(f.coded(), 1_000)),
         "size_capped_prefix": size_capped_prefix,
         "run_summary": over_feed(summary_counts),
         "full_run": full_run,
+        "full_run_dense": full_run_dense,
+        "asked_forecast": asked_forecast,
+        "asked_pairs": over_feed(lambda f: rounded_forecast(f.asked_forecast(f.transactions.select(STORE, PRODUCT).distinct()))),
+        "recent_pair_avg_long": over_feed(
+            lambda f: segments.recent_pair_average(f.stats).select(*PAIR, six("pair_avg")), cfg=replace(CFG, recent_weeks=80)
+        ),
         "full_run_csv": full_run_csv,
         "metrics_csv": metrics_csv,
         "resume_pending": resume_pending,
@@ -388,5 +407,6 @@ def queries() -> dict[str, Query]:
         "rerun_other_input": rerun_other_input,
         "export_files": export_files,
         "export_files_capped": export_files_capped,
+        "export_head_file": export_head_file,
         "model_forecast": model_forecast,
     }

@@ -13,18 +13,22 @@ from shelfcast.operators.codes import (
     PDV,
     PRODUTO,
     SEMANA,
+    coded_layout,
     export_layout,
     fitting_prefix,
     head,
     product_codes,
     store_codes,
 )
+from shelfcast.plans.forecast_run import open_run
 from shelfcast.session import new_scratch, path_exists
 from shelfcast.sources import sinks, storage
 from shelfcast.sources.roles import detect_roles
 
 MIB = 1024 * 1024
 BATCH_GROWTH = 8
+# Rows of a file of the head copy.
+HEAD_FILE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -132,6 +136,8 @@ def load_predictions(spark: SparkSession, folder: str) -> DataFrame:
         if not storage.pending_chunks(spark, folder, stores).isEmpty():
             raise ValueError(f"the run in {folder} is unfinished; start it again to complete it")
         return storage.read_chunks(spark, folder)
+    if path_exists(spark, f"{folder}/settings"):
+        return open_run(spark, folder).predictions()
     rows = storage.read_chunk_files(spark, folder)
     roles = detect_roles(rows)
     return rows.select(
@@ -150,31 +156,28 @@ def run_export(
     """Write the integer layout of ``predictions`` (store_chunk, store, product, horizon, prediction).
 
     ``stores`` and ``products`` are the id lists to code by; by default those
-    found in the predictions. The code maps are written beside the output.
+    found in the predictions. The code maps are written beside the output. Predictions of a run that carry their codes
+    are coded as they are, without a join, if its ``stores`` and ``products`` (with codes) are given.
     """
-    stores = predictions if stores is None else stores
-    products = predictions if products is None else products
     out_path = out_path.rstrip("/")
     scratch = new_scratch(spark, "export")
-
-    def distinct_ids(source: DataFrame, column: str) -> tuple[DataFrame, int]:
-        ids = storage.stage_table(spark, f"{scratch}/{column}", lambda: source.select(column).distinct())
-        return ids, ids.count()
-
-    store_list, n_stores = distinct_ids(stores, STORE)
-    product_list, n_products = distinct_ids(products, PRODUCT)
-    sinks.write_parquet(store_codes(store_list, n_stores), f"{out_path}_stores")
-    sinks.write_parquet(product_codes(product_list, n_products), f"{out_path}_products")
-    coded = export_layout(
-        predictions,
-        spark.read.parquet(f"{out_path}_stores"),
-        spark.read.parquet(f"{out_path}_products"),
-        n_stores,
-        n_products,
-    )
+    codes_known = {"store_code", "product_code"} <= set(predictions.columns) and stores is not None and products is not None
+    if codes_known and "store_code" in stores.columns and "product_code" in products.columns:
+        maps = stores.select(STORE, F.col("store_code").alias(PDV)), products.select(PRODUCT, F.col("product_code").alias(PRODUTO))
+        coded = coded_layout(predictions)
+    else:
+        store_list, product_list = (
+            storage.stage_table(spark, f"{scratch}/{column}", lambda: (predictions if given is None else given).select(column).distinct())
+            for given, column in ((stores, STORE), (products, PRODUCT))
+        )
+        maps = tuple(storage.stage_table(spark, f"{scratch}/{name}", lambda: build) for name, build in (("s", store_codes(store_list)), ("p", product_codes(product_list))))
+        coded = export_layout(predictions, *maps, store_list.count(), product_list.count())
+    sinks.write_parquet(maps[0], f"{out_path}_stores")
+    sinks.write_parquet(maps[1], f"{out_path}_products")
 
     # One id per chunk of stores reaches the driver.
-    chunks = sorted(row[0] for row in predictions.select("store_chunk").distinct().collect())
+    listed = stores if stores is not None and "store_chunk" in stores.columns else predictions
+    chunks = sorted(row[0] for row in listed.select("store_chunk").distinct().collect())
     if not chunks:
         raise ValueError("there are no predictions to export")
     codec = sinks.usable_codec(spark, cfg.prefer_brotli)
@@ -187,5 +190,8 @@ def run_export(
     if cfg.head_rows is not None:
         head_path = f"{out_path}_head{cfg.head_rows}"
         first = head(spark.read.parquet(out_path), cfg.head_rows)
-        sinks.write_parquet(first.coalesce(1), head_path, codec, cfg.row_group_rows)
+        files = math.ceil(cfg.head_rows / HEAD_FILE_ROWS)
+        order = [PDV, PRODUTO, SEMANA]
+        first = first.repartitionByRange(files, *order) if files > 1 else first.coalesce(1)
+        sinks.write_parquet(first.sortWithinPartitions(*order), head_path, codec, cfg.row_group_rows)
     return ExportRun(out_path, head_path, kept, len(chunks), size, codec)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.config import PAIR, PRODUCT, STORE, ForecastConfig
 from shelfcast.operators import evaluate, grid, model, panel, prepare, segments
+from shelfcast.session import new_scratch
 from shelfcast.sources import sinks, storage
 from shelfcast.sources.roles import Roles, detect_roles, require_columns
 from shelfcast.sources.universe import product_universe, store_universe
@@ -20,7 +23,10 @@ SPLIT_SCHEMA = "horizon int, train_rows bigint, valid_rows bigint"
 
 @dataclass(frozen=True)
 class ForecastRun:
-    """Where a run lies and what came of it. Tables are read from storage when used."""
+    """Where a run lies and what came of it. Tables are read from storage when used.
+
+    ``predictions`` holds every cell: read from the chunks if these were written, else unfolded when used.
+    """
 
     run_dir: str
     roles: Roles
@@ -31,6 +37,33 @@ class ForecastRun:
     complete: bool
 
 
+@dataclass(frozen=True)
+class RunTables:
+    """The result of a run: stores, one value per product, and the facts of the pairs that differ from it."""
+
+    stores: DataFrame
+    products: DataFrame
+    facts: DataFrame
+    cfg: ForecastConfig
+
+    def lookup(self, asked: DataFrame) -> DataFrame:
+        """store_chunk, store_id, product_id, codes, horizon, prediction of the asked pairs (store_id, product_id)."""
+        return grid.forecast(grid.asked_pairs(asked, self.stores, self.products, self.facts, self.cfg), self.cfg)
+
+    def predictions(self, chunks: Sequence[int] | None = None) -> DataFrame:
+        """The same for every pair, or every pair of some chunks of stores."""
+        sizes = self.stores.count(), self.products.count()
+        pairs = grid.forecast_pairs(self.stores, self.products, self.facts, *sizes, self.cfg, chunks)
+        return grid.forecast(pairs, self.cfg)
+
+
+def open_run(spark: SparkSession, run_dir: str) -> RunTables:
+    """The tables of a finished run."""
+    settings = json.loads(spark.read.text(f"{run_dir}/settings").first()[0])
+    cfg = ForecastConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
+    return RunTables(*(spark.read.parquet(f"{run_dir}/{name}") for name in ("stores", "products", "facts")), cfg)
+
+
 def run_summary(
     stores: DataFrame,
     products: DataFrame,
@@ -52,21 +85,19 @@ def run_summary(
     return counted.withColumn("expected_predictions", expected)
 
 
-def input_digest(*tables: DataFrame | None) -> str:
-    """A digest of the rows of the inputs, whatever they are read from and in whatever order.
+def digest_columns(df: DataFrame) -> list[Column]:
+    """Sums that tell the rows of a table, whatever it is read from and in whatever order."""
+    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor"),
+        F.sum(F.shiftright(row, 32)).alias("high"),
+        F.sum(row.bitwiseAND(0xFFFFFFFF)).alias("low"),
+    ]
 
-    One scan of the columns at hand, aggregated where they are read: files rewritten under the same
-    name, other filters and tables in memory all count.
-    """
-    parts = []
-    for df in tables:
-        if df is None:
-            parts.append("none")
-            continue
-        row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
-        sums = [F.count(F.lit(1)), F.coalesce(F.bit_xor(row), F.lit(0)), F.sum(F.shiftright(row, 32)), F.sum(row.bitwiseAND(0xFFFFFFFF))]
-        parts.append(f"{df.columns} {tuple(df.agg(*sums).first())}")
-    return " | ".join(parts)
+
+def list_digest(df: DataFrame | None) -> str:
+    return "none" if df is None else f"{df.columns} {tuple(df.agg(*digest_columns(df)).first())}"
 
 
 def _claim(spark: SparkSession, run_dir: str, fingerprint: str) -> None:
@@ -85,29 +116,6 @@ def original_names(predictions: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def _write_predictions(
-    spark: SparkSession,
-    run_dir: str,
-    stores: DataFrame,
-    products: DataFrame,
-    facts: DataFrame,
-    n_stores: int,
-    n_products: int,
-    cfg: ForecastConfig,
-    max_commits: int | None,
-) -> tuple[int, bool]:
-    """Predict the chunks still to do, a batch at a time; how many, and whether none is left."""
-    # One id per chunk of stores reaches the driver.
-    pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, stores).collect())
-
-    def predict(chunks) -> DataFrame:
-        pairs = grid.forecast_pairs(stores, products, facts, n_stores, n_products, cfg, chunks)
-        return grid.forecast(pairs, cfg)
-
-    written = storage.write_chunks(spark, run_dir, pending, predict, cfg.chunks_per_commit, max_commits)
-    return written, written == len(pending)
-
-
 def run_forecast(
     spark: SparkSession,
     transactions: DataFrame,
@@ -120,19 +128,33 @@ def run_forecast(
 ) -> ForecastRun:
     """Forecast and write everything below ``out_dir/run_id``.
 
+    The result is a value per product and the facts of the pairs that differ (`open_run`, `RunTables`); the
+    dense table of every cell is written in chunks only with ``write_dense``.
+
     The run id defaults to a hash of the settings that decide results and of the
     rows the transactions, stores and products hold, so that starting the same run
     again goes on where the last attempt stopped, and a run over other data never
-    meets old chunks. With a run id of one's own, a folder begun with other inputs
+    meets old chunks. The rows of the transactions are digested by the scan that sums them by week; should an executor
+    be lost then, rows may be digested twice, and the next attempt, not finding such an id, begins anew.
+    With a run id of one's own, a folder begun with other inputs
     or settings is refused. ``max_commits`` ends the chunk step early, to be
     continued by a later call.
     """
     roles = detect_roles(transactions)
     require_columns(transactions, roles)
     used = [c for c in (roles.store, roles.product, "transaction_date", "quantity", "discount") if c in transactions.columns]
-    fingerprint = cfg.fingerprint(input_digest(transactions.select(*used), stores, products))
+    seen = Observation()
+    read = transactions.select(*used)
+    read = read.observe(seen, *digest_columns(read))
+    weekly = storage.stage_table(
+        spark, new_scratch(spark, "weekly"), lambda: prepare.weekly_sales(prepare.prepare_transactions(read, cfg, roles))
+    )
+    digest = f"{used} {[seen.get[c] for c in ('rows', 'xor', 'high', 'low')]}"
+    fingerprint = cfg.fingerprint(digest, list_digest(stores), list_digest(products))
     run_dir = f"{out_dir.rstrip('/')}/{run_id or fingerprint}"
     _claim(spark, run_dir, fingerprint)
+    settings = json.dumps(asdict(cfg))
+    spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{run_dir}/settings")
 
     def table(name: str, build) -> DataFrame:
         return storage.stage_table(spark, f"{run_dir}/{name}", build)
@@ -140,8 +162,7 @@ def run_forecast(
     # Facts: each table is written once and read by all that follows.
     store_list = table("store_list", lambda: store_universe(stores, transactions, roles))
     n_stores = store_list.count()
-    store_table = table("stores", lambda: grid.chunk_stores(store_list, n_stores, cfg))
-    weekly = table("weekly", lambda: prepare.weekly_sales(prepare.prepare_transactions(transactions, cfg, roles)))
+    store_table = table("stores", lambda: grid.chunk_stores(store_list, cfg))
     stats = table("pairs", lambda: segments.pair_stats(weekly, cfg))
     by_product = segments.product_stats(stats)
     representative = segments.representative_products(by_product, cfg)
@@ -177,16 +198,23 @@ def run_forecast(
         sinks.write_csv(metrics.coalesce(1), f"{run_dir}/metrics_csv")
         return metrics
 
+    def write_dense() -> tuple[int, bool]:
+        """Predict the chunks still to do, a batch at a time; how many, and whether none is left."""
+        # One id per chunk of stores reaches the driver.
+        pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, store_table).collect())
+        written = storage.write_chunks(
+            spark, run_dir, pending, lambda chunks: tables.predictions(chunks).drop("store_code", "product_code"), cfg.chunks_per_commit, max_commits
+        )
+        return written, written == len(pending)
+
     # The backtest needs the weekly table only; it runs beside the predictions.
     with ThreadPoolExecutor(1) as pool:
         backtest = pool.submit(inheritable_thread_target(spark)(write_metrics))
-        facts = table("facts", sorted_facts)
-        written, complete = _write_predictions(
-            spark, run_dir, store_table, product_table, facts, n_stores, n_products, cfg, max_commits
-        )
+        tables = RunTables(store_table, product_table, table("facts", sorted_facts), cfg)
+        written, complete = write_dense() if cfg.write_dense else (0, True)
         metrics = backtest.result()
 
-    predictions = original_names(storage.read_chunks(spark, run_dir), roles)
+    predictions = original_names(storage.read_chunks(spark, run_dir) if cfg.write_dense else tables.predictions(), roles)
     if complete and cfg.write_full:
         predictions = table("full_predictions", lambda: predictions)
         if cfg.write_csv:
@@ -194,8 +222,10 @@ def run_forecast(
 
     def summarise() -> DataFrame:
         counters = run_summary(store_table, product_table, stats, representative, active, cfg)
-        reading = prepare.reading_counts(transactions, weekly)
-        done = store_table.join(storage.committed_chunks(spark, run_dir), "store_chunk", "left_semi")
+        reading = prepare.reading_counts(F.lit(seen.get["rows"]), weekly)
+        done = store_table
+        if cfg.write_dense:
+            done = done.join(storage.committed_chunks(spark, run_dir), "store_chunk", "left_semi")
         skipped = F.col("train_rows") < max(1, cfg.min_train_rows)
         per_horizon = F.array_sort(
             F.collect_list(F.struct("horizon", "train_rows", "valid_rows", skipped.alias("skipped")))

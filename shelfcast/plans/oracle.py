@@ -16,7 +16,7 @@ DENSE_VIEW = """
 WEEK_START = "CAST(date_trunc('week', CAST({day} AS DATE) - INTERVAL 1 DAY) AS DATE) + 1"
 
 
-def _with(select: str, view: str = BASE_VIEW, top: int = 50_000, cap: int = 4_000_000, chunk: int = 25) -> str:
+def _with(select: str, view: str = BASE_VIEW, top: int = 50_000, cap: int = 4_000_000, chunk: int = 25, recent: int = 4) -> str:
     return f"""
 WITH sales AS ({view}
 ),
@@ -41,7 +41,7 @@ last_sale AS (
     FROM pairs, bounds
 ),
 extinct AS (SELECT store_id, product_id FROM last_sale WHERE weeks_since_sale > 12),
-recent AS (SELECT weekly.* FROM weekly, bounds WHERE week_start >= max_week - 28),
+recent AS (SELECT weekly.* FROM weekly, bounds WHERE week_start >= max_week - {7 * recent}),
 pair_avg AS (SELECT store_id, product_id, avg(quantity) AS pair_avg FROM recent GROUP BY ALL),
 product_avg AS (SELECT product_id, avg(quantity) AS global_avg FROM recent GROUP BY ALL),
 product_totals AS (SELECT product_id, sum(quantity) AS total_sales FROM weekly GROUP BY ALL),
@@ -168,6 +168,10 @@ LEFT JOIN stand_in o ON o.store_id = b.store_id AND o.product_id = b.product_id
 
 
 BASE_FORECAST = _with("SELECT store_id, product_id, horizon, round(prediction, 6) AS prediction FROM base_forecast")
+ASKED = _with(
+    """SELECT store_id, product_id, horizon, round(prediction, 6) AS prediction
+FROM base_forecast JOIN (SELECT DISTINCT store_id, product_id FROM sales) USING (store_id, product_id)"""
+)
 METRICS = _with("SELECT CAST(horizon AS INTEGER) AS horizon, round(wmape, 6) AS wmape, n FROM metrics")
 EXPORT = _with("SELECT pdv, produto, semana, quantidade FROM coded")
 
@@ -275,9 +279,16 @@ WHERE total_bytes <= 500000 OR n = 1"""
         ),
         "full_run": BASE_FORECAST,
         "full_run_csv": BASE_FORECAST,
+        "full_run_dense": BASE_FORECAST,
+        "asked_forecast": ASKED,
+        "asked_pairs": ASKED,
+        "recent_pair_avg_long": _with("SELECT store_id, product_id, round(pair_avg, 6) AS pair_avg FROM pair_avg", recent=80),
         "metrics_csv": METRICS,
         "resume_pending": _with("SELECT DISTINCT store_chunk FROM chunks WHERE store_chunk >= 3"),
         "resumed_run": BASE_FORECAST,
         "export_files": EXPORT,
+        "export_head_file": _with(
+            "SELECT pdv, produto, semana, quantidade FROM coded ORDER BY pdv, produto, semana LIMIT 1000"
+        ),
         "rerun_other_input": BASE_FORECAST.replace(BASE_VIEW, BASE_VIEW + "\n    WHERE l_shipdate < DATE '1998-01-01'"),
     }

@@ -32,13 +32,13 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def local_session(app: str = "shelfcast", cpus: int | None = None) -> SparkSession:
+def local_session(app: str = "shelfcast", cpus: int | None = None, memory: str = "12g") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

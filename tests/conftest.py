@@ -34,7 +34,7 @@ GOLDEN_SALES = [
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("shelfcast-tests", cpus=4)
+    session = local_session("shelfcast-tests", cpus=4, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

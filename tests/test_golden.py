@@ -62,7 +62,7 @@ def test_segments_from_transactions_or_weeks(source, request, prepared, weekly):
 
 def base(spark, golden, prepared, golden_stores, golden_products, cfg):
     roles = detect_roles(golden)
-    stores = grid.chunk_stores(store_universe(golden_stores, golden, roles), 3, cfg)
+    stores = grid.chunk_stores(store_universe(golden_stores, golden, roles), cfg)
     representative = spark.createDataFrame([("P1",)], "product_id string")
     stats = segments.pair_stats(prepared, cfg)
     products = grid.product_facts(

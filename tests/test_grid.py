@@ -15,9 +15,10 @@ STATS = (
 
 def predict(spark, cfg, stores, products, stats, overrides=None, chunks=None):
     """products: id -> (global average or None, representative)."""
-    store_df = grid.chunk_stores(spark.createDataFrame([(s,) for s in stores], "store_id string"), len(stores), cfg)
+    store_df = grid.chunk_stores(spark.createDataFrame([(s,) for s in stores], "store_id string"), cfg)
     product_df = spark.createDataFrame(
-        [(p, *v) for p, v in products.items()], "product_id string, global_avg double, is_representative boolean"
+        [(p, i + 1, *v) for i, (p, v) in enumerate(sorted(products.items()))],
+        "product_id string, product_code bigint, global_avg double, is_representative boolean",
     )
     stats_df = spark.createDataFrame(stats, STATS)
     if overrides is not None:
@@ -28,6 +29,15 @@ def predict(spark, cfg, stores, products, stats, overrides=None, chunks=None):
     rows = grid.forecast(pairs, cfg).collect()
     found = {(r.store_id, r.product_id, r.horizon): r.prediction for r in rows}
     assert len(found) == len(rows)
+    codes = {s: i + 1 for i, s in enumerate(sorted(stores))}, {p: i + 1 for i, p in enumerate(sorted(products))}
+    assert all((r.store_code, r.product_code) == (codes[0][r.store_id], codes[1][r.product_id]) for r in rows)
+    # Every third pair, a pair asked twice and unknown ones, from the compact result.
+    asked = [k for i, k in enumerate(itertools.product([*stores, "nowhere"], [*products, "nothing"])) if i % 3 == 0]
+    asked += asked[:1]
+    asked_df = spark.createDataFrame(asked, "store_id string, product_id string")
+    answers = sorted((r.store_id, r.product_id, r.horizon, r.prediction) for r in grid.forecast(grid.asked_pairs(asked_df, store_df, product_df, facts, cfg), cfg).collect())
+    if chunks is None:
+        assert answers == sorted((*k, h, found[*k, h]) for k in asked for h in cfg.horizons if (*k, h) in found)
     return found
 
 

@@ -11,10 +11,12 @@ from shelfcast.__main__ import main
 from shelfcast.config import ExportConfig, ForecastConfig
 from shelfcast.operators import codes
 from shelfcast.plans.export_run import load_predictions, run_export
-from shelfcast.plans.forecast_run import run_forecast
+from shelfcast.plans.forecast_run import open_run, run_forecast
 from shelfcast.sources import sinks, storage
 
-CFG = ForecastConfig(use_model=False, store_chunk_size=1, chunks_per_commit=1, product_sample_rate=0.34)
+CFG = ForecastConfig(
+    use_model=False, store_chunk_size=1, chunks_per_commit=1, product_sample_rate=0.34, write_dense=True, write_full=True, write_csv=True
+)
 
 
 def rows_of(df):
@@ -103,6 +105,21 @@ def test_own_run_id_refuses_other_inputs(spark, tables, tmp_path):
         run_forecast(spark, tables[0].where("quantity > 4"), *tables[1:], str(tmp_path), CFG, run_id="mine")
 
 
+def test_a_compact_run_answers_like_the_dense_one(spark, tables, whole, tmp_path):
+    compact = run_forecast(spark, *tables, str(tmp_path), replace(CFG, write_dense=False, write_full=False, write_csv=False))
+    assert compact.complete and compact.chunks_written == 0
+    assert not {"predictions", "manifest", "full_predictions", "weekly"} & set(os.listdir(compact.run_dir))
+    assert rows_of(compact.predictions) == rows_of(whole.predictions)
+    asked = spark.createDataFrame([("S2", "P3"), ("S1", "P2"), ("S9", "P1")], "store_id string, product_id string")
+    found = rows_of(open_run(spark, compact.run_dir).lookup(asked).select("store_id", "product_id", "horizon", "prediction"))
+    assert found == [r for r in rows_of(whole.predictions) if r[:2] in {("S2", "P3"), ("S1", "P2")}]
+    tables_ = open_run(spark, compact.run_dir)
+    one = run_export(spark, tables_.predictions(), f"{tmp_path}/coded", ExportConfig(), tables_.stores, tables_.products)
+    two = run_export(spark, load_predictions(spark, whole.run_dir), f"{tmp_path}/joined")
+    assert rows_of(spark.read.parquet(one.path)) == rows_of(spark.read.parquet(two.path))
+    assert rows_of(spark.read.parquet(f"{one.path}_stores")) == rows_of(spark.read.parquet(f"{two.path}_stores"))
+
+
 def test_an_unfinished_run_is_not_exported(spark, tables, tmp_path):
     run = run_forecast(spark, *tables, str(tmp_path), CFG, max_commits=1)
     with pytest.raises(ValueError, match="unfinished"):

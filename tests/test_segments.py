@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.config import ForecastConfig
-from shelfcast.operators import panel, prepare, ranking, segments
+from shelfcast.operators import codes, panel, prepare, ranking, segments
 
 
 @pytest.mark.parametrize("n, wanted", [(0, 0), (2, 0), (12, 2), (13, 3), (25, 5), (5000, 1000)])
@@ -33,17 +33,60 @@ def test_only_selling_products_are_sampled(spark, cfg):
     assert segments.representative_products(products.where("total_sales <= 0"), cfg).count() == 0
 
 
-@pytest.mark.parametrize("per_bucket", [10, 10_000])
+@pytest.mark.parametrize("partitions", [1, 7])
 @pytest.mark.parametrize("dtype", ["string", "bigint"])
 @pytest.mark.parametrize("n", [0, 3, 2000])
-def test_dense_codes_of_long_and_short_lists(spark, monkeypatch, per_bucket, dtype, n):
-    monkeypatch.setattr(ranking, "BUCKET_IDS", per_bucket)
-    ids = spark.range(n).select((F.col("id") * 7919 % 100003).cast(dtype).alias("x"))
-    found = {r.x: r.code for r in ranking.dense_codes(ids, "x", "code", n).collect()}
+def test_dense_codes_of_long_and_short_lists(spark, partitions, dtype, n):
+    ids = spark.range(n).select((F.col("id") * 7919 % 100003).cast(dtype).alias("x")).repartition(partitions)
+    found = {r.x: r.code for r in ranking.dense_codes(ids, "x", "code").collect()}
     assert found == {x: i + 1 for i, x in enumerate(sorted(found))}
     assert len(found) == n
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_over_several_ranges(spark, adaptive):
+    rows = spark.range(5000).select((F.col("id") * 31 % 977).alias("a"), F.col("id").alias("b"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        found = [(r.a, r.b, r.n) for r in ranking.positions(rows, [F.col("a").desc(), F.col("b")], "n").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    expected = sorted(((i * 31 % 977, i) for i in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert sorted(found, key=lambda r: r[2]) == [(*r, k + 1) for k, r in enumerate(expected)]
+
+
+@pytest.mark.parametrize("wanted", [0, 1, 37, 900, 5000, 6000])
+@pytest.mark.parametrize("values", [3, 5000])
+def test_top_rows(spark, monkeypatch, wanted, values):
+    monkeypatch.setattr(ranking, "ACCURACY", 500)
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7 % values).cast("double").alias("v"))
+    found = {r.k for r in ranking.top_rows(rows, "v", ["k"], 5000, wanted).collect()}
+    assert found == {k for k, _ in sorted(((k, k * 7 % values) for k in range(5000)), key=lambda r: (-r[1], r[0]))[:wanted]}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 4, 5, 17, 60, 100])
+def test_head_is_the_first_rows(spark, rows):
+    cells = [(s, p, h, s * p) for s in range(1, 4) for p in range(1, 5) for h in range(1, 6)]
+    coded = spark.createDataFrame(cells, "pdv bigint, produto bigint, semana smallint, quantidade bigint").repartition(5)
+    assert sorted(tuple(r) for r in codes.head(coded, rows).collect()) == cells[:rows]
+
+
+@pytest.mark.parametrize("recent", [4, 60, 61, 80])
+def test_recent_weeks_of_any_number(spark, recent):
+    days = [(f"s{k % 2}", "p", f"2024-{1 + k % 12:02d}-{1 + k % 28:02d}", float(k)) for k in range(200)]
+    days += [("s0", "p", "2021-06-01", 5.0), ("s1", "p", "2022-12-13", 7.0)]
+    rows = spark.createDataFrame(days, "store_id string, product_id string, day string, quantity double")
+    prepared = rows.select("store_id", "product_id", F.expr("cast(date_trunc('week', cast(day as date)) as date)").alias("week_start"), "quantity", F.lit(0.0).alias("discount"))
+    cfg = ForecastConfig(recent_weeks=recent)
+    brute = {}
+    weeks = {(r.store_id, r.week_start) for r in prepared.collect()}
+    last = max(w for _, w in weeks)
+    for s in ("s0", "s1"):
+        brute[s] = sum((last - w).days // 7 <= recent for t, w in weeks if t == s)
+    for given in (prepared, prepare.weekly_sales(prepared)):
+        assert {r.store_id: r.recent_weeks for r in segments.pair_stats(given, cfg).collect()} == brute
+
+
 def stats_of(spark, rows):
     prepared = spark.createDataFrame(rows, "store_id string, product_id string, week string, quantity double")
     prepared = prepared.withColumn("week_start", F.col("week").cast("date"))
