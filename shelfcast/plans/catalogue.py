@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -281,6 +282,13 @@ def summary_counts(feed: Feed) -> DataFrame:
     return run_summary(feed.store_list, feed.product_list, stats, representative, active, feed.cfg)
 
 
+def rolling_origin_wmape(feed: Feed) -> DataFrame:
+    """The base forecast made 5, 9 and 13 weeks before the last week, against what was sold then."""
+    last = feed.weekly_table.agg(F.max("week_start")).first()[0]
+    origins = [last - timedelta(weeks=k) for k in (5, 9, 13)]
+    return evaluate.rolling_origin(feed.weekly_table, origins, feed.cfg).select("horizon", six("wmape"), "n")
+
+
 def size_capped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix rule on sizes any engine can work out: 16 bytes per transaction of a chunk."""
     feed = Feed(spark, sf_dir, cfg=SMALL_CHUNKS)
@@ -374,6 +382,7 @@ def queries() -> dict[str, Query]:
         "backtest_wmape": over_feed(
             lambda f: evaluate.backtest(f.weekly, f.cfg).select("horizon", six("wmape"), "n")
         ),
+        "rolling_origin_wmape": over_feed(rolling_origin_wmape),
         "chunk_ids": over_feed(
             lambda f: f.stores.select(STORE, "store_code", "store_chunk"), cfg=SMALL_CHUNKS
         ),

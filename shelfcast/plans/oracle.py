@@ -175,6 +175,39 @@ FROM base_forecast JOIN (SELECT DISTINCT store_id, product_id FROM sales) USING
 METRICS = _with("SELECT CAST(horizon AS INTEGER) AS horizon, round(wmape, 6) AS wmape, n FROM metrics")
 EXPORT = _with("SELECT pdv, produto, semana, quantidade FROM coded")
 
+ROLLING_ORIGIN = """SELECT * FROM (
+WITH origins AS (SELECT max_week - 7 * k AS origin FROM bounds, (VALUES (5), (9), (13)) v(k)),
+known AS (SELECT origin, weekly.* FROM weekly JOIN origins ON week_start <= origin),
+latest AS (SELECT origin, max(week_start) AS newest FROM known GROUP BY origin),
+sold AS (SELECT origin, store_id, product_id, max(week_start) AS last_week FROM known GROUP BY ALL),
+lately AS (SELECT known.* FROM known JOIN latest USING (origin) WHERE week_start >= newest - 28),
+own AS (SELECT origin, store_id, product_id, avg(quantity) AS a FROM lately GROUP BY ALL),
+of_product AS (SELECT origin, product_id, avg(quantity) AS g FROM lately GROUP BY ALL),
+sums AS (SELECT origin, product_id, sum(quantity) AS total FROM known GROUP BY ALL),
+places AS (
+    SELECT origin, product_id, count(*) OVER (PARTITION BY origin) AS n,
+           row_number() OVER (PARTITION BY origin ORDER BY md5('42|' || CAST(product_id AS VARCHAR)), product_id) AS place
+    FROM sums WHERE total > 0
+),
+later AS (
+    SELECT origin, store_id, product_id, CAST((week_start - origin) // 7 AS INTEGER) AS horizon, quantity
+    FROM weekly, origins WHERE week_start > origin AND week_start <= origin + 35
+),
+made AS (
+    SELECT l.horizon, l.quantity,
+           CASE WHEN NOT EXISTS (SELECT 1 FROM known k WHERE k.origin = l.origin AND k.store_id = l.store_id) THEN 0
+                WHEN (t.newest - s.last_week) // 7 > 12 THEN 0
+                WHEN p.place <= round_even(0.2 * p.n, 0) AND a IS NOT NULL THEN greatest(0, a)
+                ELSE coalesce(g, 0) END AS prediction
+    FROM later l JOIN latest t ON t.origin = l.origin
+    LEFT JOIN sold s ON s.origin = l.origin AND s.store_id = l.store_id AND s.product_id = l.product_id
+    LEFT JOIN own o ON o.origin = l.origin AND o.store_id = l.store_id AND o.product_id = l.product_id
+    LEFT JOIN of_product g ON g.origin = l.origin AND g.product_id = l.product_id
+    LEFT JOIN places p ON p.origin = l.origin AND p.product_id = l.product_id
+)
+SELECT horizon, round(sum(abs(quantity - prediction)) / (sum(abs(quantity)) + 1e-8), 6) AS wmape, count(*) AS n
+FROM made GROUP BY horizon)"""
+
 PREPARED_LENIENT = f"""
 WITH text AS (
     SELECT l_suppkey AS store_id, l_partkey AS product_id,
@@ -248,6 +281,7 @@ FROM panel WHERE from_end = 1"""
         ),
         "naive_forecast": _with(f"SELECT {week}, round(pred_naive, 6) AS pred_naive FROM naive"),
         "backtest_wmape": METRICS,
+        "rolling_origin_wmape": _with(ROLLING_ORIGIN),
         "chunk_ids": _with("SELECT store_id, store_code, store_chunk FROM chunks"),
         "base_forecast_pairs": _with(
             "SELECT store_id, product_id, extinct, round(base, 6) AS base FROM base_pairs"

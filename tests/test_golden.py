@@ -118,3 +118,48 @@ def test_features_step_by_observed_weeks(weekly, prepared, cfg):
 def test_naive_backtest(weekly, cfg):
     found = [(r.horizon, r.wmape and round(r.wmape, 6), r.n) for r in evaluate.backtest(weekly, cfg).collect()]
     assert found == [(1, 0.289474, 3), (2, 0.392857, 2), (3, 0.5, 1), (4, None, 0), (5, None, 0)]
+
+
+def brute_origin(rows, origins):
+    """Forecasts from the weeks up to each origin, with every selling product in the sample."""
+    error, volume, n = {}, {}, {}
+    for origin in origins:
+        known = [r for r in rows if r[2] <= origin]
+        at = max(r[2] for r in known)
+        near = [r for r in known if (at - r[2]).days <= 28]
+        totals = {p: sum(q for _, k, _, q in known if k == p) for _, p, _, _ in known}
+        for s, p, w, q in rows:
+            h = (w - origin).days // 7
+            if not 1 <= h <= 5:
+                continue
+            pair = [r for r in known if r[:2] == (s, p)]
+            own, every = [r[3] for r in near if r[:2] == (s, p)], [r[3] for r in near if r[1] == p]
+            value = sum(every) / len(every) if every else 0.0
+            if own and totals[p] > 0:
+                value = max(0.0, sum(own) / len(own))
+            if s not in {r[0] for r in known} or (pair and (at - max(r[2] for r in pair)).days // 7 > 12):
+                value = 0.0
+            error[h] = error.get(h, 0.0) + abs(q - value)
+            volume[h] = volume.get(h, 0.0) + abs(q)
+            n[h] = n.get(h, 0) + 1
+    return sorted((h, round(error[h] / (volume[h] + 1e-8), 9), n[h]) for h in n)
+
+
+def test_rolling_origin(weekly):
+    rows = [(r.store_id, r.product_id, r.week_start, r.quantity) for r in weekly.collect()]
+    first = min(r[2] for r in rows)
+    origins = [first + dt.timedelta(weeks=k) for k in (0, 1, 15, 17)]
+    cfg = ForecastConfig(product_sample_rate=1.0)
+    found = sorted((r.horizon, round(r.wmape, 9), r.n) for r in evaluate.rolling_origin(weekly, origins, cfg).collect())
+    assert found == brute_origin(rows, origins) and len(found) > 2
+
+
+def test_rolling_origin_with_models(spark):
+    # Two stores that sell a product at different levels: its average is wrong for both.
+    rows = [(s, f"p{i}", dt.date(2024, 1, 2) + dt.timedelta(weeks=w), float(10 * i * k), 1, 0.0, 0.0) for i in range(1, 5) for s, k in (("s", 1), ("t", 5)) for w in range(45)]
+    weekly = spark.createDataFrame(rows, "store_id string, product_id string, week_start date, quantity double, trans_count bigint, discount_mean double, discount_max double")
+    cfg = ForecastConfig(horizons=(1, 2), boost_rounds=30, early_stop_rounds=30, num_leaves=8, min_leaf_rows=3, learning_rate=0.5, product_sample_rate=0.0)
+    origins = [dt.date(2024, 1, 2) + dt.timedelta(weeks=k) for k in (38, 42)]
+    base, models = ({r.horizon: (r.wmape, r.n) for r in evaluate.rolling_origin(weekly, origins, cfg, use).collect()} for use in (False, True))
+    assert {h: n for h, (_, n) in models.items()} == {1: 16, 2: 16}
+    assert all(models[h][0] < 0.1 < 0.5 < base[h][0] for h in (1, 2)), (models, base)
