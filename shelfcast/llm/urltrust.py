@@ -8,11 +8,12 @@
 3. A host is blocked if distrust is at least ``threshold`` of trust and distrust together; a host that
    neither reaches is allowed. Pages without a rule take their host's verdict.
 
-Both walks are one table and one join each round. Rounds are a fixed number; the rank left to
-spread after ``rounds`` rounds is ``damping ** rounds`` of the whole.
+Both walks are one table and one join each round. A walk ends when less than ``tolerance`` of its rank
+is left to spread and the last round reached no new host, however far hosts are from the seeds.
 
 Defined results: a null url or one without "://" has an empty host and path, fits no rule and is
-allowed; links to the own host, to no host and relative ones don't count; pages without an id are
+allowed; links to the own host, to no host and relative ones don't count (those
+beginning with "//" do, as do unquoted values and attributes in capitals); pages without an id are
 judged like others; repeated rows are judged one by one and count again as seeds and links.
 Only the named columns are read.
 """
@@ -28,14 +29,15 @@ from shelfcast.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 12
+#: Rank of a walk that may stay unspread.
+TOLERANCE = 1e-4
 THRESHOLD = 0.5
 #: Written as a table every so many rounds, to keep lineage short.
 CUT_ROUNDS = 4
 #: Rules are part of the query's expressions; more than this need a table of hosts instead.
 MOST_RULES = 1000
-#: Links of a page: the values of href and src.
-LINK = r"""(?:href|src)\s*=\s*["']([a-zA-Z][a-zA-Z0-9+.-]*://[^"'\s>]*)"""
+#: Links of a page: the values of href and src that name a host, quoted or not.
+LINK = r"""(?i)(?<![\w-])(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 Rule = tuple[str, str, str]
 
@@ -84,11 +86,12 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         host_of(F.col(url_col)).alias("src"),
         F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))).alias("link"),
     )
-    pairs = linked.select("src", host_of(F.col("link")).alias("dst"))
+    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
+    pairs = linked.select("src", host_of(full).alias("dst"))
     return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of all hosts reached; seeds: host, trusted, blocked (weights)."""
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionAll(
         links.select(F.lit("distrust"), F.col("dst"), F.col("src"), "links")
@@ -104,12 +107,20 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     # rank = (1 - d) * sum over k of d^k times the seeds moved k links on; ``moving`` is the last term.
     moving = start
     ranks = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
-    for k in range(1, rounds + 1):
+    k = 0
+    while True:
+        k += 1
         step = moving.join(edges, (moving["kind"] == edges["kind"]) & (moving["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         moving = stored(step.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "urltrust-moving")
-        if moving.isEmpty():
-            break
+        left = {r["kind"]: r["left"] for r in moving.groupBy("kind").agg(F.sum("rank").alias("left")).collect()}  # two rows
+        going = [kind for kind, x in left.items() if x >= tolerance]
+        if len(going) < len(left):
+            new = moving.join(ranks.select("kind", "host"), ["kind", "host"], "left_anti").select("kind").distinct()
+            going = sorted({*going, *(r["kind"] for r in new.collect())})
         ranks = ranks.unionAll(moving.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank")))
+        if not going:
+            break
+        moving = moving.where(F.col("kind").isin(going))
         if k % CUT_ROUNDS == 0:
             ranks = stored(ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "urltrust-ranks")
     by_kind = {k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")}
@@ -121,7 +132,7 @@ def judged(
     rules: Sequence[Rule],
     threshold: float = THRESHOLD,
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
@@ -132,7 +143,7 @@ def judged(
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     named = named.select("*", rule.alias("rule"), verdict.alias("by_rule"))
     seeds = named.where("by_rule is not null").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("trusted"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
-    hosts = spread(stored(host_links(pages, url_col, html_col), "urltrust-links"), stored(seeds, "urltrust-hosts"), damping, rounds)
+    hosts = spread(stored(host_links(pages, url_col, html_col), "urltrust-links"), stored(seeds, "urltrust-hosts"), damping, tolerance)
     hosts = stored(hosts, "urltrust-scores")
     rows = named.join(hosts, "host", "left")
     blocked = F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))

@@ -44,7 +44,7 @@ def brute_trust(rows):
         if rule:
             seeds[rule[0]][host] += 1
         for link in re.findall(urltrust.LINK, html or ""):
-            if (dst := split_url(link)[0]) and host and dst != host:
+            if (dst := split_url(link if "://" in link else "http:" + link)[0]) and host and dst != host:
                 links[host, dst] += 1
 
     def walk(seed, edges):
@@ -53,15 +53,17 @@ def brute_trust(rows):
         for (a, b), n in edges.items():
             outgoing[a][b] += n
         moving = {h: n / total for h, n in seed.items()}
-        for k in range(urltrust.ROUNDS + 1):
+        while True:
+            new = set(moving) - set(out)
             for h, x in moving.items():
                 out[h] += (1 - urltrust.DAMPING) * x
+            if sum(moving.values()) < urltrust.TOLERANCE and not new:
+                return out
             step = Counter()
             for h, x in moving.items():
                 for b, n in outgoing[h].items():
                     step[b] += urltrust.DAMPING * x * n / sum(outgoing[h].values())
             moving = step
-        return out
 
     trust = walk(seeds["allow"], links)
     distrust = walk(seeds["block"], {(b, a): n for (a, b), n in links.items()})
@@ -86,6 +88,17 @@ def test_url_trust_equals_brute_force(spark):
     assert urltrust.judged(pages(spark, rows).limit(0), RULE_LIST).count() == 0
 
 
+def test_distrust_reaches_far_hosts_by_links_of_any_form(spark, monkeypatch):
+    monkeypatch.setattr(urltrust, "CUT_ROUNDS", 5)
+    forms = ['<a href="http://{}/x">', "<A HREF='//{}/x'>", "<img src=//{}/x>", "<a href = HTTPS://{}?q>"]
+    chain = [f"c{i}" for i in range(20)] + ["bad.net"]
+    rows = [(i, f"http://{chain[i]}/p", forms[i % 4].format(chain[i + 1])) for i in range(20)]
+    rows += [(50, "http://bad.net/es/1", "<p>"), (51, "http://alone/p", '<a data-href="http://bad.net/es/">')]
+    # A walk that would end early by its tolerance goes on while it reaches new hosts.
+    found = {x["page_id"]: x["verdict"] for x in urltrust.judged(pages(spark, rows), RULE_LIST, tolerance=0.5).collect()}
+    assert found == {i: "block" for i in range(20)} | {50: "block", 51: "allow"}
+
+
 def test_archives_round_trip(spark, tmp_path):
     r = random.Random(5)
     bodies = ["<p>" + " ".join(r.choice(["alpha", "beta", "gamma", "é"]) for _ in range(300)) + "</p>" for _ in range(120)]
