@@ -56,6 +56,8 @@ CENTRE_SAMPLE = 4096
 MOST_CENTRES = 64
 #: Bytes of centres that the driver holds and sends at a time.
 PORTION_BYTES = 1 << 25
+#: Nodes of small parts that a task searches together, on average.
+BIN = 200
 #: Angles that differ by less are compared vector by vector.
 TOLERANCE = 1e-6
 
@@ -414,7 +416,7 @@ def linked_nodes(nodes: DataFrame, threshold: float, overlap: int, size: int) ->
     about = nodes.select("node", "unit", "count").join(parts, "node").join(union, "node").join(home, "node").join(sizes, "part")
     about = stored(about, "flatgraph-graph")
     small = about.where(F.col("part_size") <= size)
-    bins = 1 + small.count() // size
+    bins = 1 + small.count() // BIN
     bin_ = F.pmod(F.xxhash64("part"), F.lit(bins)).alias("bin")
     found = small.select(bin_, "part", "node", "unit", "near", "count").groupBy("bin").applyInPandas(_search_parts(threshold, BEAM, SLACK, False), FOUND)
     found = stored(found.withColumnRenamed("least", "component"), "flatgraph-found")
