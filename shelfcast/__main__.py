@@ -19,6 +19,7 @@ def _parser() -> argparse.ArgumentParser:
     forecast.add_argument("--products", nargs="+")
     forecast.add_argument("--out", required=True)
     forecast.add_argument("--run-id")
+    forecast.add_argument("--refresh", action="store_true", help="with --run-id and --dense: bring a run over older input up to date, changed chunks only")
     forecast.add_argument("--no-model", action="store_true")
     forecast.add_argument("--dense", action="store_true", help="also write every cell, in chunks and as one table")
     forecast.add_argument("--no-csv", action="store_true", help="with --dense: no CSV copy")
@@ -87,6 +88,7 @@ def main(argv: list[str] | None = None) -> None:
             args.out,
             cfg,
             args.run_id,
+            refresh=args.refresh,
         )
         run.summary.show(truncate=False)
         run.metrics.show()

@@ -206,6 +206,28 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_forecast(run_forecast(spark, *tables, folder, cfg).predictions)
 
 
+def _refreshed(spark: SparkSession, sf_dir: str):
+    """A dense run over all transactions, refreshed after the smallest store's sales before 1998 were withdrawn."""
+    cfg = replace(CFG, store_chunk_size=3, use_model=False, write_dense=True)
+    folder = new_scratch(spark, "refresh")
+    sales, stores, products = (view(spark, sf_dir) for view in (testbed.transactions, testbed.stores, testbed.products))
+    run_forecast(spark, sales, stores, products, folder, cfg, run_id="weekly")
+    smallest = stores.agg(F.min(stores.columns[0])).scalar()
+    later = sales.where((F.col(STORE) != smallest) | (F.col("transaction_date") >= F.lit("1998-01-01").cast("date")))
+    return run_forecast(spark, later, stores, products, folder, cfg, run_id="weekly", refresh=True), f"{folder}/weekly"
+
+
+def refreshed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_forecast(_refreshed(spark, sf_dir)[0].predictions)
+
+
+def refreshed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that the refresh computed again."""
+    _, folder = _refreshed(spark, sf_dir)
+    writes = storage.manifest(spark, folder).where("digest is not null").groupBy("store_chunk").agg(F.count(F.lit(1)).alias("writes"))
+    return writes.where("writes > 1").select("store_chunk")
+
+
 def rerun_other_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run over all transactions, then one over those before 1998 into the same folder: the second's result."""
     folder, cfg = new_scratch(spark, "rerun"), replace(SMALL_CHUNKS, use_model=False)
@@ -414,6 +436,8 @@ def queries() -> dict[str, Query]:
         "resume_pending": resume_pending,
         "resumed_run": resumed_run,
         "rerun_other_input": rerun_other_input,
+        "refreshed_run": refreshed_run,
+        "refreshed_chunks": refreshed_chunks,
         "export_files": export_files,
         "export_files_capped": export_files_capped,
         "export_head_file": export_head_file,

@@ -132,10 +132,10 @@ class _Prefixes:
 def load_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions under canonical names, from a run's folder or from one of chunk files."""
     if path_exists(spark, f"{folder}/manifest"):
-        stores = spark.read.parquet(f"{folder}/stores")
-        if not storage.pending_chunks(spark, folder, stores).isEmpty():
-            raise ValueError(f"the run in {folder} is unfinished; start it again to complete it")
-        return storage.read_chunks(spark, folder)
+        chunks = spark.read.parquet(f"{folder}/chunk_digests")
+        if not storage.pending_chunks(spark, folder, chunks).isEmpty():
+            raise ValueError(f"the run in {folder} is unfinished or was refreshed with other input; start it again to complete it")
+        return storage.read_chunks(spark, folder, chunks)
     if path_exists(spark, f"{folder}/settings"):
         return open_run(spark, folder).predictions()
     rows = storage.read_chunk_files(spark, folder)

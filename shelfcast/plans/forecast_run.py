@@ -23,7 +23,8 @@ SPLIT_SCHEMA = "horizon int, train_rows bigint, valid_rows bigint"
 
 @dataclass(frozen=True)
 class ForecastRun:
-    """Where a run lies and what came of it. Tables are read from storage when used.
+    """Where a run lies and what came of it. Tables are read from storage when used; those of a refreshed run lie
+    in a folder of their own, ``run_dir``, below the one that holds its chunks.
 
     ``predictions`` holds every cell: read from the chunks if these were written, else unfolded when used.
     """
@@ -100,13 +101,44 @@ def list_digest(df: DataFrame | None) -> str:
     return "none" if df is None else f"{df.columns} {tuple(df.agg(*digest_columns(df)).first())}"
 
 
-def _claim(spark: SparkSession, run_dir: str, fingerprint: str) -> None:
-    """Note whose run a folder is; refuses one that began with other inputs or settings."""
+def chunk_digests(stores: DataFrame, products: DataFrame, facts: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """store_chunk, digest: what decides a chunk's rows, which is its stores, the facts of its pairs, the products' values
+    and the settings. Averages count to nine places, as sums of floats depend on their order."""
+
+    def digest(columns: list) -> list[Column]:
+        row = F.xxhash64(*columns)
+        return [F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("xor"), F.sum(F.shiftright(row, 32)).alias("high")]
+
+    own = ["store_code", "extinct", F.round("pair_avg", 9), F.transform("override", lambda v: F.round(v, 9))]
+    values = F.array(F.lit(0), F.col("product_code"))
+    common = products.agg(*digest([PRODUCT, values, F.round("global_avg", 9)]))
+    common = common.select(F.concat_ws(",", F.lit(cfg.fingerprint()), "rows", "xor", "high").alias("common"))
+    per_chunk = (
+        stores.groupBy("store_chunk").agg(*digest([STORE, "store_code"]))
+        .select("store_chunk", F.concat_ws(",", "rows", "xor", "high").alias("of_stores"))
+    )
+    per_facts = (
+        facts.groupBy("store_chunk").agg(*digest([*PAIR, *own]))
+        .select("store_chunk", F.concat_ws(",", "rows", "xor", "high").alias("of_facts"))
+    )
+    parts = F.concat_ws("|", common.scalar(), "of_stores", F.coalesce("of_facts", F.lit("")))
+    return per_chunk.join(per_facts, "store_chunk", "left").select("store_chunk", F.sha2(parts, 256).alias("digest"))
+
+
+def _claim(spark: SparkSession, run_dir: str, fingerprint: str, refresh: bool) -> str:
+    """The folder for the tables of a run whose chunks lie in ``run_dir``.
+
+    That is ``run_dir`` for the run it began with. Other inputs or settings are refused, unless the run is to be
+    refreshed: then their tables lie in a folder of their own below it.
+    """
     mark = f"{run_dir}/fingerprint"
     schema = "fingerprint string"
     found = storage.stage_table(spark, mark, lambda: spark.createDataFrame([(fingerprint,)], schema).coalesce(1))
-    if (other := found.first()[0]) != fingerprint:
+    if (other := found.first()[0]) == fingerprint:
+        return run_dir
+    if not refresh:
         raise ValueError(f"{run_dir} holds a run over other inputs or settings ({other}); choose another run id")
+    return f"{run_dir}/refreshed-{fingerprint}"
 
 
 def original_names(predictions: DataFrame, roles: Roles) -> DataFrame:
@@ -125,6 +157,7 @@ def run_forecast(
     cfg: ForecastConfig = ForecastConfig(),
     run_id: str | None = None,
     max_commits: int | None = None,
+    refresh: bool = False,
 ) -> ForecastRun:
     """Forecast and write everything below ``out_dir/run_id``.
 
@@ -137,7 +170,9 @@ def run_forecast(
     meets old chunks. The rows of the transactions are digested by the scan that sums them by week; should an executor
     be lost then, rows may be digested twice, and the next attempt, not finding such an id, begins anew.
     With a run id of one's own, a folder begun with other inputs
-    or settings is refused. ``max_commits`` ends the chunk step early, to be
+    or settings is refused, unless ``refresh``: then its dense table is brought up to date in place, and only chunks of
+    which the facts changed are computed again. (The values of all products belong to every chunk's facts: after a
+    change to a product's recent average each chunk has other rows.) ``max_commits`` ends the chunk step early, to be
     continued by a later call.
     """
     roles = detect_roles(transactions)
@@ -151,8 +186,8 @@ def run_forecast(
     )
     digest = f"{used} {[seen.get[c] for c in ('rows', 'xor', 'high', 'low')]}"
     fingerprint = cfg.fingerprint(digest, list_digest(stores), list_digest(products))
-    run_dir = f"{out_dir.rstrip('/')}/{run_id or fingerprint}"
-    _claim(spark, run_dir, fingerprint)
+    chunk_dir = f"{out_dir.rstrip('/')}/{run_id or fingerprint}"
+    run_dir = _claim(spark, chunk_dir, fingerprint, refresh)
     settings = json.dumps(asdict(cfg))
     spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{run_dir}/settings")
 
@@ -200,10 +235,10 @@ def run_forecast(
 
     def write_dense() -> tuple[int, bool]:
         """Predict the chunks still to do, a batch at a time; how many, and whether none is left."""
-        # One id per chunk of stores reaches the driver.
-        pending = sorted(row[0] for row in storage.pending_chunks(spark, run_dir, store_table).collect())
+        # One id and digest per chunk of stores reach the driver.
+        pending = sorted((row[0], row[1]) for row in storage.pending_chunks(spark, chunk_dir, digests).collect())
         written = storage.write_chunks(
-            spark, run_dir, pending, lambda chunks: tables.predictions(chunks).drop("store_code", "product_code"), cfg.chunks_per_commit, max_commits
+            spark, chunk_dir, pending, lambda chunks: tables.predictions(chunks).drop("store_code", "product_code"), cfg.chunks_per_commit, max_commits
         )
         return written, written == len(pending)
 
@@ -211,10 +246,12 @@ def run_forecast(
     with ThreadPoolExecutor(1) as pool:
         backtest = pool.submit(inheritable_thread_target(spark)(write_metrics))
         tables = RunTables(store_table, product_table, table("facts", sorted_facts), cfg)
+        if cfg.write_dense:
+            digests = table("chunk_digests", lambda: chunk_digests(tables.stores, tables.products, tables.facts, cfg).coalesce(1))
         written, complete = write_dense() if cfg.write_dense else (0, True)
         metrics = backtest.result()
 
-    predictions = original_names(storage.read_chunks(spark, run_dir) if cfg.write_dense else tables.predictions(), roles)
+    predictions = original_names(storage.read_chunks(spark, chunk_dir, digests) if cfg.write_dense else tables.predictions(), roles)
     if complete and cfg.write_full:
         predictions = table("full_predictions", lambda: predictions)
         if cfg.write_csv:
@@ -225,7 +262,7 @@ def run_forecast(
         reading = prepare.reading_counts(F.lit(seen.get["rows"]), weekly)
         done = store_table
         if cfg.write_dense:
-            done = done.join(storage.committed_chunks(spark, run_dir), "store_chunk", "left_semi")
+            done = done.join(digests.join(storage.committed_chunks(spark, chunk_dir), ["store_chunk", "digest"]), "store_chunk", "left_semi")
         skipped = F.col("train_rows") < max(1, cfg.min_train_rows)
         per_horizon = F.array_sort(
             F.collect_list(F.struct("horizon", "train_rows", "valid_rows", skipped.alias("skipped")))

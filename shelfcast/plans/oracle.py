@@ -168,6 +168,9 @@ LEFT JOIN stand_in o ON o.store_id = b.store_id AND o.product_id = b.product_id
 
 
 BASE_FORECAST = _with("SELECT store_id, product_id, horizon, round(prediction, 6) AS prediction FROM base_forecast")
+REFRESHED = BASE_FORECAST.replace(
+    BASE_VIEW, BASE_VIEW + "\n    WHERE l_suppkey <> (SELECT min(s_suppkey) FROM supplier) OR l_shipdate >= DATE '1998-01-01'"
+)
 ASKED = _with(
     """SELECT store_id, product_id, horizon, round(prediction, 6) AS prediction
 FROM base_forecast JOIN (SELECT DISTINCT store_id, product_id FROM sales) USING (store_id, product_id)"""
@@ -324,5 +327,10 @@ WHERE total_bytes <= 500000 OR n = 1"""
         "export_head_file": _with(
             "SELECT pdv, produto, semana, quantidade FROM coded ORDER BY pdv, produto, semana LIMIT 1000"
         ),
+        "refreshed_run": REFRESHED,
+        "refreshed_chunks": f"""
+SELECT DISTINCT CAST((pdv - 1) // 3 AS INTEGER) AS store_chunk
+FROM (SELECT s_suppkey AS store_id, dense_rank() OVER (ORDER BY s_suppkey) AS pdv FROM supplier)
+JOIN (SELECT * FROM ({BASE_FORECAST}) EXCEPT SELECT * FROM ({REFRESHED})) USING (store_id)""",
         "rerun_other_input": BASE_FORECAST.replace(BASE_VIEW, BASE_VIEW + "\n    WHERE l_shipdate < DATE '1998-01-01'"),
     }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.session import path_exists
 
-MANIFEST_SCHEMA = "store_chunk int"
+#: A chunk's entries in the order they were made; the last one counts, and one without a digest withdraws the chunk.
+MANIFEST_SCHEMA = "store_chunk int, digest string, entry long"
 
 
 def stage_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -24,55 +25,77 @@ def stage_table(spark: SparkSession, path: str, build: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
-def committed_chunks(spark: SparkSession, run_dir: str) -> DataFrame:
-    manifest = f"{run_dir}/manifest"
-    if not path_exists(spark, manifest):
+def manifest(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Every entry made so far: one row per chunk and write of it."""
+    path = f"{run_dir}/manifest"
+    if not path_exists(spark, path):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(manifest).distinct()
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+
+
+def committed_chunks(spark: SparkSession, run_dir: str) -> DataFrame:
+    """store_chunk, digest of the chunks that are whole, as last written."""
+    last = manifest(spark, run_dir).groupBy("store_chunk").agg(F.max_by("digest", "entry").alias("digest"))
+    return last.where("digest is not null")
+
+
+def _same_chunk(wanted: DataFrame) -> list[str]:
+    return ["store_chunk", "digest"] if "digest" in wanted.columns else ["store_chunk"]
 
 
-def pending_chunks(spark: SparkSession, run_dir: str, stores: DataFrame) -> DataFrame:
-    """Chunk ids that no finished write has recorded."""
-    return stores.select("store_chunk").distinct().join(
-        committed_chunks(spark, run_dir), "store_chunk", "left_anti"
-    )
+def pending_chunks(spark: SparkSession, run_dir: str, wanted: DataFrame) -> DataFrame:
+    """The chunks of ``wanted`` (store_chunk and, if it has one, digest) that no finished write has recorded.
+
+    With a digest, a chunk written from other facts is pending again.
+    """
+    on = _same_chunk(wanted)
+    return wanted.select(*on).distinct().join(committed_chunks(spark, run_dir), on, "left_anti")
 
 
 def write_chunks(
     spark: SparkSession,
     run_dir: str,
-    chunks: Sequence[int],
+    chunks: Sequence[tuple[int, str]],
     build: Callable[[Sequence[int]], DataFrame],
     per_commit: int,
     max_commits: int | None = None,
 ) -> int:
     """Write predictions by chunk, a batch at a time; returns the chunks written.
 
-    A directory alone does not prove that its chunk is whole: ids enter the
-    manifest after their batch is committed, and a batch that broke off is
-    overwritten as a whole by the next attempt.
+    ``chunks`` are ids with the digest of their facts. A directory alone does not prove that its
+    chunk is whole: ids enter the manifest after their batch is committed, a batch that
+    broke off is overwritten as a whole by the next attempt, and a chunk to be overwritten is withdrawn first.
     """
-    batches = [chunks[i : i + per_commit] for i in range(0, len(chunks), per_commit)]
-    written = 0
-    for batch in batches[:max_commits]:
+    top = manifest(spark, run_dir).agg(F.max("entry")).first()[0]
+    entry = 0 if top is None else top + 1
+
+    def note(rows: Sequence[tuple[int, str | None]]) -> None:
+        nonlocal entry
+        done = spark.createDataFrame([(int(c), d, entry) for c, d in rows], MANIFEST_SCHEMA)
+        done.coalesce(1).write.mode("append").parquet(f"{run_dir}/manifest")
+        entry += 1
+
+    batches = [chunks[i : i + per_commit] for i in range(0, len(chunks), per_commit)][:max_commits]
+    if batches and top is not None:
+        note([(c, None) for batch in batches for c, _ in batch])
+    for batch in batches:
         (
-            build(batch)
+            build([c for c, _ in batch])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("store_chunk")
             .parquet(f"{run_dir}/predictions")
         )
-        done = spark.createDataFrame([(int(c),) for c in batch], MANIFEST_SCHEMA)
-        done.coalesce(1).write.mode("append").parquet(f"{run_dir}/manifest")
-        written += len(batch)
-    return written
+        note(batch)
+    return sum(map(len, batches))
 
 
-def read_chunks(spark: SparkSession, run_dir: str) -> DataFrame:
-    """The committed chunks of this run, and only those."""
-    rows = spark.read.parquet(f"{run_dir}/predictions")
+def read_chunks(spark: SparkSession, run_dir: str, wanted: DataFrame) -> DataFrame:
+    """The committed chunks among ``wanted`` (see `pending_chunks`), and only those."""
+    on = _same_chunk(wanted)
+    whole = committed_chunks(spark, run_dir).join(wanted.select(*on).distinct(), on, "left_semi")
     # At most one row per chunk of stores.
-    return rows.join(F.broadcast(committed_chunks(spark, run_dir)), "store_chunk", "left_semi")
+    return spark.read.parquet(f"{run_dir}/predictions").join(F.broadcast(whole.select("store_chunk")), "store_chunk", "left_semi")
 
 
 def read_chunk_files(spark: SparkSession, folder: str) -> DataFrame:

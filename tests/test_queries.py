@@ -12,7 +12,7 @@ from shelfcast.plans.catalogue import Feed
 
 SF = "/root/testdata/sf0.001"
 ORACLE = driver.oracle_sql()
-WRITES_FILES = {"full_run", "full_run_csv", "metrics_csv", "resume_pending", "resumed_run", "export_files", "export_head_file", "full_run_dense", "asked_forecast", "rerun_other_input"}
+WRITES_FILES = {"full_run", "full_run_csv", "metrics_csv", "resume_pending", "resumed_run", "export_files", "export_head_file", "full_run_dense", "asked_forecast", "rerun_other_input", "refreshed_run", "refreshed_chunks"}
 ROWS_ONLY = {"export_files_capped", "model_forecast"}
 OWN = set(driver.catalogue.queries())
 

@@ -105,6 +105,37 @@ def test_own_run_id_refuses_other_inputs(spark, tables, tmp_path):
         run_forecast(spark, tables[0].where("quantity > 4"), *tables[1:], str(tmp_path), CFG, run_id="mine")
 
 
+def test_a_refresh_computes_changed_chunks_only(spark, tables, tmp_path):
+    sales, stores, products = tables
+    cfg = replace(CFG, write_full=False, write_csv=False)
+    first = run_forecast(spark, *tables, str(tmp_path), cfg, run_id="mine")
+    assert first.chunks_written == 3
+    before = rows_of(first.predictions)
+    # S1's sale of P2 makes an extinct pair; without it only the chunk of S1 has other facts.
+    later = sales.where("not (internal_store_id = 'S1' and internal_product_id = 'P2')")
+    fresh = run_forecast(spark, later, stores, products, f"{tmp_path}/whole", cfg)
+    stopped = run_forecast(spark, later, stores, products, str(tmp_path), cfg, run_id="mine", max_commits=0, refresh=True)
+    assert not stopped.complete and stopped.summary.first().stores_done == 2
+    again = run_forecast(spark, later, stores, products, str(tmp_path), cfg, run_id="mine", refresh=True)
+    assert again.chunks_written == 1 and again.complete
+    assert rows_of(again.predictions) == rows_of(fresh.predictions) != before
+    back = run_forecast(spark, *tables, str(tmp_path), cfg, run_id="mine", refresh=True)
+    assert back.chunks_written == 1 and back.run_dir == first.run_dir and rows_of(back.predictions) == before
+    # A store fewer: its chunk is no part of the result, though its files are still there.
+    fewer = run_forecast(spark, sales, stores.where("pdv <> 'S3'"), products, str(tmp_path), cfg, run_id="mine", refresh=True)
+    assert fewer.predictions.count() == 40
+    # A batch that breaks off leaves its chunk withdrawn.
+    storage.write_chunks(spark, f"{tmp_path}/mine", [(0, "x")], lambda c: fewer.predictions.selectExpr("0 as store_chunk", "horizon"), 1, 0)
+    assert fewer.predictions.count() == 40
+    with pytest.raises(RuntimeError):
+        storage.write_chunks(spark, f"{tmp_path}/mine", [(0, "x")], broken, 1)
+    assert rows_of(storage.committed_chunks(spark, f"{tmp_path}/mine").select("store_chunk")) == [(1,), (2,)]
+
+
+def broken(chunks):
+    raise RuntimeError("lost")
+
+
 def test_a_compact_run_answers_like_the_dense_one(spark, tables, whole, tmp_path):
     compact = run_forecast(spark, *tables, str(tmp_path), replace(CFG, write_dense=False, write_full=False, write_csv=False))
     assert compact.complete and compact.chunks_written == 0
