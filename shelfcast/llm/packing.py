@@ -6,13 +6,17 @@ squared lengths, the cost of attention within documents). Pieces are placed in d
 the open bins in which a piece fits under every constraint, the one with the largest weighted dot product
 of piece and residual, or with the least weighted norm of what would remain, takes it.
 
-Full pieces are sequences of their own. All others are spread evenly over groups by a hash of document
-and piece; each group is packed by one task, with the bins of equal residual capacities kept together, so a
-choice looks at the different residuals only. A group ends with at most a few bins that are not nearly
-full, so the loss falls with the size of the groups.
+Tokens weigh most, so that sequences are few; documents and attention cost weigh a twentieth each and
+decide between bins that tokens hardly tell apart.
+
+Full pieces are sequences of their own. All others are spread evenly over groups by a hash of the number
+each piece gets when it is written; each group is packed by one task in the order of length and number, with
+the bins of equal residual capacities kept together, so a choice looks at the different residuals only. A group ends with
+at most a few bins that are not nearly full, so the loss falls with the size of the groups. As pieces are numbered in a
+written table, a task that is run again packs the same way.
 
 Defined results: null and empty texts are documents of just the end id; rows that share an id are
-documents of their own (their pieces are told apart by nothing but their content); null ids stay null;
+documents of their own; null ids stay null;
 an empty table gives an empty result. Only the named columns are read.
 """
 
@@ -35,25 +39,29 @@ LENGTH = 1024
 END = 2
 #: Pieces of a group; about one bin of each group stays badly filled.
 GROUP_PIECES = 100_000
+#: Of tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.05, 0.05)
 
 
 def _pieces(length: int, end: int, vocabulary: str | None, ranks: str | None):
     def run(batches):
         ids_of = encoder(vocabulary, ranks)
         tail = np.array([end], ID)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.concatenate((ids_of.encode(text), tail))
                 cut = len(ids) % length or min(len(ids), length)
                 start, piece = 0, 0
                 while start < len(ids):
                     stop = cut if piece == 0 else start + length
-                    for column, value in zip(out, (doc, piece, start, stop - start, zlib.crc32(ids[start:stop]))):
+                    for column, value in zip(out, (doc, piece, start, stop - start, zlib.crc32(ids[start:stop]), number)):
                         column.append(value)
-                    start, piece = stop, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    start, piece, number = stop, piece + 1, number + 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     return run
 
@@ -131,6 +139,7 @@ def _pack(capacity, weights, by):
         bins, offsets = best_fit(table.column("length").to_numpy(), capacity, weights, by)
         # Even numbers: packed sequences; odd ones: full pieces.
         ids = ((np.int64(task) << np.int64(32)) + bins) * 2
+        table = table.drop_columns(["number"])
         yield from table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).to_batches(65_536)
 
     return run
@@ -142,7 +151,7 @@ def packed(
     end: int = END,
     max_documents: int | None = None,
     max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     by: str = "norm",
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -151,15 +160,14 @@ def packed(
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    By default the document and cost capacities are those a sequence of ``length`` tokens can't exceed, and only
-    tokens weigh: the fewest sequences.
+    By default the document and cost capacities are those a sequence of ``length`` tokens can't exceed: the fewest sequences.
     """
     capacity = (length, max_documents or length, max_cost or length * length)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, number long"
     pieces = stored(texts_of(docs, id_col, text_col).mapInArrow(_pieces(length, end, vocabulary, ranks), schema), "packing-pieces")
     whole = pieces.where(F.col("length") == length)
     rest = pieces.where(F.col("length") < length)
     groups = 1 + rest.count() // GROUP_PIECES
-    spread = rest.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32"))
-    alone = whole.select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    spread = rest.repartition(groups, F.xxhash64("number")).sortWithinPartitions("number")
+    alone = whole.select("*", (F.col("number") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("number")
     return alone.unionByName(spread.mapInArrow(_pack(capacity, weights, by), PACKED))

@@ -192,10 +192,25 @@ def test_packing_keeps_every_token_and_constraint(documents, options):
     assert packing.packed(documents(TEXTS).limit(0)).count() == 0
 
 
-def test_best_fit_is_close_to_the_bound():
+@pytest.mark.parametrize("by", ["norm", "dot"])
+def test_best_fit_is_close_to_the_bound(by):
     lengths = np.random.default_rng(0).integers(1, 1024, 5000)
-    bins, _ = packing.best_fit(lengths, (1024, 1024, 1024**2), (1.0, 0.0, 0.0), "norm")
-    assert bins.max() + 1 <= 1.02 * lengths.sum() / 1024 + 1
+    found = {packing.best_fit(lengths, (1024, 1024, 1024**2), weights, by)[0].max() + 1 for weights in ((1.0, 0.0, 0.0), packing.WEIGHTS)}
+    assert max(found) <= 1.02 * lengths.sum() / 1024 + 1
+
+
+def test_other_capacities_decide_between_bins():
+    # By tokens the last piece goes to 450 + 440; 590 + 290 leaves ten tokens more, but has used up more attention cost.
+    lengths, full = np.array([590, 450, 440, 290, 60]), (1024, 1024, 1024**2)
+    assert packing.best_fit(lengths, full, (1.0, 0.0, 0.0), "norm")[0].tolist() == [0, 1, 1, 0, 1]
+    assert packing.best_fit(lengths, full, packing.WEIGHTS, "norm")[0].tolist() == [0, 1, 1, 0, 0]
+
+
+def test_packing_again_gives_the_same_sequences(spark, documents, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 20)
+    out = packing.packed(documents([(None, "no id")] * 40 + [(i, "word " * (i % 7)) for i in range(40)]))
+    first = sorted(map(str, out.collect()))
+    assert first == sorted(map(str, out.collect())) and len({r["sequence_id"] for r in out.collect()}) >= 3
 
 
 @pytest.mark.parametrize("block", [1 << 20, 7, 64])
