@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfcast.llm import decontamination, jaccard, repeats
@@ -137,8 +139,40 @@ def brute_repeats(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window", [50, 8, 21])
-def test_repeats_equal_brute_force(documents, words, window):
+def test_deep_nodes_are_in_word_order():
+    r = random.Random(0)
+    for window in (1, 2, 7, 8, 50):
+        text = [r.choice([b"a", b"b", b"ab", b"z"]) for _ in range(400)] + [b"a"] * 90
+        spelt = [tuple(text[i : i + window]) for i in range(len(text) - window + 1)]
+        places = {w: i for i, w in enumerate(sorted(set(spelt)))}
+        assert repeats.deep_nodes(text, window).tolist() == [places[w] for w in spelt]
+
+
+def test_subtrees_do_not_depend_on_how_rows_arrive(monkeypatch):
+    r = random.Random(1)
+    groups = sorted(r.sample(range(1000), 40))
+    rows = [(a, r.randrange(9), 1, 2, r.randrange(50), b" ".join(r.choice([b"x", b"y"]) for _ in range(r.randrange(4, 20)))) for a in groups for _ in range(r.randrange(1, 30))]
+    names = ["anchor", "doc_id", *repeats.CONTENT, "start", "words"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def solved(size, batch_rows):
+        monkeypatch.setattr(repeats, "GROUP_BYTES", size)
+        out = pa.Table.from_batches(repeats._subtrees(4)(iter(table.to_batches(batch_rows)))).to_pylist()
+        return sorted((row["doc_id"], start) for row in out for start in row["starts"])
+
+    # Here windows of different groups may be equal, so every group is made distinct by its own letters.
+    own = pa.array([w.replace(b"x", b"x%d" % a).replace(b"y", b"y%d" % a) for a, w in zip(table["anchor"].to_pylist(), table["words"].to_pylist())], pa.binary())
+    table = table.set_column(5, "words", own)
+    whole = solved(1 << 20, 10_000)
+    assert len(whole) > 1000
+    assert all(solved(size, n) == whole for size, n in ((1, 7), (500, 7), (2000, 100), (5000, 3)))
+
+
+@pytest.mark.parametrize(("window", "size"), [(50, 4 << 20), (8, 4 << 20), (21, 4 << 20), (50, 3000), (8, 100), (21, 0)])
+def test_repeats_equal_brute_force(documents, words, monkeypatch, window, size):
+    # Groups of all sizes are subtrees of one task, several at a time, or split into ranges.
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     rows = corpus(words)
     found = repeats.without_repeats(documents(rows), window).drop("kept")
     assert sorted(tuple(r) for r in found.collect()) == brute_repeats(rows, window)
