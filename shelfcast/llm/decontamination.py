@@ -5,8 +5,10 @@ through it word by word; the automaton holds the longest suffix read so far that
 an item. Wherever that is at least a window long, the last ``window`` words are a window of
 some item. An item shorter than a window counts when all of it occurs.
 
-The automaton is broadcast: it is built in shards of at most ``SHARD_WORDS`` item words, so
-its size is bounded whatever the benchmark's; a larger benchmark takes more passes.
+Spark cuts the items into pieces that share all but one word of a window, so every window lies whole in one piece,
+and deals the pieces to shards of about ``SHARD_WORDS`` words. A shard is broadcast, and each worker builds its
+automaton: its size is bounded whatever the benchmark's or an item's. A larger benchmark takes more passes, with one shard
+at a time on the driver.
 
 Defined results: null and empty texts have no words and no hits; an item without words (or
 null) matches nothing; an item with a null id marks words, but is not listed; equal items and
@@ -18,11 +20,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import alnum_words, stored, texts_of, utf8
@@ -49,6 +49,13 @@ class SuffixAutomaton:
                 for c in ids:
                     last = self._extend(last, c)
         self.shortest = min([window, *(len(ids) for _, ids in coded)], default=window)
+        # Links lead to shorter states, so these are found in the order of length, without walking chains.
+        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        self.at_window = [0] * len(self.length)
+        for state in order:
+            if self.length[state] >= window:
+                up = self.link[state]
+                self.at_window[state] = self.at_window[up] if self.length[up] >= window else state
         found: dict[int, set] = {}
         whole: dict[int, dict[int, set]] = {}
         for item, ids in coded:
@@ -56,11 +63,15 @@ class SuffixAutomaton:
             for at, c in enumerate(ids):
                 state, matched = self.step(state, matched, c)
                 if matched >= window:
-                    found.setdefault(self.ancestor(state, window), set()).add(item)
+                    found.setdefault(self.at_window[state], set()).add(item)
                 elif at == len(ids) - 1:
                     whole.setdefault(state, {}).setdefault(len(ids), set()).add(item)
         self.items = {state: frozenset(x) for state, x in found.items()}
         self.whole = {state: [(n, frozenset(x)) for n, x in by.items()] for state, by in whole.items()}
+        #: The nearest state up the links, itself included, at which a short item ends; 0: none.
+        self.near = [0] * len(self.length) if whole else []
+        for state in order if whole else ():
+            self.near[state] = state if state in whole else self.near[self.link[state]]
 
     def _new(self, length: int, link: int, following: dict[int, int]) -> int:
         self.length.append(length)
@@ -97,12 +108,6 @@ class SuffixAutomaton:
         following = self.next[state].get(c)
         return (0, 0) if following is None else (following, matched + 1)
 
-    def ancestor(self, state: int, length: int) -> int:
-        """The state that holds the last ``length`` words of ``state``'s match."""
-        while self.length[self.link[state]] >= length:
-            state = self.link[state]
-        return state
-
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged spans (first word, end) of all hits, and the items that occur."""
         n = len(words)
@@ -125,27 +130,48 @@ class SuffixAutomaton:
             for at, c in enumerate(ids[first:end].tolist(), first + 1):
                 state, matched = self.step(state, matched, c)
                 if matched >= self.window:
-                    hit(at - self.window, at, self.items[self.ancestor(state, self.window)])
+                    hit(at - self.window, at, self.items[self.at_window[state]])
                 if self.whole:
-                    up = state
+                    up = self.near[state]
                     while up > 0:
-                        for n_item, by in self.whole.get(up, ()):
+                        for n_item, by in self.whole[up]:
                             if n_item <= matched:
                                 hit(at - n_item, at, by)
-                        up = self.link[up]
+                        up = self.near[self.link[up]]
         return spans, items
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    shard, words = [], 0
-    for item, text in items.select(F.col(id_col), F.col(text_col).cast("string")).toLocalIterator():
-        shard.append((item, alnum_words(text)))
-        words += len(shard[-1][1])
-        if words >= SHARD_WORDS:
-            yield shard
-            shard, words = [], 0
-    if shard:
-        yield shard
+def _pieces(length: int, window: int):
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = alnum_words(text)
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, length - window + 1):
+                    part = words[at : at + length]
+                    for column, value in zip(out, (item, b" ".join(part), len(part))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.binary(), pa.int64()))], names=["item", "words", "n"])
+
+    return run
+
+
+def _benchmark(items: DataFrame, item_id: str, item_text: str, window: int) -> tuple[DataFrame, int]:
+    """The pieces of all items, each with its shard, and the number of shards."""
+    length = max(4 * window, SHARD_WORDS // 50)
+    source = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    pieces = stored(source.mapInArrow(_pieces(length, window), "item string, words binary, n long").dropDuplicates(["item", "words"]), "decontamination-pieces")
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS)
+    if n <= 1:
+        return pieces.withColumn("shard", F.lit(0)), n
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(n)).cast("int"))
+    return stored(dealt.repartition("shard").sortWithinPartitions("shard"), "decontamination-shards"), n
+
+
+def _shard(pieces: DataFrame, shard: int, window: int):
+    """One shard, of about ``SHARD_WORDS`` words, for every task."""
+    rows = [(row["item"], bytes(row["words"])) for row in pieces.where(F.col("shard") == shard).select("item", "words").collect()]
+    return pieces.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows, window))
 
 
 _automata: dict[str, SuffixAutomaton] = {}
@@ -156,12 +182,19 @@ def _built(shared) -> SuffixAutomaton:
     key = shared.value[0]
     if key not in _automata:
         _automata.clear()
-        _automata[key] = SuffixAutomaton(shared.value[1], shared.value[2])
+        _automata[key] = SuffixAutomaton([(item, words.split()) for item, words in shared.value[1]], shared.value[2])
     return _automata[key]
 
 
-def _broadcast_shards(spark: SparkSession, items: DataFrame, item_id: str, item_text: str, window: int) -> list:
-    return [spark.sparkContext.broadcast((uuid.uuid4().hex, shard, window)) for shard in _shards(items, item_id, item_text)]
+def _passes(keyed: DataFrame, pieces: DataFrame, shards: int, window: int) -> DataFrame:
+    """The hits of all rows of ``keyed`` (doc_id, text, row) in every shard; a shard is let go when its pass is written."""
+    both = None
+    for k in range(shards):
+        shared = _shard(pieces, k, window)
+        one = stored(_one_pass(keyed, shared), "decontamination-pass")
+        shared.unpersist()
+        both = one if both is None else both.unionByName(one)
+    return both
 
 
 HITS = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
@@ -193,18 +226,15 @@ def contamination(
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_words", "starts", "ends", "items"])
 
-    shards = _broadcast_shards(docs.sparkSession, items, item_id, item_text, window)
+    pieces, n_shards = _benchmark(items, item_id, item_text, window)
     source = texts_of(docs, id_col, text_col)
-    if len(shards) <= 1:
+    if n_shards <= 1:
+        shards = [_shard(pieces, 0, window)] if n_shards else []
         return source.mapInArrow(lambda batches: scan(batches, shards), HITS)
     # One pass for each shard keeps one automaton at a time in memory.
     keyed = stored(source.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
-    passes = [stored(_one_pass(keyed, shared), "decontamination-pass") for shared in shards]
-    both = passes[0]
-    for other in passes[1:]:
-        both = both.unionByName(other)
     return (
-        both.groupBy("row")
+        _passes(keyed, pieces, n_shards, window).groupBy("row")
         .agg(
             F.first("doc_id").alias("doc_id"),
             F.max("n_words").alias("n_words"),
@@ -299,15 +329,16 @@ def decontaminate(
             columns[chars] = pa.array([o if a == b else len(b) for o, a, b in zip(old, before, texts)], batch.schema.field(chars).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    shards = _broadcast_shards(docs.sparkSession, items, item_id, item_text, window)
-    if not shards:
+    pieces, n_shards = _benchmark(items, item_id, item_text, window)
+    if not n_shards:
         return docs
-    if len(shards) == 1:
+    if n_shards == 1:
+        shared = _shard(pieces, 0, window)
 
         def scan_and_cut(batches):
             for batch in batches:
                 texts = batch.column(at).to_pylist()
-                yield cut(batch, texts, [_built(shards[0]).scan(alnum_words(t))[0] for t in texts])
+                yield cut(batch, texts, [_built(shared).scan(alnum_words(t))[0] for t in texts])
 
         return docs.mapInArrow(scan_and_cut, schema)
 
@@ -320,10 +351,7 @@ def decontaminate(
     key, first, last = (f"{name}_{uuid.uuid4().hex}" for name in ("row", "starts", "ends"))
     keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "decontamination-rows")
     source = texts_of(keyed, key, text_col).withColumn("row", F.col("doc_id"))
-    marked = [stored(_one_pass(source, shared).where("size(starts) > 0").select("row", "starts", "ends"), "decontamination-pass") for shared in shards]
-    both = marked[0]
-    for other in marked[1:]:
-        both = both.unionByName(other)
+    both = _passes(source, pieces, n_shards, window).where("size(starts) > 0")
     spans = both.groupBy(F.col("row").alias(key)).agg(
         F.flatten(F.collect_list("starts")).alias(first), F.flatten(F.collect_list("ends")).alias(last)
     )

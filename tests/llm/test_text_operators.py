@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,24 @@ def contaminated(words):
     return rows + ODD, items
 
 
+def test_items_of_one_repeated_word_are_built_and_scanned_in_linear_time():
+    same = [b"a"] * 30_000
+    automaton = decontamination.SuffixAutomaton([("long", same), ("short", [b"a"] * 3), ("two", [b"b", b"a"])], 10)
+    began = time.perf_counter()
+    spans, items = automaton.scan(same + [b"x", b"b", b"a"])
+    assert spans == [(0, 30_000), (30_001, 30_003)] and items == {"long", "short", "two"}
+    assert time.perf_counter() - began < 5
+
+
+def test_long_items_are_cut_without_losing_a_window(spark, documents, words, monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 60)
+    long = words(500, 8, 2000)
+    items = [(1, " ".join(long)), (1, " ".join(long)), (2, "two words")]
+    rows = [(i, " ".join(["x"] + long[i : i + 10] + ["y"])) for i in range(0, 490, 7)] + [(1000, " ".join(long)), (1001, "x two words")]
+    found = decontamination.digest(decontamination.contamination(documents(rows), benchmark(spark, items)))
+    assert sorted((str(r[0]), *r[1:]) for r in found.collect()) == brute_hits(rows, items, 10)
+
+
 @pytest.mark.parametrize("shard", [500_000, 40])
 def test_hits_equal_brute_force(spark, documents, words, monkeypatch, shard):
     rows, items = contaminated(words)
