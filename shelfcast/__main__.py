@@ -43,7 +43,7 @@ def _parser() -> argparse.ArgumentParser:
     forecast.add_argument("--date-format", action="append", default=[], help="tried after the usual ones; may be repeated")
 
     export = commands.add_parser("export", help="write the integer-coded result")
-    export.add_argument("--predictions", required=True, help="a run's folder, or one of chunk files")
+    export.add_argument("--predictions", required=True, nargs="+", help="a run's folder, one of chunk files, or chunk files")
     export.add_argument("--out", required=True)
     export.add_argument("--size-cap-mb", type=float, default=ExportConfig.size_cap_mb)
     export.add_argument("--head-rows", type=int, default=ExportConfig.head_rows)
@@ -100,7 +100,8 @@ def main(argv: list[str] | None = None) -> None:
             row_group_rows=args.row_group_rows,
             prefer_brotli=args.prefer_brotli,
         )
-        print(run_export(spark, load_predictions(spark, args.predictions), args.out, cfg))
+        source = args.predictions[0] if len(args.predictions) == 1 and not args.predictions[0].endswith(".parquet") else args.predictions
+        print(run_export(spark, load_predictions(spark, source), args.out, cfg))
 
 
 if __name__ == "__main__":

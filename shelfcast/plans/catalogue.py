@@ -7,16 +7,18 @@ from dataclasses import dataclass, replace
 from datetime import timedelta
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.config import LAGS, PAIR, PRODUCT, STORE, ExportConfig, ForecastConfig
-from shelfcast.operators import codes, evaluate, grid, model, panel, prepare, segments
-from shelfcast.plans.export_run import run_export
+from shelfcast.config import FEATURES, LAGS, PAIR, PRODUCT, STORE, ExportConfig, ForecastConfig
+from shelfcast.functions.numbers import finite_or_zero
+from shelfcast.operators import boosting, codes, evaluate, grid, model, panel, prepare, segments
+from shelfcast.plans.export_run import MIB, load_predictions, run_export
 from shelfcast.plans.forecast_run import open_run, run_forecast, run_summary
 from shelfcast.session import new_scratch
-from shelfcast.sources import storage, testbed
-from shelfcast.sources.roles import detect_roles
+from shelfcast.sources import sinks, storage, testbed
+from shelfcast.sources.roles import detect_roles, require_columns
 from shelfcast.sources.universe import product_universe, store_universe
 
 CFG = ForecastConfig()
@@ -292,6 +294,88 @@ def export_head_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_export(spark, sf_dir, ExportConfig(head_rows=1_000)).head_path)
 
 
+def export_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export of everything, then one of three horizons to the same path: the second is all that is there."""
+    tables = open_run(spark, _full_run(spark, sf_dir).run_dir)
+    predictions, out = tables.predictions().withColumn("prediction", F.round("prediction", 6)), new_scratch(spark, "export")
+    run_export(spark, predictions, out, ExportConfig(), tables.stores, tables.products)
+    return spark.read.parquet(run_export(spark, predictions.where("horizon <= 3"), out, ExportConfig(), tables.stores, tables.products).path)
+
+
+def export_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codec and row groups found in the footers of an export that prefers a codec executors lack."""
+    run = _export(spark, sf_dir, ExportConfig(prefer_brotli=True, row_group_rows=1_000))
+    groups = sinks.row_groups(spark, run.path)
+    return groups.groupBy("codec").agg(F.sum("rows").alias("n_rows"), F.max("rows").alias("largest_group"))
+
+
+def export_capped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export capped at the very size that its first two chunks have without a cap."""
+    tables = open_run(spark, _full_run(spark, sf_dir, store_chunk_size=3).run_dir)
+    predictions = tables.predictions().withColumn("prediction", F.round("prediction", 6))
+
+    def export(rows: DataFrame, stores: DataFrame, cfg: ExportConfig):
+        return run_export(spark, rows, new_scratch(spark, "export"), cfg, stores, tables.products)
+
+    two = export(predictions.where("store_chunk < 2"), tables.stores.where("store_chunk < 2"), ExportConfig())
+    capped = export(predictions, tables.stores, ExportConfig(size_cap_mb=two.bytes / MIB))
+    return spark.read.parquet(capped.path)
+
+
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the chunks with even numbers, listed by name and read as predictions."""
+    run = _full_run(spark, sf_dir, store_chunk_size=3, write_dense=True)
+    written = spark.read.parquet(f"{run.run_dir}/predictions").where("store_chunk % 2 = 0")
+    files = [row[0] for row in written.select("_metadata.file_path").distinct().collect()]
+    return load_predictions(spark, files).select("store_chunk", *PAIR, "horizon", six("prediction"))
+
+
+def required_columns(feed: Feed) -> DataFrame:
+    """For each required column: what is reported of transactions without it, and the rows it has."""
+    sales, roles = feed.transactions, detect_roles(feed.transactions)
+    reported = []
+    for name in (roles.store, roles.product, "transaction_date", "quantity"):
+        try:
+            require_columns(sales.drop(name), roles)
+        except ValueError as error:
+            reported.append(F.struct(F.lit(name).alias("dropped"), F.lit(str(error)).alias("reported"), F.count(name).alias("n_values")))
+    return sales.agg(F.array(*reported).alias("found")).select(F.inline("found"))
+
+
+def feature_totals(feed: Feed) -> DataFrame:
+    """Each model feature's number of values and their sum over the panel."""
+    totals = [F.struct(F.lit(f).alias("feature"), F.count(f).alias("n"), F.round(F.sum(f), 2).cast("double").alias("total")) for f in FEATURES]
+    return feed.panel.agg(F.array(*totals).alias("found")).select(F.inline("found"))
+
+
+def finite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts less taxes, made infinite, undefined or null by the other columns of a row."""
+    value = F.col("l_discount").cast("double") - F.col("l_tax").cast("double")
+    odd = (
+        F.when(F.col("l_linenumber") == 1, F.lit(float("inf")))
+        .when(F.col("l_linenumber") == 2, F.lit(float("-inf")))
+        .when(F.col("l_linenumber") == 3, F.lit(float("nan")))
+        .when(F.col("l_linenumber") == 4, F.lit(None).cast("double"))
+        .otherwise(value)
+    )
+    sales = testbed.table(spark, sf_dir, "lineitem")
+    return sales.select("l_orderkey", "l_linenumber", F.round(finite_or_zero(odd), 6).alias("guarded"))
+
+
+def scored_last_points(feed: Feed) -> DataFrame:
+    """Given trees in place of learned ones: one split for the first horizon, two trees for the second, no further models."""
+
+    def stump(feature: str, low: float, high: float) -> boosting.Tree:
+        at = FEATURES.index(feature)
+        return boosting.Tree(np.array([at, 0, 0]), np.array([0, 0, 0]), np.array([1, -1, -1]), np.array([0.0, low, high]))
+
+    edges = tuple(np.array([{"qty_4w_sum": 60.0, "qty_lag_1": 20.0}.get(f, 0.0)]) for f in FEATURES)
+    first, second = stump("qty_4w_sum", -5.0, 3.0), stump("qty_lag_1", 0.25, 6.5)
+    models = {1: boosting.TreeModel(1.0, edges, (first,)), 2: boosting.TreeModel(1.0, edges, (first, second))}
+    models |= {h: None for h in feed.cfg.horizons[2:]}
+    return model.overrides_to_rows(model.score_last_points(feed.panel, models, feed.cfg))
+
+
 def export_files_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes decide how many chunks stay, so there is no SQL for the row count."""
     return spark.read.parquet(_export(spark, sf_dir, ExportConfig(size_cap_mb=0.004)).path)
@@ -441,5 +525,13 @@ def queries() -> dict[str, Query]:
         "export_files": export_files,
         "export_files_capped": export_files_capped,
         "export_head_file": export_head_file,
+        "export_replaced": export_replaced,
+        "export_row_groups": export_row_groups,
+        "export_capped_prefix": export_capped_prefix,
+        "chunk_files": chunk_files,
+        "required_columns": over_feed(required_columns),
+        "feature_totals": over_feed(feature_totals),
+        "finite_guard": finite_guard,
+        "scored_last_points": over_feed(scored_last_points, cfg=keep_base),
         "model_forecast": model_forecast,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,8 +130,11 @@ class _Prefixes:
         return max(fits, 1)
 
 
-def load_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions under canonical names, from a run's folder or from one of chunk files."""
+def load_predictions(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
+    """Predictions under canonical names, from a run's folder, from one of chunk files or from listed chunk files."""
+    if not isinstance(source, str):
+        return _canonical(storage.read_chunk_files(spark, source))
+    folder = source
     if path_exists(spark, f"{folder}/manifest"):
         chunks = spark.read.parquet(f"{folder}/chunk_digests")
         if not storage.pending_chunks(spark, folder, chunks).isEmpty():
@@ -138,7 +142,10 @@ def load_predictions(spark: SparkSession, folder: str) -> DataFrame:
         return storage.read_chunks(spark, folder, chunks)
     if path_exists(spark, f"{folder}/settings"):
         return open_run(spark, folder).predictions()
-    rows = storage.read_chunk_files(spark, folder)
+    return _canonical(storage.read_chunk_files(spark, folder))
+
+
+def _canonical(rows: DataFrame) -> DataFrame:
     roles = detect_roles(rows)
     return rows.select(
         "store_chunk", F.col(roles.store).alias(STORE), F.col(roles.product).alias(PRODUCT), "horizon", "prediction"

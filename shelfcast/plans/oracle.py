@@ -242,6 +242,18 @@ FROM read WHERE store_id IS NOT NULL AND product_id IS NOT NULL AND day IS NOT N
 """
 
 
+# The 15 features of the panel.
+FEATURE_COLUMNS = (
+    "discount_mean discount_max trans_count qty_4w_sum qty_12w_mean store_week_total product_global_week time_idx "
+    "qty_lag_1 qty_lag_2 qty_lag_3 qty_lag_4 qty_lag_8 qty_lag_12 qty_lag_52"
+).split()
+
+FINITE_GUARD = """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_linenumber <= 4 THEN 0 ELSE round(greatest(0, CAST(l_discount AS DOUBLE) - CAST(l_tax AS DOUBLE)), 6) END AS guarded
+FROM lineitem"""
+
+
 def oracle_sql() -> dict[str, str]:
     week = "store_id, product_id, week_start"
     return {
@@ -327,6 +339,36 @@ WHERE total_bytes <= 500000 OR n = 1"""
         "export_head_file": _with(
             "SELECT pdv, produto, semana, quantidade FROM coded ORDER BY pdv, produto, semana LIMIT 1000"
         ),
+        "export_replaced": _with("SELECT pdv, produto, semana, quantidade FROM coded WHERE semana <= 3"),
+        "export_row_groups": _with(
+            "SELECT 'gzip' AS codec, count(*) AS n_rows, least(count(*), 1000) AS largest_group FROM coded"
+        ),
+        "export_capped_prefix": _with("SELECT pdv, produto, semana, quantidade FROM coded WHERE pdv <= 6"),
+        "chunk_files": _with(
+            """SELECT store_chunk, store_id, product_id, horizon, round(prediction, 6) AS prediction
+FROM base_forecast JOIN chunks USING (store_id) WHERE store_chunk % 2 = 0""",
+            chunk=3,
+        ),
+        "required_columns": _with(
+            "\nUNION ALL\n".join(
+                f"""SELECT '{name}' AS dropped, 'transactions lack the columns [''{name}'']' AS reported, count({column}) AS n_values
+FROM sales"""
+                for name, column in (("store_id", "store_id"), ("product_id", "product_id"), ("transaction_date", "day"), ("quantity", "quantity"))
+            )
+        ),
+        "feature_totals": _with(
+            "\nUNION ALL\n".join(
+                f"SELECT '{f}' AS feature, count({f}) AS n, CAST(round(sum({f}), 2) AS DOUBLE) AS total FROM panel" for f in FEATURE_COLUMNS
+            )
+        ),
+        "finite_guard": FINITE_GUARD,
+        "scored_last_points": _with(
+            """SELECT store_id, product_id, horizon,
+       CASE WHEN horizon > 2 THEN NULL
+            ELSE greatest(0, 1 + CASE WHEN qty_4w_sum > 60 THEN 3 ELSE -5 END
+                 + CASE WHEN horizon = 1 THEN 0 WHEN qty_lag_1 > 20 THEN 6.5 ELSE 0.25 END) END::DOUBLE AS prediction
+FROM panel CROSS JOIN horizons WHERE from_end = 1"""
+        ),
         "refreshed_run": REFRESHED,
         "refreshed_chunks": f"""
 SELECT DISTINCT CAST((pdv - 1) // 3 AS INTEGER) AS store_chunk

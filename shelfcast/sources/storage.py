@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.session import path_exists
@@ -98,20 +99,47 @@ def read_chunks(spark: SparkSession, run_dir: str, wanted: DataFrame) -> DataFra
     return spark.read.parquet(f"{run_dir}/predictions").join(F.broadcast(whole.select("store_chunk")), "store_chunk", "left_semi")
 
 
-def read_chunk_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions from a folder of ``chunk_<n>.parquet`` files or of ``store_chunk=<n>`` folders."""
+def read_chunk_files(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
+    """Predictions from a folder of ``chunk_<n>.parquet`` files or of ``store_chunk=<n>`` folders.
+
+    ``source`` may also list files, each named ``chunk_<n>.parquet`` or lying in a folder ``store_chunk=<n>``;
+    a file that is listed twice is read once.
+    """
+    if not isinstance(source, str):
+        return _listed_chunk_files(spark, sorted(set(source)))
+    folder = source
     if not path_exists(spark, folder):
         raise FileNotFoundError(f"no such folder: {folder}")
     rows = _parquet_if_any(spark.read.option("pathGlobFilter", "chunk_*.parquet"), folder)
     if rows is not None:
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"chunk_(\d+)\.parquet", 1)
-        return rows.select("*", number.cast("int").alias("store_chunk"))
+        return rows.select("*", _chunk_number().alias("store_chunk"))
     rows = _parquet_if_any(spark.read, folder)
     if rows is None or "store_chunk" not in rows.columns:
         raise FileNotFoundError(f"no chunk_*.parquet and no store_chunk=* under {folder}")
     return rows
 
 
+#: Where a chunk file's path has its number.
+CHUNK_NUMBER = r"chunk[_=](\d+)(?:\.parquet$|/[^/]*$)"
+
+
+def _chunk_number() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), CHUNK_NUMBER, 1).cast("int")
+
+
+def _listed_chunk_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    nameless = [f for f in files if not re.search(CHUNK_NUMBER, f)]
+    if not files or nameless:
+        raise ValueError(f"files without a chunk number: {nameless}" if files else "no files are listed")
+    try:
+        rows = spark.read.parquet(*files)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(str(error)) from error
+        raise
+    return rows.drop("store_chunk").select("*", _chunk_number().alias("store_chunk"))
+
+
 def _parquet_if_any(reader: DataFrameReader, folder: str) -> DataFrame | None:
     try:
         return reader.parquet(folder)

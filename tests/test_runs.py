@@ -247,6 +247,9 @@ def test_chunk_files_by_name(spark, golden, tmp_path):
     assert rows_of(rows.select("store_chunk", "store_id", "product_id", "prediction")) == [
         (0, "a", "x", 0.5), (0, "a", "y", 1.4), (1, "b", "x", 0.5), (1, "b", "y", 1.4),
     ]
+    files = [f"{tmp_path}/chunk_{i:05d}.parquet" for i in (1, 0, 1)]
+    assert rows_of(load_predictions(spark, files).select("store_chunk", "product_id")) == [(0, "x"), (0, "y"), (1, "x"), (1, "y")]
+    assert load_predictions(spark, files[:1]).select("store_chunk").distinct().collect() == [(1,)]
     done = run_export(spark, rows, f"{tmp_path}/merged")
     assert rows_of(spark.read.parquet(done.path)) == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 1, 1, 1), (2, 2, 1, 1)]
 
@@ -256,6 +259,12 @@ def test_missing_chunks_are_an_error(spark, tmp_path):
         load_predictions(spark, f"{tmp_path}/absent")
     with pytest.raises(FileNotFoundError, match="no chunk_"):
         load_predictions(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError, match="chunk_00007"):
+        load_predictions(spark, [f"{tmp_path}/chunk_00007.parquet"])
+    with pytest.raises(ValueError, match="without a chunk number"):
+        load_predictions(spark, [f"{tmp_path}/part-0.parquet"])
+    with pytest.raises(ValueError, match="no files"):
+        load_predictions(spark, [])
 
 
 def test_run_with_models(spark, tmp_path):
