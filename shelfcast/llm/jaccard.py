@@ -1,12 +1,16 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets are the 64-bit hashes of a text's distinct word shingles. Sizes fall into bands whose ends
-differ by a quarter; two sets above the threshold whose smaller one lies in band *i* differ in at
-most ``k_i`` elements. For a band the feature domain is cut into parts, each of these into two
-halves (``n2 = 2``), H halves in all, H > k_i. By pigeonhole a pair agrees on at least H - k_i
-halves, that is on a subset of size ``n2 - k2 = 1`` of some part, so every half's content is a
-signature. A set keeps the k_i + 1 fullest halves only: the order depends on a half's content
-alone, and the fullest half a pair agrees on is never among the H - k_i - 1 last of either set.
+differ by half; two sets above the threshold whose smaller one lies in a band differ in at most
+``k`` elements. For a band the feature domain is cut into ``n1`` parts and each of these into
+``N2`` cells, ``n1`` so large that of any ``k`` differences at most ``K2`` fall into some part. A
+signature is the content of a subset of ``N2 - K2`` cells of a part; all such subsets are
+enumerated, and a pair above the threshold agrees on one at least. How many it must agree on
+follows from the most that differences can spoil: one difference spoils the subsets that hold its
+cell, the next one in the same part fewer. If a set can differ from its partners in ``d`` elements,
+which its own size bounds, ``lost(d)`` subsets can be spoilt, so a set keeps its ``lost(d) + 1``
+fullest ones only: the order depends on a subset's content alone, and the fullest subset that a
+pair agrees on is among these in either set.
 
 A set signs for its own band and, if it can be the greater one of a pair, for the bands below.
 One shuffle brings equal signatures together, packed by ranges of signatures; each bucket gives
@@ -15,8 +19,9 @@ Where a star has an edge that fails, its members could still be linked to each o
 stars are compared in blocks inside tasks, and only a spanning set of true links comes out.
 Equal sets are one node from the start.
 
-Set identities and elements are 64-bit hashes: a mistake has a chance of about
-(number of distinct sets)^2 / 2^65, 3 % of a single wrong link among a thousand million sets.
+Sets are told apart by two hashes, 126 bits. The first one names a set in candidates and links; the
+few sets of different content that share it (n sets: about n^2 / 2^64) are found by the second one and
+named by that. Elements are 64-bit hashes of shingles, compared only between two candidates.
 
 Defined results: null and empty texts and texts without words have an empty set (0 shingles) and
 are linked with nothing; rows with a null id take part with their text and have the component
@@ -28,6 +33,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,8 +45,12 @@ from pyspark.sql import functions as F
 from shelfcast.llm.common import MIX, blank_words, filter_bit, gram_hashes, hash64, id_filter, lists, mixed, passing, scaled, stored, texts_of, word_hashes
 from shelfcast.llm.components import components
 
-BAND = 1.25
-SPARE = 0.3
+BAND = 1.5
+#: Cells of a part, and how many of them may differ: signatures are subsets of two of three cells.
+N2, K2 = 3, 1
+SUBSETS = np.array(list(combinations(range(N2), N2 - K2)))
+#: Subsets of a part that its first, second, ... differing cell spoils.
+SPOILT = [math.comb(N2 - i, N2 - K2) - math.comb(N2 - i - 1, N2 - K2) for i in range(K2 + 1)]
 #: Signatures that a task packs, or compares, at a time.
 FLUSH = 1_000_000
 #: Signatures of a range; ranges are told apart by the upper bits, signatures within by 32 more.
@@ -59,9 +70,24 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(gram_hashes(a, min(size, len(a))))
 
 
-def set_id(elements: np.ndarray) -> int:
-    """Signed 64-bit identity of a set; 0 for the empty one."""
-    return int(np.uint64(hash64(elements.tobytes()) | 1).view(np.int64)) if len(elements) else 0
+@dataclass(frozen=True)
+class Identity:
+    """Names of sets. ``shared``: the first hashes that different sets have in common; ``bits``: of the first hash."""
+
+    shared: frozenset[int] = frozenset()
+    bits: int = 64
+
+    @staticmethod
+    def second(elements: np.ndarray) -> int:
+        """Signed second hash of a set, odd; 0 for the empty one."""
+        return int(np.uint64(hash64(elements.tobytes(), 1) | 1).view(np.int64)) if len(elements) else 0
+
+    def of(self, elements: np.ndarray) -> int:
+        """Signed name of a set, odd; 0 for the empty one."""
+        if not len(elements):
+            return 0
+        first = int(np.uint64(hash64(elements.tobytes()) >> (64 - self.bits) | 1).view(np.int64))
+        return self.second(elements) if first in self.shared else first
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
@@ -79,6 +105,12 @@ def _reaches(percent: int, size: int, band: tuple[int, int, int]) -> bool:
     return band[0] <= size <= band[1] or (size > band[1] and band[1] * 100 >= size * percent)
 
 
+def lost(differences: int, n1: int) -> int:
+    """The most subsets that so many differences spoil: first one cell of every part, then a second one, and so on."""
+    rounds, rest = divmod(differences, n1)
+    return sum(n1 * s for s in SPOILT[:rounds]) + (rest * SPOILT[rounds] if rounds <= K2 else 0)
+
+
 class Signer:
     """Signatures of sets for one threshold."""
 
@@ -100,27 +132,40 @@ class Signer:
             self.at[size] = found
         return self.at[size]
 
+    def _most_differences(self, size: int, band: tuple[int, int, int]) -> int:
+        """Of a set of ``size`` from any partner, where the smaller one of the pair is in ``band``."""
+        apart = 100 - self.percent
+        if size <= band[1]:
+            return size * apart // self.percent
+        return min(band[2], (band[1] + size) * apart // (100 + self.percent))
+
     def sign(self, elements: np.ndarray) -> np.ndarray:
         """Signatures, without those of bands whose pairs can only be equal sets."""
-        parts = [self._of_band(elements, i, self.bands[i][2]) for i in self._bands_of(len(elements))]
+        found = self._bands_of(len(elements))
+        parts = [self._of_band(elements, i, self.bands[i][2], self._most_differences(len(elements), self.bands[i])) for i in found]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
     @staticmethod
-    def _of_band(elements: np.ndarray, band: int, k: int) -> np.ndarray:
-        if k == 0:
+    def _of_band(elements: np.ndarray, band: int, most: int, own: int) -> np.ndarray:
+        """``most``: differences of any pair of the band; ``own``: of this set from its partners."""
+        if own == 0:
             return np.zeros(0, np.uint64)
-        halves = 2 * math.ceil((k + 1) * (1 + SPARE) / 2)
+        n1 = -(-(most + 1) // (K2 + 1))
+        cells = N2 * n1
         mix = mixed(elements ^ scaled(band + 1, 0))
-        # The upper half of the bits chooses the place, the whole value is summed.
-        place = ((mix >> np.uint64(32)) * np.uint64(halves)) >> np.uint64(32)
+        # The upper half of the bits chooses the cell, the whole value is summed.
+        place = ((mix >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
         order = np.argsort(place, kind="stable")
-        counts = np.bincount(place.astype(np.int64), minlength=halves)
-        sums = np.zeros(halves, np.uint64)
+        counts = np.bincount(place.astype(np.int64), minlength=cells)
+        sums = np.zeros(cells, np.uint64)
         full = counts > 0
         starts = (np.cumsum(counts) - counts)[full]
         sums[full] = np.add.reduceat(mixed(mix[order]), starts)
-        names = mixed(sums + np.arange(halves, dtype=np.uint64) * MIX[2] + scaled(band, 1) + counts.astype(np.uint64))
-        return names[np.lexsort((names, counts))[halves - k - 1 :]]
+        held = counts.reshape(n1, N2)[:, SUBSETS].sum(axis=2).ravel()
+        content = sums.reshape(n1, N2)[:, SUBSETS].sum(axis=2, dtype=np.uint64).ravel()
+        names = mixed(content + np.arange(len(content), dtype=np.uint64) * MIX[2] + scaled(band, 1) + held.astype(np.uint64))
+        kept = min(len(names), lost(own, n1) + 1)
+        return names[np.lexsort((names, held))[len(names) - kept :]]
 
 
 def text_key(text: Column) -> Column:
@@ -128,24 +173,35 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def described(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """Per document row: doc_id, n_shingles, set_id (0: empty) and, if wanted, text_key."""
+def described(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, bits: int = 64) -> tuple[DataFrame, Identity]:
+    """Per document row: doc_id, n_shingles, set_id (0: empty) and, if wanted, text_key; stored. With the naming used."""
+    first = Identity(bits=bits)
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *batch.columns[2:]],
-                names=["doc_id", "n_shingles", "set_id", *batch.schema.names[2:]],
-            )
+            values = [pa.array(v, pa.int64()) for v in (map(len, sets), map(first.of, sets), map(first.second, sets))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values, *batch.columns[2:]], names=["doc_id", "n_shingles", "set_id", "second", *batch.schema.names[2:]])
 
-    source, schema = texts_of(docs, id_col, text_col), "doc_id long, n_shingles long, set_id long"
+    source, schema = texts_of(docs, id_col, text_col), "doc_id long, n_shingles long, set_id long, second long"
     if keyed:
         source, schema = source.withColumn("text_key", text_key(F.col("text"))), schema + ", text_key long"
-    return source.mapInArrow(run, schema)
+    found = stored(source.mapInArrow(run, schema), "jaccard-described")
+    identity = Identity(_shared_names(found), bits)
+    if identity.shared:
+        found = found.withColumn("set_id", F.when(F.col("set_id").isin(*identity.shared), F.col("second")).otherwise(F.col("set_id")))
+        if _shared_names(found):
+            raise RuntimeError("different sets agree in both hashes")
+    return found.drop("second"), identity
+
 
+def _shared_names(found: DataFrame) -> frozenset[int]:
+    """Names of more than one set; of n sets about n^2 / 2^64 by chance, a hundred at 4 * 10^10."""
+    names = found.groupBy("set_id").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    return frozenset(row[0] for row in names.where("lo <> hi").select("set_id").collect())
 
-def _packed(size: int, percent: int, bits: int):
+
+def _packed(size: int, percent: int, bits: int, identity: Identity):
     """Signatures of a task's texts, packed by range: the lower 32 bits of each and the set it is of."""
 
     def run(batches):
@@ -170,7 +226,7 @@ def _packed(size: int, percent: int, bits: int):
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 elements = shingles(text, size)
-                if not len(elements) or (own := set_id(elements)) in seen:
+                if not len(elements) or (own := identity.of(elements)) in seen:
                     continue  # equal sets of a task are sent once
                 if len(seen) > FLUSH:
                     seen.clear()
@@ -292,12 +348,12 @@ def _block_links(percent: int):
     return run
 
 
-def linked_sets(docs: DataFrame, known: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of all sets that are linked with a different one. known: ``described``, stored."""
+def linked_sets(docs: DataFrame, known: DataFrame, identity: Identity, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component) of all sets that are linked with a different one. known, identity: ``described``."""
     source = texts_of(docs, id_col, text_col)
-    total = (known.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * (100 - percent) // percent
+    total = (known.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * (100 - percent) // percent  # signatures, about
     bits = min(MOST_RANGES, max(LEAST_RANGES, (total // RANGE_ROWS).bit_length()))
-    packed = source.mapInArrow(_packed(size, percent, bits), "span long, signatures array<int>, members array<long>")
+    packed = source.mapInArrow(_packed(size, percent, bits, identity), "span long, signatures array<int>, members array<long>")
     stars = packed.repartition("span").sortWithinPartitions("span").mapInArrow(_stars, "hub long, member long")
     stars = stored(stars.distinct(), "jaccard-stars")
     wanted = stored(stars.select(F.col("hub").alias("set_id")).unionAll(stars.select("member")).distinct(), "jaccard-wanted")
@@ -310,7 +366,7 @@ def linked_sets(docs: DataFrame, known: DataFrame, size: int, percent: int, id_c
         for batch in batches:
             batch = batch.filter(pa.array(passing(wanted_ids, batch.column("bit").to_numpy())))
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(identity.of, sets), pa.int64()), batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "doc_id", "elements"])
 
     contents = source.withColumn("bit", filter_bit(F.col("doc_id"))).mapInArrow(elements, "set_id long, doc_id long, elements binary")
     contents = contents.alias("c").join(owners.alias("o"), F.expr("c.set_id = o.set_id and c.doc_id <=> o.doc_id"), "left_semi")
@@ -351,10 +407,13 @@ def _rest(tested: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
     return blocks.groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 
 
-def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles and component_id, the smallest id reachable by links."""
-    known = stored(described(docs, size, id_col, text_col), "jaccard-described")
-    groups = stored(linked_sets(docs, known, size, percent, id_col, text_col), "jaccard-groups")
+def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """Per document row: doc_id, n_shingles and component_id, the smallest id reachable by links.
+
+    ``bits`` of a set's first hash; few of them only make many sets be named by the second one.
+    """
+    known, identity = described(docs, size, id_col, text_col, bits=bits)
+    groups = stored(linked_sets(docs, known, identity, size, percent, id_col, text_col), "jaccard-groups")
     least = known.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     by_set = least.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
     by_set = stored(by_set, "jaccard-sets-placed")
@@ -368,10 +427,10 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     Rows are chosen by id and text, so of an id with several texts each is judged by its own group. Among
     the rows without an id one of each group stays too, also beside a row with an id. Texts without words
-    are in no group and stay. Of rows that repeat id and text one stays, but for those with neither id nor words.
+    are in no group and stay. Further columns may have any names. Of rows that repeat id and text one stays, but for those with neither id nor words.
     """
-    known = stored(described(docs, size, id_col, text_col, keyed=True), "jaccard-described")
-    groups = stored(linked_sets(docs, known, size, percent, id_col, text_col), "jaccard-groups")
+    known, identity = described(docs, size, id_col, text_col, keyed=True)
+    groups = stored(linked_sets(docs, known, identity, size, percent, id_col, text_col), "jaccard-groups")
     rows = F.count("*").alias("rows")
     texts = known.where("set_id <> 0").groupBy("set_id", "doc_id", "text_key").agg(rows)
     texts = texts.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -381,9 +440,12 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     empty = known.where("set_id = 0").groupBy("doc_id", "text_key").agg(rows)
     empty = empty.withColumn("rows", F.when(F.isnull("doc_id"), 1).otherwise(F.col("rows")))
     keep = stored(chosen.select("least.*").unionByName(empty), "jaccard-kept")
-    keep = keep.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key"), F.col("rows").alias("_rows"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (text_key(F.col(text_col)) == F.col("_kept_key"))
+    # Under names that no column of the documents has.
+    longest = "_" * (1 + max(map(len, docs.columns)))
+    kept_id, kept_key, kept_rows = (f"{longest}{name}" for name in ("id", "key", "rows"))
+    keep = keep.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key), F.col("rows").alias(kept_rows))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (text_key(F.col(text_col)) == F.col(kept_key))
     found = docs.join(keep, same)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once, repeated = found.where("_rows = 1"), found.where("_rows > 1").dropDuplicates([id_col, text_col])
+    once, repeated = found.where(F.col(kept_rows) == 1), found.where(F.col(kept_rows) > 1).dropDuplicates([id_col, text_col])
     return once.select(columns).unionByName(repeated.select(columns))

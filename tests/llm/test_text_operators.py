@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import time
@@ -10,6 +12,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelfcast.llm import decontamination, jaccard, repeats
 
@@ -98,6 +101,35 @@ def test_signatures_never_miss_a_pair():
         assert tried > 200
 
 
+def test_a_subset_survives_any_placing_of_the_differences():
+    # Every way to put k differences into the cells of n1 parts, against the count of subsets that are spoilt.
+    r = jaccard.N2 - jaccard.K2
+    for k in range(1, 6):
+        n1 = -(-(k + 1) // (jaccard.K2 + 1))
+        worst = 0
+        for hit in itertools.product(range(jaccard.N2 * n1), repeat=k):
+            whole = sum(math.comb(jaccard.N2 - len({c for c in hit if c // jaccard.N2 == part}), r) for part in range(n1))
+            worst = max(worst, n1 * len(jaccard.SUBSETS) - whole)
+        assert worst == jaccard.lost(k, n1) < n1 * len(jaccard.SUBSETS)
+
+
+def test_sets_that_share_a_name_are_told_apart(documents, words):
+    rows = corpus(words)
+    found = {tuple(r) for r in jaccard.similar_documents(documents(rows), 3, 90, bits=3).collect()}
+    assert found == brute_jaccard(rows, 3, 90)
+
+
+def test_one_of_each_takes_columns_of_any_name(documents, words):
+    text = " ".join(words(50, 1))
+    docs = documents([(5, text), (3, text + " end"), (3, text + " end"), (9, None)])
+    for name in ("_kept", "_kept_key", "_rows", "rows", "set_id", "component", "text_key", "node", "a.b"):
+        docs = docs.withColumn(name, F.lit(7))
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["_rows"], r["a.b"]) for r in out.collect()) == [(3, 7, 7), (9, 7, 7)]
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_one_of_each_keeps_whole_rows_and_repeated_ids(documents, words):
     text = " ".join(words(50, 1))
     rows = [(5, text), (3, text), (3, text), (None, text), (8, " ".join(words(50, 2))), (9, None), (10, "")]
