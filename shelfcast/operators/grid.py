@@ -23,6 +23,9 @@ from shelfcast.functions.numbers import clip_at_zero, finite_or_zero
 from shelfcast.operators.ranking import dense_codes
 from shelfcast.operators.sizes import broadcast_if_small, is_small
 
+# Pairs that a task unfolds, about, where chunks are smaller than that.
+PAIRS_PER_TASK = 200_000
+
 
 def chunk_stores(stores: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
     """store_id, store_code, store_chunk: stores in ascending order, in chunks of fixed size."""
@@ -94,34 +97,37 @@ def forecast_pairs(
 
     Codes come with the cell and its lists, so nothing has to be joined to the unfolded rows.
     """
-    n_chunks = math.ceil(n_stores / cfg.store_chunk_size)
-    if chunks is not None:
-        wanted = F.col("store_chunk").isin(list(chunks))
-        stores, facts = stores.where(wanted), facts.where(wanted)
-        chunk_list = F.array(*[F.lit(int(c)) for c in chunks])
-        n_chunks = len(chunks)
-    else:
-        chunk_list = F.sequence(F.lit(0), F.lit(max(n_chunks - 1, 0)))
+    n_chunks = math.ceil(n_stores / cfg.store_chunk_size) if chunks is None else len(chunks)
     n_blocks = max(1, math.ceil(n_products / cfg.products_per_block))
-
-    if n_blocks > 1:
-        products = products.repartition(n_blocks, PRODUCT)  # or a few tasks would make all cells
-    cells = products.select(
+    n_makers = max(n_blocks, min(n_products, math.ceil(n_chunks * n_products / PAIRS_PER_TASK)))
+    if n_makers > 1:
+        products = products.repartition(n_makers, PRODUCT)  # or a few tasks would make all cells
+    products = products.select(
         PRODUCT,
         "product_code",
         "global_avg",
         F.pmod(F.xxhash64(PRODUCT), F.lit(n_blocks)).cast("int").alias("product_block"),
-        F.explode(chunk_list).alias("store_chunk"),
     )
+    if chunks is None:
+        cells = products.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n_chunks - 1, 0)))).alias("store_chunk"))
+    else:
+        # Many chunks make a table, not an expression of as many literals.
+        wanted = F.broadcast(stores.sparkSession.createDataFrame([(int(c),) for c in chunks], "store_chunk int"))
+        if chunks:  # the bounds skip the row groups of other chunks
+            within = F.col("store_chunk").between(min(chunks), max(chunks))
+            stores, facts = stores.where(within), facts.where(within)
+        stores, facts = (df.join(wanted, "store_chunk", "left_semi") for df in (stores, facts))
+        cells = products.crossJoin(wanted)
     # A list holds one entry per store of the chunk at most.
     entry = F.struct(STORE, "store_code", "extinct", "pair_avg", "override")
     listed = facts.groupBy("store_chunk", PRODUCT).agg(F.collect_list(entry).alias("known"))
     members = stores.groupBy("store_chunk").agg(F.collect_list(F.struct(STORE, "store_code")).alias("members"))
 
-    # One task per block of a chunk, not fewer: unfolding multiplies rows, which
-    # the sizes seen by adaptive execution do not show.
+    # Tasks by the pairs to unfold, one per block of a chunk at most: unfolding multiplies rows, which the sizes
+    # seen by adaptive execution do not show. Small chunks share a task, or tasks would be as many as chunks.
     cells = cells.join(listed, ["store_chunk", PRODUCT], "left")
-    n_tasks = max(1, n_chunks * n_blocks)
+    by_pairs = math.ceil(n_chunks * cfg.store_chunk_size * n_products / PAIRS_PER_TASK)
+    n_tasks = max(1, min(n_chunks * n_blocks, max(by_pairs, 2 * stores.sparkSession.sparkContext.defaultParallelism)))
     if is_small(n_chunks * cfg.store_chunk_size):
         task = F.col("store_chunk") * F.lit(n_blocks) + F.col("product_block")
         cells = cells.repartitionById(n_tasks, task).join(F.broadcast(members), "store_chunk")

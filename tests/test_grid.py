@@ -132,3 +132,19 @@ def test_override_rows_round_trip(spark, cfg):
     zeros = ForecastConfig(missing_model="zero")
     back = model.overrides_to_rows(model.overrides_from_rows(df, zeros)).collect()
     assert {(r.horizon, r.prediction) for r in back} == {(1, 3.0), (2, 0.0), (3, 0.0), (4, 5.0), (5, 0.0)}
+
+
+def test_many_small_chunks_share_tasks(spark):
+    n = 2_000
+    stores = spark.range(n).selectExpr("cast(id as string) store_id", "cast(id + 1 as int) store_code", "cast(id as int) store_chunk")
+    products = spark.createDataFrame([("p", 1, 2.5)], "product_id string, product_code int, global_avg double")
+    facts = spark.createDataFrame(
+        [(7, "7", "p", 8, True, None, None)],
+        "store_chunk int, store_id string, product_id string, store_code int, extinct boolean, pair_avg double, override array<double>",
+    )
+    cfg = ForecastConfig(store_chunk_size=1)
+    for chunks in (None, list(range(0, n, 2))):
+        pairs = grid.forecast_pairs(stores, products, facts, n, 1, cfg, chunks)
+        assert pairs.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        found = {(r.store_chunk, r.store_id, r.base) for r in pairs.collect()}
+        assert found == {(i, str(i), 0.0 if i == 7 else 2.5) for i in (chunks or range(n))}
