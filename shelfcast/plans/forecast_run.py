@@ -19,6 +19,8 @@ from shelfcast.sources.roles import Roles, detect_roles, require_columns
 from shelfcast.sources.universe import product_universe, store_universe
 
 SPLIT_SCHEMA = "horizon int, train_rows bigint, valid_rows bigint"
+# Rows of the dense table that one job writes, at most, where batches of chunks are smaller than that.
+ROWS_PER_JOB = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -234,11 +236,13 @@ def run_forecast(
         return metrics
 
     def write_dense() -> tuple[int, bool]:
-        """Predict the chunks still to do, a batch at a time; how many, and whether none is left."""
+        """Predict the chunks still to do, some batches at a time; how many, and whether none is left."""
         # One id and digest per chunk of stores reach the driver.
         pending = sorted((row[0], row[1]) for row in storage.pending_chunks(spark, chunk_dir, digests).collect())
+        most_chunks = ROWS_PER_JOB // max(1, cfg.store_chunk_size * n_products * len(cfg.horizons))
         written = storage.write_chunks(
-            spark, chunk_dir, pending, lambda chunks: tables.predictions(chunks).drop("store_code", "product_code"), cfg.chunks_per_commit, max_commits
+            spark, chunk_dir, pending, lambda chunks: tables.predictions(chunks).drop("store_code", "product_code"),
+            cfg.chunks_per_commit, max_commits, most_chunks,
         )
         return written, written == len(pending)
 

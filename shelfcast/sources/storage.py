@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -13,6 +13,8 @@ from shelfcast.session import path_exists
 
 #: A chunk's entries in the order they were made; the last one counts, and one without a digest withdraws the chunk.
 MANIFEST_SCHEMA = "store_chunk int, digest string, entry long"
+#: How much larger the next job of `write_chunks` is than the one before.
+JOB_GROWTH = 4
 
 
 def stage_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -60,37 +62,50 @@ def write_chunks(
     build: Callable[[Sequence[int]], DataFrame],
     per_commit: int,
     max_commits: int | None = None,
+    most_chunks: int | None = None,
 ) -> int:
-    """Write predictions by chunk, a batch at a time; returns the chunks written.
+    """Write predictions by chunk, in batches of ``per_commit``; returns the chunks written.
 
     ``chunks`` are ids with the digest of their facts. A directory alone does not prove that its
     chunk is whole: ids enter the manifest after their batch is committed, a batch that
     broke off is overwritten as a whole by the next attempt, and a chunk to be overwritten is withdrawn first.
+
+    The first batch is a job of its own; later jobs commit growing numbers of batches, of ``most_chunks`` chunks at
+    most (or one batch), so that jobs follow the amount of work and not the number of small chunks.
     """
     top = manifest(spark, run_dir).agg(F.max("entry")).first()[0]
     entry = 0 if top is None else top + 1
 
-    def note(rows: Sequence[tuple[int, str | None]]) -> None:
+    def note(batches: Sequence[Sequence[tuple[int, str | None]]]) -> None:
         nonlocal entry
-        done = spark.createDataFrame([(int(c), d, entry) for c, d in rows], MANIFEST_SCHEMA)
-        done.coalesce(1).write.mode("append").parquet(f"{run_dir}/manifest")
-        entry += 1
+        rows = [(int(c), d, entry + i) for i, batch in enumerate(batches) for c, d in batch]
+        spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run_dir}/manifest")
+        entry += len(batches)
 
     batches = [chunks[i : i + per_commit] for i in range(0, len(chunks), per_commit)][:max_commits]
     if batches and top is not None:
-        note([(c, None) for batch in batches for c, _ in batch])
-    for batch in batches:
+        note([[(c, None) for batch in batches for c, _ in batch]])
+    for job in _jobs(batches, per_commit, most_chunks):
         (
-            build([c for c, _ in batch])
+            build([c for batch in job for c, _ in batch])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("store_chunk")
             .parquet(f"{run_dir}/predictions")
         )
-        note(batch)
+        note(job)
     return sum(map(len, batches))
 
 
+def _jobs(batches: Sequence, per_commit: int, most_chunks: int | None) -> Iterator[Sequence]:
+    """Batches by job: one, then ``JOB_GROWTH`` times as many each, up to the limit; one each without a limit."""
+    most = max(1, (most_chunks or 0) // per_commit)
+    start, size = 0, 1
+    while start < len(batches):
+        yield batches[start : start + size]
+        start, size = start + size, min(most, size * JOB_GROWTH)
+
+
 def read_chunks(spark: SparkSession, run_dir: str, wanted: DataFrame) -> DataFrame:
     """The committed chunks among ``wanted`` (see `pending_chunks`), and only those."""
     on = _same_chunk(wanted)

@@ -301,3 +301,23 @@ def test_command_line(spark, tables, tmp_path, capsys):
 def test_nothing_to_export(spark, bulky, tmp_path):
     with pytest.raises(ValueError, match="no predictions"):
         run_export(spark, bulky.where("store_chunk < 0"), f"{tmp_path}/none")
+
+
+def test_many_batches_take_few_jobs(spark, tmp_path):
+    built = []
+
+    def build(chunks):
+        built.append(len(chunks))
+        return spark.createDataFrame([(c, 1.0 * c) for c in chunks], "store_chunk int, prediction double")
+
+    chunks = [(c, f"d{c}") for c in range(50)]
+    assert storage.write_chunks(spark, str(tmp_path), chunks, build, 2, max_commits=1, most_chunks=24) == 2
+    assert rows_of(storage.committed_chunks(spark, str(tmp_path))) == chunks[:2]
+    assert storage.write_chunks(spark, str(tmp_path), chunks[2:], build, 2, most_chunks=24) == 48
+    # One batch, four, then as many as the limit allows.
+    assert built == [2, 2, 8, 24, 14]
+    wanted = spark.createDataFrame(chunks, "store_chunk int, digest string")
+    assert rows_of(storage.read_chunks(spark, str(tmp_path), wanted).select("store_chunk")) == [(c,) for c in range(50)]
+    # Still an entry for each batch.
+    entries = storage.manifest(spark, str(tmp_path)).where("digest is not null").groupBy("entry").count()
+    assert entries.count() == 25 and entries.select("count").distinct().first()[0] == 2
