@@ -14,10 +14,13 @@ pair agrees on is among these in either set.
 
 A set signs for its own band and, if it can be the greater one of a pair, for the bands below.
 One shuffle brings equal signatures together, packed by ranges of signatures; each bucket gives
-a star of candidates around one of its sets (never all pairs), which are verified exactly.
-Where a star has an edge that fails, its members could still be linked to each other: these
-stars are compared in blocks inside tasks, and only a spanning set of true links comes out.
-Equal sets are one node from the start.
+a star of candidates around its set with the least name (never all pairs), which are verified exactly;
+buckets that hold much the same sets so have the same star. Where a star has an edge that fails, its
+members could still be linked to each other. From large stars those members go that have too many
+elements which no other one has, found by one count of elements. Of the others those outside the star's
+most frequent component are tested against a few pivots inside it, again while that joins a part of them.
+So the rows for a group of near copies grow with its members. What is left is compared in
+blocks inside tasks, and only a spanning set of true links comes out. Equal sets are one node from the start.
 
 Sets are told apart by two hashes, 126 bits. The first one names a set in candidates and links; the
 few sets of different content that share it (n sets: about n^2 / 2^64) are found by the second one and
@@ -57,8 +60,12 @@ FLUSH = 1_000_000
 RANGE_ROWS = 100_000
 LEAST_RANGES, MOST_RANGES = 10, 20
 #: Sets and bytes of a block when the members of a star are compared.
-BLOCK_SETS = 1024
+BLOCK_SETS = 4096
 BLOCK_BYTES = 16 << 20
+#: Stars with more members are tested against so many pivots at a time, as long as that joins a part of those outside.
+PIVOT_SETS = 128
+PIVOTS = 4
+LEAST_JOINED = 0.25
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -264,7 +271,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, member = np.concatenate([known, *names]), np.concatenate([hubs, *members])
         names.clear()
         members.clear()
-        order = np.argsort(name, kind="stable")  # those chosen before come first
+        order = np.lexsort((member, np.arange(len(name)) >= len(known), name))  # those chosen before come first
         name, member = name[order], member[order]
         first = np.concatenate(([True], name[1:] != name[:-1]))
         hub = member[first][np.cumsum(first) - 1]
@@ -313,11 +320,22 @@ def _verify(percent: int):
                 x, y = np.frombuffer(h, np.uint64), np.frombuffer(m, np.uint64)
                 small, large = min(len(x), len(y)), max(len(x), len(y))
                 linked.append(100 * small >= percent * large and bool(similar(_shared(x, y), len(x), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("member"), pa.array(linked, pa.bool_())], names=["hub", "member", "linked"])
+            size = pa.array(map(len, members), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("member"), size, pa.array(linked, pa.bool_())], names=["hub", "member", "bytes", "linked"])
 
     return run
 
 
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, member, bytes of the member's elements and whether the two are linked, of pairs (hub, member)."""
+    return stored(
+        pairs.join(sets.select(F.col("set_id").alias("member"), F.col("elements").alias("member_elements")), "member")
+        .join(sets.select(F.col("set_id").alias("hub"), F.col("elements").alias("hub_elements")), "hub")
+        .mapInArrow(_verify(percent), "hub long, member long, bytes long, linked boolean"),
+        "jaccard-tested",
+    )
+
+
 def _block_links(percent: int):
     """Spanning links among the sets of two blocks of a star, between different components only."""
 
@@ -332,17 +350,20 @@ def _block_links(percent: int):
             elements = np.concatenate(sets)
             order = np.argsort(elements, kind="stable")
             elements, owner = elements[order], owner[order]
-            names, group = right["member"].to_numpy(), right["component"].to_numpy().copy()
-            for member, component, raw in zip(left["member"], left["component"], left["elements"]):
+            names, own = right["member"].to_numpy(), left["component"].to_numpy().copy()
+            group = right["component"].to_numpy().copy()
+            for k, (member, raw) in enumerate(zip(left["member"], left["elements"])):
                 x = np.frombuffer(raw, np.uint64)
                 lo, hi = np.searchsorted(elements, x, "left"), np.searchsorted(elements, x, "right")
                 span = hi - lo
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())
                 shared = np.bincount(owner[at], minlength=len(sets))
-                hits = np.flatnonzero(similar(shared, len(x), sizes, percent) & (group != component) & (names != member))
+                hits = np.flatnonzero(similar(shared, len(x), sizes, percent) & (group != own[k]) & (names != member))
                 if len(hits):
-                    _, once = np.unique(group[hits], return_index=True)  # one link for each component reached
+                    reached, once = np.unique(group[hits], return_index=True)  # one link for each component reached
                     out += [(member, int(names[i])) for i in hits[once]]
+                    group[np.isin(group, reached)] = own[k]  # from here on they are one
+                    own[np.isin(own, reached)] = own[k]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -371,39 +392,182 @@ def linked_sets(docs: DataFrame, known: DataFrame, identity: Identity, size: int
     contents = source.withColumn("bit", filter_bit(F.col("doc_id"))).mapInArrow(elements, "set_id long, doc_id long, elements binary")
     contents = contents.alias("c").join(owners.alias("o"), F.expr("c.set_id = o.set_id and c.doc_id <=> o.doc_id"), "left_semi")
     sets = stored(contents.select("set_id", "elements").dropDuplicates(["set_id"]), "jaccard-sets")
-    tested = stored(
-        stars.join(sets.select(F.col("set_id").alias("member"), F.col("elements").alias("member_elements")), "member")
-        .join(sets.select(F.col("set_id").alias("hub"), F.col("elements").alias("hub_elements")), "hub")
-        .mapInArrow(_verify(percent), "hub long, member long, linked boolean"),
-        "jaccard-tested",
+    tested = _tested(stars, sets, percent)
+    found = stored(components(_links(tested)), "jaccard-components")
+    # Members of stars with failed edges may be linked to each other; a hub itself has been tested with all of its own.
+    around = stored(tested.join(tested.where("not linked").select("hub").distinct(), "hub", "left_semi").select("hub", "member", "bytes"), "jaccard-around")
+    around, found = _pivoted(_without_lone(around, found, sets, percent), found, sets, percent)
+    return components(_edges(found).unionAll(_rest(around, found, sets, percent)))
+
+
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _open(around: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members, with their component, of stars whose members are of several ones; and these stars.
+
+    Per star: centre, its most frequent component, and how many members it has and, with their bytes, how many outside of the centre.
+    """
+    placed = around.join(found.select(F.col("node").alias("member"), "component"), "member", "left")
+    placed = stored(placed.select("hub", "member", "bytes", F.coalesce("component", "member").alias("component")), "jaccard-placed")
+    parts = placed.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    stars = parts.groupBy("hub").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("most")
     )
-    links = tested.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-    return components(links.unionAll(_rest(tested, components(links), sets, percent)))
-
-
-def _rest(tested: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of stars with failed edges whose components differ so far."""
-    found = stored(found, "jaccard-components")
-    failed = stored(tested.where("not linked").select("hub").distinct(), "jaccard-failed")
-    around = tested.join(failed, "hub").select("hub", "member")
-    around = around.unionAll(failed.select("hub", F.col("hub").alias("member")))
-    placed = stored(
-        around.join(found.select(F.col("node").alias("member"), "component"), "member", "left").select("hub", "member", F.coalesce("component", "member").alias("component")),
-        "jaccard-around",
+    stars = stars.where("parts > 1").select(
+        "hub", "n", "bytes", F.col("most.component").alias("centre"), F.expr("n - most.n").alias("n_outside"), F.expr("bytes - most.bytes").alias("bytes_outside")
     )
-    centre = found.select(F.col("node").alias("hub"), F.col("component").alias("centre"))
-    measured = placed.join(sets.select(F.col("set_id").alias("member"), F.length("elements").alias("bytes")), "member")
-    stars = measured.groupBy("hub").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    stars = stars.where("lo <> hi and n > 2").select("hub", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    stars = stored(stars.join(centre, "hub", "left").select("hub", "blocks", F.coalesce("centre", "hub").alias("centre")), "jaccard-open")
-    members = placed.join(stars, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    # Each pair of blocks (i, j): members outside the centre's component of block i (sides 0 and 2) against
-    # all members of block j (sides 1 and 2). Where i = j a member is sent once for both.
-    outside, others = F.col("component") != F.col("centre"), F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")
-    own = members.select("hub", "member", "component", F.when(outside, 2).otherwise(1).alias("side"), F.col("block").alias("i"), F.col("block").alias("j"))
-    left = members.where(outside).select("hub", "member", "component", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(others).alias("j"))
-    right = members.select("hub", "member", "component", F.lit(1).alias("side"), F.explode(others).alias("i"), F.col("block").alias("j"))
-    blocks = own.unionByName(left).unionByName(right).join(sets.withColumnRenamed("set_id", "member"), "member")
+    return placed, stored(stars, "jaccard-open")
+
+
+def _by_element(bits: int):
+    """Elements of a task's sets, packed by the range they fall into, and the sets they are of."""
+
+    def run(batches):
+        elements: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            name, member = np.concatenate(elements), np.concatenate(owners)
+            elements.clear()
+            owners.clear()
+            span = (name >> np.uint64(32) >> np.uint64(32 - bits)).astype(np.int64)
+            order = np.argsort(span, kind="stable")
+            found, starts = np.unique(span[order], return_index=True)
+            offsets = np.concatenate((starts, [len(order)]))
+            values = (pa.array(name[order].view(np.int64)), pa.array(member[order]))
+            return pa.RecordBatch.from_arrays([pa.array(found), *(lists(offsets, v) for v in values)], names=["span", "elements", "members"])
+
+        for batch in batches:
+            for member, raw in zip(batch.column("set_id").to_pylist(), batch.column("elements").to_pylist()):
+                elements.append(np.frombuffer(raw, np.uint64))
+                owners.append(np.full(len(elements[-1]), member, np.int64))
+                held += len(elements[-1])
+                if held >= FLUSH:
+                    yield flush()
+                    held = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _own_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packed rows sorted by range: sets and how many elements of the range no other one has.
+
+    A range is worked off in portions; memory follows its number of different elements.
+    """
+    span, held = None, 0
+    known, owner, often = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    names: list[np.ndarray] = []
+    members: list[np.ndarray] = []
+
+    def portion() -> None:
+        nonlocal known, owner, often
+        name, member = np.concatenate([known, *names]), np.concatenate([owner, *members])
+        twice = np.concatenate([often, np.zeros(len(name) - len(known), bool)])
+        names.clear()
+        members.clear()
+        known, first, at, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        owner, often = member[first], (n > 1) | (np.bincount(at, twice) > 0)
+
+    def counted() -> pa.RecordBatch:
+        portion()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(owner[~often], return_counts=True)], names=["member", "n"])
+
+    for batch in batches:
+        for k, now in enumerate(batch.column(0).to_pylist()):
+            if now != span:
+                if span is not None:
+                    yield counted()
+                span, held, known, owner, often = now, 0, known[:0], owner[:0], often[:0]
+            part = batch.slice(k, 1)
+            names.append(_flat(part.column(1)))
+            members.append(_flat(part.column(2)))
+            held += len(names[-1])
+            if held >= FLUSH:
+                portion()
+                held = 0
+    if span is not None:
+        yield counted()
+
+
+def _without_lone(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``around`` without those members of a large star that can't be linked with any other one of it.
+
+    These have so many elements that no other member of a large star has, that the rest is too few
+    for a link with a set of the star's least size.
+    """
+    large = _open(around, found)[1].where(F.col("n") > PIVOT_SETS).select("hub")
+    crowd = stored(around.join(large, "hub", "left_semi").groupBy("member").agg((F.max("bytes") / 8).cast("long").alias("size")), "jaccard-crowd")
+    total = crowd.agg(F.sum("size")).first()[0]
+    if not total:
+        return around
+    bits = min(MOST_RANGES, (total // RANGE_ROWS).bit_length())
+    packed = sets.join(crowd.select(F.col("member").alias("set_id")), "set_id", "left_semi").mapInArrow(_by_element(bits), "span long, elements array<long>, members array<long>")
+    own = packed.repartition("span").sortWithinPartitions("span").mapInArrow(_own_elements, "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    own = stored(own, "jaccard-own")
+    crowded = around.join(large, "hub")
+    least = crowded.groupBy("hub").agg((F.min("bytes") / 8).cast("long").alias("least"))
+    # A link of sets x and y has an intersection of at least percent * (x + y) / (100 + percent).
+    gone = crowded.select("hub", "member", (F.col("bytes") / 8).cast("long").alias("size")).join(own, "member").join(least, "hub")
+    gone = stored(gone.where(f"{100 + percent} * (size - n) < {percent} * (size + least)").select("hub", "member"), "jaccard-lone")
+    return stored(around.join(gone, ["hub", "member"], "left_anti"), "jaccard-around")
+
+
+def _pivoted(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``around`` without the pivots used, and the components after tests of large stars' members with pivots.
+
+    A pivot is of the star's centre and tested with all members outside, so all its pairs are settled then and
+    it leaves the star. A round takes at most ``PIVOTS`` rows for each member outside, and the next one comes only
+    if it joins a part of them: all rounds together grow with the members.
+    """
+    before = None
+    while True:
+        placed, stars = _open(around, found)
+        large = stars.where(F.col("n") > PIVOT_SETS)
+        outside = large.agg(F.sum("n_outside")).first()[0] or 0
+        if not outside or (before is not None and outside > (1 - LEAST_JOINED) * before):
+            return around, found
+        before = outside
+        members = placed.join(large.select("hub", "centre"), "hub")
+        # The same order in every star: those with much the same members have the same pivots.
+        place = F.xxhash64("member")
+        pivots = members.where("component = centre").groupBy("hub", F.pmod(place, F.lit(PIVOTS))).agg(F.min_by("member", place).alias("pivot"))
+        pivots = stored(pivots.select("hub", "pivot"), "jaccard-pivots")
+        pairs = members.where("component <> centre").select("hub", "member").join(pivots, "hub").select(F.col("pivot").alias("hub"), "member").distinct()
+        found = stored(components(_edges(found).unionAll(_links(_tested(pairs, sets, percent)))), "jaccard-components")
+        around = stored(around.join(pivots.withColumnRenamed("pivot", "member"), ["hub", "member"], "left_anti"), "jaccard-around")
+
+
+def _blocks(around: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, by star and pair of blocks, of stars whose members' components differ so far."""
+    placed, stars = _open(around, found)
+
+    def blocks_of(n: str, size: str) -> Column:
+        return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("int")
+
+    stars = stars.select("hub", "centre", blocks_of("n_outside", "bytes_outside").alias("lefts"), blocks_of("n", "bytes").alias("rights"))
+    members = placed.join(stars, "hub").select("hub", "member", "component", "lefts", "rights", (F.col("component") != F.col("centre")).alias("outside"))
+    # Each pair of blocks (i, j): members outside the centre of block i (sides 0 and 2) against all members
+    # of block j (sides 1 and 2). In a star of one block a member is sent once for both.
+    whole, split, place = members.where("rights = 1"), members.where("rights > 1"), F.xxhash64("member")
+    own = whole.select("hub", "member", "component", F.when(F.col("outside"), 2).otherwise(1).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    left, right = (F.pmod(place, F.col(c)).cast("int") for c in ("lefts", "rights"))
+    left = split.where("outside").select("hub", "member", "component", F.lit(0).alias("side"), left.alias("i"), F.expr("explode(sequence(0, rights - 1))").alias("j"))
+    right = split.select("hub", "member", "component", F.lit(1).alias("side"), F.expr("explode(sequence(0, lefts - 1))").alias("i"), right.alias("j"))
+    return own.unionByName(left).unionByName(right)
+
+
+def _rest(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a star whose components differ so far."""
+    blocks = _blocks(around, found).join(sets.withColumnRenamed("set_id", "member"), "member")
     return blocks.groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 
 

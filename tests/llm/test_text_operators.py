@@ -86,6 +86,55 @@ def test_jaccard_links_members_of_a_star_whose_centre_is_far(documents, words):
     assert {tuple(r) for r in jaccard.similar_documents(documents(rows), 3, 90).collect()} == brute_jaccard(rows, 3, 90)
 
 
+def near_group(words, n):
+    """Copies of one text with words changed: a third linked with all but the last third, one not with its own kind, one with none."""
+    base, rows = words(200, 3), []
+    for i in range(n):
+        r, changed = random.Random(i), list(base)
+        for j in r.sample(range(200), (2, 5, 11)[i % 3]):
+            changed[j] = f"own{i}x{j}" if i % 3 != 1 else f"common{i % 7}x{j % 5}"
+        rows.append((i, " ".join(changed)))
+    return rows
+
+
+def test_rows_for_a_group_of_near_copies_grow_with_its_members(documents, words, monkeypatch):
+    # Blocks, ranges and portions of a few sets only; before, each member went to all pairs of blocks.
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "PIVOT_SETS", 8)
+    made, blocks = [], jaccard._blocks
+
+    def counted(*given):
+        found = blocks(*given)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_blocks", counted)
+    for n in (90, 180):
+        rows = near_group(words, n)
+        found = {tuple(r) for r in jaccard.similar_documents(documents(rows), 3, 80).collect()}
+        assert found == brute_jaccard(rows, 3, 80)
+        assert 1 < len({component for _, _, component in found}) < n
+    assert made[1] <= 3 * made[0]
+
+
+def test_own_elements_are_counted_over_portions_and_ranges(monkeypatch):
+    r = np.random.default_rng(0)
+    sets = {int(k): np.unique(r.integers(0, 2**64, 40, dtype=np.uint64) >> np.uint64(1) << np.uint64(k % 2)) for k in range(1, 40)}
+    shared = np.unique(r.integers(0, 2**64, 30, dtype=np.uint64))
+    sets = {k: np.union1d(v, shared[: k % 30]) for k, v in sets.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([v.tobytes() for v in sets.values()], pa.binary())], names=["set_id", "elements"])
+    seen = [e for v in sets.values() for e in v]
+    wanted = {k: sum(seen.count(e) == 1 for e in v) for k, v in sets.items()}
+    for flush, bits in ((50, 0), (50, 3), (10**6, 2)):
+        monkeypatch.setattr(jaccard, "FLUSH", flush)
+        packed = pa.Table.from_batches(jaccard._by_element(bits)([batch])).sort_by("span")
+        own = dict.fromkeys(sets, 0)
+        for out in jaccard._own_elements(packed.to_batches(max_chunksize=3)):
+            for member, n in zip(out.column("member").to_pylist(), out.column("n").to_pylist()):
+                own[member] += n
+        assert own == wanted
+
+
 def test_signatures_never_miss_a_pair():
     random = np.random.default_rng(0)
     for percent in (90, 80, 60):
