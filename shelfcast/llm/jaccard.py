@@ -396,8 +396,8 @@ def linked_sets(docs: DataFrame, known: DataFrame, identity: Identity, size: int
     found = stored(components(_links(tested)), "jaccard-components")
     # Members of stars with failed edges may be linked to each other; a hub itself has been tested with all of its own.
     around = stored(tested.join(tested.where("not linked").select("hub").distinct(), "hub", "left_semi").select("hub", "member", "bytes"), "jaccard-around")
-    around, found = _pivoted(_without_lone(around, found, sets, percent), found, sets, percent)
-    return components(_edges(found).unionAll(_rest(around, found, sets, percent)))
+    found, placed, stars = _pivoted(_without_lone(around, found, sets, percent), found, sets, percent)
+    return components(_edges(found).unionAll(_rest(placed, stars, sets, percent)))
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -411,16 +411,16 @@ def _edges(found: DataFrame) -> DataFrame:
 def _open(around: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members, with their component, of stars whose members are of several ones; and these stars.
 
-    Per star: centre, its most frequent component, and how many members it has and, with their bytes, how many outside of the centre.
+    Per star: centre, its most frequent component, the least bytes of a member, and how many members it has and, with their bytes, how many outside of the centre.
     """
     placed = around.join(found.select(F.col("node").alias("member"), "component"), "member", "left")
     placed = stored(placed.select("hub", "member", "bytes", F.coalesce("component", "member").alias("component")), "jaccard-placed")
-    parts = placed.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = placed.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("bytes").alias("least"))
     stars = parts.groupBy("hub").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("most")
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("most"), F.min("least").alias("least")
     )
     stars = stars.where("parts > 1").select(
-        "hub", "n", "bytes", F.col("most.component").alias("centre"), F.expr("n - most.n").alias("n_outside"), F.expr("bytes - most.bytes").alias("bytes_outside")
+        "hub", "n", "bytes", "least", F.col("most.component").alias("centre"), F.expr("n - most.n").alias("n_outside"), F.expr("bytes - most.bytes").alias("bytes_outside")
     )
     return placed, stored(stars, "jaccard-open")
 
@@ -504,7 +504,7 @@ def _without_lone(around: DataFrame, found: DataFrame, sets: DataFrame, percent:
     These have so many elements that no other member of a large star has, that the rest is too few
     for a link with a set of the star's least size.
     """
-    large = _open(around, found)[1].where(F.col("n") > PIVOT_SETS).select("hub")
+    large = _open(around, found)[1].where(F.col("n") > PIVOT_SETS).select("hub", (F.col("least") / 8).cast("long").alias("least"))
     crowd = stored(around.join(large, "hub", "left_semi").groupBy("member").agg((F.max("bytes") / 8).cast("long").alias("size")), "jaccard-crowd")
     total = crowd.agg(F.sum("size")).first()[0]
     if not total:
@@ -513,16 +513,14 @@ def _without_lone(around: DataFrame, found: DataFrame, sets: DataFrame, percent:
     packed = sets.join(crowd.select(F.col("member").alias("set_id")), "set_id", "left_semi").mapInArrow(_by_element(bits), "span long, elements array<long>, members array<long>")
     own = packed.repartition("span").sortWithinPartitions("span").mapInArrow(_own_elements, "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
     own = stored(own, "jaccard-own")
-    crowded = around.join(large, "hub")
-    least = crowded.groupBy("hub").agg((F.min("bytes") / 8).cast("long").alias("least"))
     # A link of sets x and y has an intersection of at least percent * (x + y) / (100 + percent).
-    gone = crowded.select("hub", "member", (F.col("bytes") / 8).cast("long").alias("size")).join(own, "member").join(least, "hub")
+    gone = around.select("hub", "member", (F.col("bytes") / 8).cast("long").alias("size")).join(large, "hub").join(own, "member")
     gone = stored(gone.where(f"{100 + percent} * (size - n) < {percent} * (size + least)").select("hub", "member"), "jaccard-lone")
     return stored(around.join(gone, ["hub", "member"], "left_anti"), "jaccard-around")
 
 
-def _pivoted(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``around`` without the pivots used, and the components after tests of large stars' members with pivots.
+def _pivoted(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The components after tests of large stars' members with pivots, and, without the pivots used, members and stars as in ``_open``.
 
     A pivot is of the star's centre and tested with all members outside, so all its pairs are settled then and
     it leaves the star. A round takes at most ``PIVOTS`` rows for each member outside, and the next one comes only
@@ -534,7 +532,7 @@ def _pivoted(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
         large = stars.where(F.col("n") > PIVOT_SETS)
         outside = large.agg(F.sum("n_outside")).first()[0] or 0
         if not outside or (before is not None and outside > (1 - LEAST_JOINED) * before):
-            return around, found
+            return found, placed, stars
         before = outside
         members = placed.join(large.select("hub", "centre"), "hub")
         # The same order in every star: those with much the same members have the same pivots.
@@ -546,9 +544,8 @@ def _pivoted(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
         around = stored(around.join(pivots.withColumnRenamed("pivot", "member"), ["hub", "member"], "left_anti"), "jaccard-around")
 
 
-def _blocks(around: DataFrame, found: DataFrame) -> DataFrame:
-    """Members, by star and pair of blocks, of stars whose members' components differ so far."""
-    placed, stars = _open(around, found)
+def _blocks(placed: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members, by star and pair of blocks, of stars whose members' components differ so far. placed, stars: ``_open``."""
 
     def blocks_of(n: str, size: str) -> Column:
         return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("int")
@@ -565,9 +562,9 @@ def _blocks(around: DataFrame, found: DataFrame) -> DataFrame:
     return own.unionByName(left).unionByName(right)
 
 
-def _rest(around: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(placed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of a star whose components differ so far."""
-    blocks = _blocks(around, found).join(sets.withColumnRenamed("set_id", "member"), "member")
+    blocks = _blocks(placed, stars).join(sets.withColumnRenamed("set_id", "member"), "member")
     return blocks.groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 
 
